@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, token_counts
+from . import packing, sharding, simhash, token_counts
 from .tables import read
 
 
@@ -21,6 +21,10 @@ def op5_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_bk_tree_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op9_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op5_byte_balanced_shards": op5_byte_balanced_shards,
+    "op8_bk_tree_near_duplicates": op8_bk_tree_near_duplicates,
     "op9_transducer_token_counts": op9_transducer_token_counts,
 }
 
