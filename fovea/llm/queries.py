@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality, sharding, simhash, token_counts
+from . import decontamination, packing, quality, secret_scan, sharding, simhash, token_counts
 from .tables import read
 
 
@@ -40,6 +40,11 @@ def op9_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "chars", F.crc32("candidate").alias("candidate_crc32"), "score", "is_secret")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_additive_quality": op6_additive_quality,
     "op8_bk_tree_near_duplicates": op8_bk_tree_near_duplicates,
     "op9_transducer_token_counts": op9_transducer_token_counts,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 #: CRC-32 of a text's bytes, with its table made by the usual rule.
