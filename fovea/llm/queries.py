@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality, secret_scan, sharding, simhash, token_counts
+from . import decontamination, language_id, packing, quality, secret_scan, sharding, simhash, token_counts
 from .tables import read
 
 
@@ -20,6 +20,12 @@ def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language_id.label_documents(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(read(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -48,6 +54,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
+    "op4_crf_language_id": op4_crf_language_id,
     "op5_byte_balanced_shards": op5_byte_balanced_shards,
     "op6_additive_quality": op6_additive_quality,
     "op8_bk_tree_near_duplicates": op8_bk_tree_near_duplicates,
