@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, quality, secret_scan, sharding, simhash, token_counts
+from . import decontamination, html_text, language_id, packing, quality, secret_scan, sharding, simhash, token_counts
 from .tables import read
 
 
@@ -38,6 +38,10 @@ def op6_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_layout_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read(spark, sf_dir, "pages"))
+
+
 def op8_bk_tree_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_crf_language_id": op4_crf_language_id,
     "op5_byte_balanced_shards": op5_byte_balanced_shards,
     "op6_additive_quality": op6_additive_quality,
+    "op7_layout_html_text": op7_layout_html_text,
     "op8_bk_tree_near_duplicates": op8_bk_tree_near_duplicates,
     "op9_transducer_token_counts": op9_transducer_token_counts,
     "op10_secret_scan": op10_secret_scan,
