@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, packing, quality, secret_scan, sharding, simhash, token_counts
+from . import decontamination, html_text, language_id, packing, quality, secret_scan, sharding, simhash, token_counts, topk_search
 from .tables import read
 
 
+def op1_no_random_access_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk_search.top_k(vectors, vectors.where(F.col("vec_id") % topk_search.QUERY_STEP == 0))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -56,6 +61,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_no_random_access_top_k": op1_no_random_access_top_k,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_crf_language_id": op4_crf_language_id,
@@ -77,6 +83,17 @@ CRC_OF = """xor(list_reduce(list_prepend(4294967295::BIGINT,
          lambda a, b: xor(a >> 8, crc_of[(xor(a, b) & 255) + 1])), 4294967295)"""
 
 ORACLES: dict[str, str] = {
+    "op1_no_random_access_top_k": """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM sound q JOIN sound c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10""",
     "op5_byte_balanced_shards": f"""
 WITH {CRC}, sized AS (
   SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, {CRC_OF.format("coalesce(text, '')")} AS crc FROM documents, crc_table
