@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .simhash import majority_bits
 from .tables import slices
@@ -121,6 +120,17 @@ def item_blocks(benchmark: DataFrame, max_items: int, max_bytes: int) -> Iterato
         yield held
 
 
+def batch_leaks(index: ItemIndex, texts: pa.Array, similarity: float) -> Iterator[tuple]:
+    """(row, item_id, start_word, n_words, distance, similarity) of a batch of texts."""
+    hashes, sizes = batch_words(texts)
+    shingles, counts = shingle_hashes(hashes, sizes, index.shingle)
+    maybe = np.flatnonzero(index.filter[(shingles >> np.uint64(44)).astype(np.int64)])
+    ends = np.cumsum(counts)
+    for k in np.unique(np.searchsorted(ends, maybe, side="right")).tolist():
+        for item, start, width, distance, score in index.search(shingles[ends[k] - counts[k] : ends[k]], similarity):
+            yield k, item, start, min(width + index.shingle - 1, int(sizes[k])), distance, score
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """Benchmark items that a window of a document repeats.
 
@@ -141,16 +151,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, si
         shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, shingle, radius))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, names = shared.value, ["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"]
+            names = ["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
             for batch in slices(batches, "text", BATCH_BYTES):
-                hashes, sizes = batch_words(batch.column(1))
-                shingles, counts = shingle_hashes(hashes, sizes, shingle)
-                maybe = np.flatnonzero(index.filter[(shingles >> np.uint64(44)).astype(np.int64)])
-                ends, ids, rows = np.cumsum(counts), batch.column(0).to_pylist(), []
-                for k in np.unique(np.searchsorted(ends, maybe, side="right")).tolist():
-                    for item, start, width, distance, score in index.search(shingles[ends[k] - counts[k] : ends[k]], similarity):
-                        rows.append((ids[k], item, start, min(width + shingle - 1, int(sizes[k])), distance, score))
+                ids = batch.column(0).to_pylist()
+                rows = [(ids[k], *rest) for k, *rest in batch_leaks(shared.value, batch.column(1), similarity)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
@@ -163,7 +168,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, si
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark item is found (rows with a null doc_id are kept)."""
-    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["leaked_id"], "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """The document rows in which no benchmark item is found, all columns kept.
+
+    Rows are judged where they are read, by their own text, so nothing is
+    joined or shuffled. The rules are those of ``find_leaks``.
+    """
+    for items in item_blocks(benchmark, MAX_ITEMS, MAX_BYTES):
+        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, shingle, radius))
+        at = docs.columns.index("text")
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text", BATCH_BYTES):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[k for k, *_ in batch_leaks(shared.value, batch.column(at), similarity)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
