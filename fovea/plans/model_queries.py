@@ -72,11 +72,11 @@ def footprint_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.footprint_gram(movies.grid_footprints(spark)).select("i", "j", r("g"))
 
 
-@query(f"WITH {TRACES} SELECT ev.px, tr.cell, round(sum(value * c), 2) + 0.0 AS yc FROM ev JOIN tr USING (frame) GROUP BY ALL")
+@query(f"WITH {TRACES} SELECT ev.px, tr.cell, round(sum(value * c), 1) + 0.0 AS yc FROM ev JOIN tr USING (frame) GROUP BY ALL")
 def project_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     movie, _, traces = event_traces(spark, sf_dir)
     packed = movie.rows.groupBy("video_id", "frame").agg(F.sort_array(F.collect_list(F.struct("px", "value"))).alias("p"))
-    return products.project_footprints_packed(packed.select("frame", F.col("p.value").alias("pixels")), traces).select("px", "cell", r("yc", 2))
+    return products.project_footprints_packed(packed.select("frame", F.col("p.value").alias("pixels")), traces).select("px", "cell", r("yc", 1))
 
 
 @query(f"WITH {TRACES} SELECT a.cell AS i, b.cell AS j, round(sum(a.c * b.c), 2) + 0.0 AS g FROM tr a JOIN tr b USING (frame) GROUP BY ALL")
