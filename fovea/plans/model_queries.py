@@ -91,7 +91,7 @@ def residual_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.residual_norm(movie.rows, grid, traces).select(r("norm", 4))
 
 
-CORR = "cr AS (SELECT a.cell AS i, b.cell AS j, corr(a.c, b.c) AS corr FROM tr a JOIN tr b ON a.frame = b.frame AND a.cell < b.cell GROUP BY ALL)"
+CORR = "cr AS (SELECT a.cell AS i, b.cell AS j, CASE WHEN stddev_pop(a.c) > 1e-9 AND stddev_pop(b.c) > 1e-9 THEN corr(a.c, b.c) END AS corr FROM tr a JOIN tr b ON a.frame = b.frame AND a.cell < b.cell GROUP BY ALL)"
 
 
 @query(f"WITH {TRACES}, {CORR} SELECT i, j, round(corr, 6) + 0.0 AS corr FROM cr")
@@ -114,7 +114,7 @@ def merge_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MOMENTS = """mo AS (SELECT cell, avg(r) x1, avg(r ** 2) x2, avg(r ** 3) x3, avg(r ** 4) x4 FROM tr GROUP BY cell), ce AS (
-  SELECT cell, x2 - x1 * x1 AS v, x3 - 3 * x1 * x2 + 2 * x1 ** 3 AS m3, x4 - 4 * x1 * x3 + 6 * x1 * x1 * x2 - 3 * x1 ** 4 AS m4 FROM mo)"""
+  SELECT cell, nullif(x2 - x1 * x1, 0) AS v, x3 - 3 * x1 * x2 + 2 * x1 ** 3 AS m3, x4 - 4 * x1 * x3 + 6 * x1 * x1 * x2 - 3 * x1 ** 4 AS m4 FROM mo)"""
 
 
 @query(f"WITH {TRACES}, {MOMENTS} SELECT cell, round(m4 / v ** 2, 6) + 0.0 AS kurtosis FROM ce")

@@ -295,7 +295,7 @@ def static_background(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LI}, t AS (SELECT count(*) AS t FROM li_days), s AS (SELECT px, sum(value) / t AS m, sum(value * value) / t AS q, CASE WHEN count(*) < t THEN greatest(max(value), 0) ELSE max(value) END AS top FROM li, t GROUP BY px, t)
-SELECT px, round((top - m) / sqrt(q - m * m), 6) + 0.0 AS pnr FROM s""")
+SELECT px, round((top - m) / nullif(sqrt(greatest(q - m * m, 0)), 0), 6) + 0.0 AS pnr FROM s""")
 def peak_noise_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     movie = movies.lineitem_movie(spark, sf_dir)
     frames = movie.rows.agg(F.count_distinct("frame").alias("n")).first()["n"]
