@@ -1,0 +1,58 @@
+import pytest
+from llm.conftest import hard_rows
+from pyspark.sql import functions as F
+
+from fovea.llm import secret_scan
+
+TOKEN = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.forest_sql(spark)
+
+
+def test_held_out_findings(spark, forest):
+    """Findings of other row numbers than those it was fitted on."""
+    more = secret_scan.labelled_findings(spark, 6000).select("label", F.monotonically_increasing_id().alias("k"), "text")
+    rows = secret_scan.with_candidates(more).select("label", F.explode("__features").alias("f")).select("label", F.expr(forest).alias("p"))
+    right = rows.agg(F.avg(((F.col("p") >= 0.5) == (F.col("label") == 1)).cast("double"))).first()[0]
+    assert right > 0.97
+
+
+def test_findings(docs, forest):
+    rows = [
+        (1, f'and token = "{TOKEN}" there'), (2, f"TOKEN = \"{TOKEN.upper()}\"!! THERE"), (3, f"fixed in commit {TOKEN} by hand"),
+        (4, "card 9807915762804490 paid"), (5, f"{TOKEN}"), (6, f'token = "{TOKEN}" and password: "aB3dE5gH7jK9mN1pQ3rS5tU7" twice'),
+    ]
+    got = secret_scan.scan_secrets(docs(rows, clashing=True), forest).collect()
+    text = dict(rows)
+    assert all(text[r["doc_id"]][r["start"] : r["start"] + r["chars"]] == r["candidate"] for r in got)
+    secrets = sorted(r["doc_id"] for r in got if r["is_secret"])
+    assert secrets == [1, 2, 6, 6]
+    assert {r["doc_id"] for r in got} == {1, 2, 3, 4, 5, 6}
+    clean = {r["doc_id"]: r for r in secret_scan.redacted(docs(rows, clashing=True), forest).collect()}
+    assert clean[1]["text"] == 'and token = "[REDACTED]" there' and clean[1]["n_chars"] == len(clean[1]["text"])
+    assert TOKEN not in clean[6]["text"] and "aB3d" not in clean[6]["text"] and clean[6]["text"].endswith('" twice')
+    assert all(clean[i]["text"] == text[i] for i in (3, 4, 5))
+
+
+def test_hard_rows(docs, forest):
+    df = docs(hard_rows(), clashing=True)
+    assert secret_scan.scan_secrets(df, forest).where("is_secret").count() == 0
+    out = secret_scan.redacted(df, forest)
+    assert out.columns == df.columns
+    assert sorted(map(str, out.select("doc_id", "text", "n_chars").collect())) == sorted(map(str, df.select("doc_id", "text", "n_chars").collect()))
+
+
+def test_repeated_and_edges(docs, forest):
+    rows = [(1, f'token = "{TOKEN}"')] * 2 + [(2, f'token="{TOKEN}" token="{TOKEN}"')]
+    got = secret_scan.scan_secrets(docs(rows), forest).where("is_secret").collect()
+    assert sorted((r["doc_id"], r["start"]) for r in got) == [(1, 9), (1, 9), (2, 7), (2, 56)]
+    assert secret_scan.scan_secrets(docs([]), forest).count() == 0
+
+
+def test_no_python_in_the_plan(docs, forest):
+    for df in (secret_scan.scan_secrets(docs([(1, "x")]), forest), secret_scan.redacted(docs([(1, "x")]), forest)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
