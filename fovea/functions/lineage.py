@@ -8,17 +8,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a session without it (tests) gets a temporary one."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    An application without the setting, as in tests on one machine, gets a
+    temporary folder of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="fovea-scratch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    name = spark.sparkContext.applicationId
+    if name not in _own:
+        _own[name] = "file://" + tempfile.mkdtemp(prefix="fovea-scratch-")
+    return _own[name]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: later uses neither recompute it nor grow its plan."""
+    """Write ``df`` once to the shared folder and read it back.
+
+    The result has no lineage: a lost executor costs a re-read, not a re-run,
+    and what was decided by row order (partition ids, samples) stays decided.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark).rstrip('/')}/fovea/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
