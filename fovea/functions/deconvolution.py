@@ -7,12 +7,12 @@ from collections.abc import Callable
 import numpy as np
 
 
-def oasis(y: np.ndarray, gamma: float, lam: float, weight_rule: str = "reference") -> tuple[np.ndarray, np.ndarray]:
+def oasis(y: np.ndarray, gamma: float, lam: float, weight_rule: str = "undamped") -> tuple[np.ndarray, np.ndarray]:
     """Non-negative decaying fit c and spikes s of an AR(1) trace.
 
     Samples become pools of one; a pool that starts below what the one before
     has decayed to is joined with it. The joint weight adds the later pool's
-    weight undamped (``reference``) or damped by gamma ** (2 * length) as in
+    weight undamped (``undamped``) or damped by gamma ** (2 * length) as in
     the published rule (``published``).
     """
     x = np.asarray(y, float) - lam * (1 - gamma)
@@ -25,7 +25,7 @@ def oasis(y: np.ndarray, gamma: float, lam: float, weight_rule: str = "reference
             v0, w0, n0 = value.pop(), weight.pop(), length.pop()
             damp = gamma**n0
             v = (w0 * v0 + damp * w * v) / (w0 + damp * damp * w)
-            w = w0 + damp * damp + w if weight_rule == "reference" else w0 + damp * damp * w
+            w = w0 + damp * damp + w if weight_rule == "undamped" else w0 + damp * damp * w
             n += n0
         value.append(v)
         weight.append(w)
@@ -83,7 +83,7 @@ def nelder_mead(loss: Callable[[np.ndarray], float], start: np.ndarray, iteratio
     return points[int(np.argmin(values))]
 
 
-def fitted(y: np.ndarray, gamma: float, lam: float, iterations: int = 10, weight_rule: str = "reference") -> tuple[np.ndarray, np.ndarray, float, float]:
+def fitted(y: np.ndarray, gamma: float, lam: float, iterations: int = 10, weight_rule: str = "undamped") -> tuple[np.ndarray, np.ndarray, float, float]:
     """(c, s, gamma, lambda) with the parameters that leave the least negentropy in c - y, clamped after the search."""
     y = np.asarray(y, float)
 

@@ -25,7 +25,7 @@ def packed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("cell", F.col("t.r").alias("y"))
 
 
-def deconvolved(traces: DataFrame, gamma: float, lam: float, rule: str = "reference") -> DataFrame:
+def deconvolved(traces: DataFrame, gamma: float, lam: float, rule: str = "undamped") -> DataFrame:
     """(cell, frame, c, s), one trace a group."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

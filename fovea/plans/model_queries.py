@@ -415,10 +415,11 @@ def roi_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composite_sql() -> str:
+    """The layers painted one by one; the grid's weights are 1/3, so a pixel's opacity is three times its weight."""
     steps = ["k0 AS (SELECT px::INTEGER AS px, 0.0::DOUBLE AS red, 0.0::DOUBLE AS green, 0.0::DOUBLE AS blue FROM range(64) t(px))"]
     for k in CELLS:
-        mixed = ", ".join(f"{n} * (1 - coalesce(w * 3 * o, 0)) + {v} * coalesce(w * 3 * o, 0) AS {n}" for n, v in (("red", k / 10), ("green", 1 - k / 10), ("blue", 0.5)))
-        steps.append(f"k{k} AS (SELECT k.px, {mixed} FROM k{k - 1} k LEFT JOIN (SELECT px, w, 1 AS o FROM grid WHERE cell = {k}) g USING (px))")
+        mixed = ", ".join(f"{n} * (1 - coalesce(3 * w, 0)) + {v} * coalesce(3 * w, 0) AS {n}" for n, v in (("red", k / 10), ("green", 1 - k / 10), ("blue", 0.5)))
+        steps.append(f"k{k} AS (SELECT k.px, {mixed} FROM k{k - 1} k LEFT JOIN (SELECT px, w FROM grid WHERE cell = {k}) g USING (px))")
     return f"WITH {GRID}, {', '.join(steps)} SELECT px, round(red, 6) + 0.0 AS red, round(green, 6) + 0.0 AS green, round(blue, 6) + 0.0 AS blue FROM k9"
 
 

@@ -34,10 +34,10 @@ def test_negentropy_forms(spark):
 @pytest.mark.parametrize(
     ("y", "lam", "rule", "c", "s"),
     [
-        ([4, 1, 2], 0, "reference", [3.6, 1.8, 2], [0, 0, 1.1]),
+        ([4, 1, 2], 0, "undamped", [3.6, 1.8, 2], [0, 0, 1.1]),
         ([4, 1, 2], 0, "published", [3.6, 1.8, 2], [0, 0, 1.1]),
-        ([4, 1, 2], 1, "reference", [3, 1.5, 1], [0, 0, 0.25]),
-        ([4, 1, 0], 0, "reference", [3.502703, 1.751351, 0.875676], [0, 0, 0]),
+        ([4, 1, 2], 1, "undamped", [3, 1.5, 1], [0, 0, 0.25]),
+        ([4, 1, 0], 0, "undamped", [3.502703, 1.751351, 0.875676], [0, 0, 0]),
         ([4, 1, 0], 0, "published", [3.428571, 1.714286, 0.857143], [0, 0, 0]),
     ],
 )
@@ -47,7 +47,7 @@ def test_oasis(y, lam, rule, c, s):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.floats(-5, 5), min_size=1, max_size=40), st.floats(0.3, 0.99), st.floats(0, 3), st.sampled_from(["reference", "published"]))
+@given(st.lists(st.floats(-5, 5), min_size=1, max_size=40), st.floats(0.3, 0.99), st.floats(0, 3), st.sampled_from(["undamped", "published"]))
 def test_oasis_properties(y, gamma, lam, rule):
     c, _ = deconvolution.oasis(np.array(y), gamma, lam, rule)
     assert (c >= 0).all() and (c[1:] >= gamma * c[:-1] - 1e-9).all()
