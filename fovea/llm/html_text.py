@@ -134,6 +134,8 @@ class TreeBuilder:
         if tag in CLOSES:
             self.close(*CLOSES[tag])
         here = self.stack[-1].tag
+        if tag == "table" and here in TABLE_PARTS:  # not inside a cell: it ends the table before
+            self.end("table")
         if tag in ("td", "th") and here in ("table", "thead", "tbody", "tfoot"):
             self.push("tr", {})
         if tag[0] == "h" and tag in ("h1", "h2", "h3", "h4", "h5", "h6") and re.fullmatch("h[1-6]", here):
@@ -340,7 +342,10 @@ def show_table(table: Node, page: Page) -> None:
 
     def gather(node: Node) -> None:
         for child in node.children:
-            if not isinstance(child, Node) or not child.seen():
+            if not isinstance(child, Node):
+                page.text(child, False)
+                continue
+            if not child.seen():
                 continue
             if child.tag == "tr":
                 row, column = [], 0
@@ -354,6 +359,8 @@ def show_table(table: Node, page: Page) -> None:
                         column += over
                     elif isinstance(cell, Node):
                         show(cell, page)
+                    else:
+                        page.text(cell, False)
                 rows.append(row)
             elif child.tag in ("thead", "tbody", "tfoot"):
                 gather(child)
