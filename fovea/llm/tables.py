@@ -64,3 +64,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
                 start, held = k, 0
             held += size
         yield batch.slice(start)
+        pa.default_memory_pool().release_unused()

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_KNOWN = 400_000
+MAX_KNOWN = 200_000
 _EDGES = re.compile(r"[\W_]+")
 _known: dict[str, int] = {}
 
