@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from fovea.operators.components import connected_components
+
 from .tables import saved, slices
 
 SHINGLE, RADIUS, SEED = 3, 3, 42

@@ -1,46 +1,21 @@
-"""Shared helpers: reading tables, cutting lineage, slicing Arrow batches."""
+"""Shared helpers: reading tables, vocabulary files, slicing Arrow batches."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
+from fovea.functions.lineage import saved  # noqa: F401
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``.
-
-    Where the setting is absent (a local test session) a temporary folder of
-    this machine is made and kept for the session.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="fovea-scratch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    The result has no lineage: a lost executor costs a re-read, not a re-run,
-    and what was decided by row order (partition ids, samples) stays decided.
-    """
-    spark = df.sparkSession
-    path = f"{scratch(spark).rstrip('/')}/fovea/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def tokenizer_path(name: str) -> str:
     """Path of a public vocabulary file; falls back to the shared install folder."""
     try:
