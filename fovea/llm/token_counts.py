@@ -114,7 +114,7 @@ def boundaries(classes: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     """Marks the characters at which a pre-token starts (a text break is one by itself)."""
     to, out = flat_rules()
     n = len(classes)
-    lanes = -(-n // chunk)
+    lanes = n // chunk + 1  # at least one break behind the last character
     padded = np.full(lanes * chunk, BREAK, np.uint8)
     padded[:n] = classes
     steps = np.ascontiguousarray(padded.reshape(lanes, chunk).T)

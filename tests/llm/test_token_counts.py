@@ -1,4 +1,5 @@
-from hypothesis import given, settings
+import pytest
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from llm.conftest import hard_rows
 from tokenizers import Tokenizer
@@ -30,7 +31,8 @@ def test_counts(texts):
     assert token_counts.count_texts(texts, PATH).tolist() == [library(t) for t in texts]
 
 
-@settings(max_examples=100, deadline=None)
+@settings(max_examples=200, deadline=None)
+@example("11111'l", 7)
 @given(st.text(alphabet="re'l v1 \n.", max_size=300), st.sampled_from([1, 2, 3, 7, 64]))
 def test_chunks_compose(text, chunk):
     import numpy as np
@@ -40,6 +42,13 @@ def test_chunks_compose(text, chunk):
     assert token_counts.boundaries(classes, chunk).tolist() == whole.tolist()
 
 
+@pytest.mark.parametrize("end", ["'l", "'r", "  ", "'", "'re", "x"])
+def test_text_that_ends_with_a_chunk(end):
+    text = "a" * (token_counts.CHUNK - len(end)) + end
+    assert token_counts.count_texts([text], PATH).tolist() == [library(text)]
+    assert token_counts.count_texts([text, text], PATH).tolist() == [library(text)] * 2
+
+
 def test_states_can_be_dropped(monkeypatch):
     monkeypatch.setattr(token_counts, "MAX_STATES", 5)
     monkeypatch.setattr(token_counts, "MAX_KNOWN", 3)
