@@ -30,7 +30,7 @@ LIMIT = 512
 CHUNK = 256
 BATCH_BYTES = 4 << 20
 #: States and counts of pre-tokens that a worker keeps before it starts anew.
-MAX_STATES, MAX_KNOWN = 100_000, 400_000
+MAX_STATES, MAX_KNOWN = 200_000, 400_000
 
 # Classes of characters. LETTER is any letter without a class of its own.
 LETTER, NUMBER, OTHER, QUOTE, BLANK, SPACE, STMD, RV, E, ELL, BREAK = range(11)
@@ -148,10 +148,12 @@ class Merger:
         as_bytes = {word: bytes(spelt[c] for c in word) for word in model["model"]["vocab"]}
         self.ids = {as_bytes[word]: k for word, k in model["model"]["vocab"].items()}
         self.words = {k: word for word, k in self.ids.items()}
-        self.merges = {}
+        self.merges, self.parts = {}, {}
         for rank, (left, right) in enumerate(model["model"]["merges"]):
             left, right = as_bytes[left], as_bytes[right]
-            self.merges[self.ids[left], self.ids[right]] = (rank, self.ids[left + right])
+            whole = self.ids[left + right]
+            self.merges[self.ids[left], self.ids[right]] = (rank, whole)
+            self.parts.setdefault(whole, (rank, self.ids[left], self.ids[right]))
         self.prefixes = {word[:k] for word in self.ids for k in range(len(word))}
         self.fits: dict[tuple[int, int], bool] = {}
         self.clear()
@@ -170,13 +172,34 @@ class Merger:
             ids[k : k + 2] = [self.merges[ids[k], ids[k + 1]][1]]
         return ids
 
+    def spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The token and its outer parts on one side (1 left, 2 right), each with the rank of the merge that takes it up."""
+        out, rank = [], 1 << 60
+        while True:
+            out.append((token, rank))
+            if token not in self.parts:
+                return out
+            rank, token = self.parts[token][0], self.parts[token][side]
+
     def fit(self, left: int, right: int) -> bool:
-        """Whether the two tokens stand side by side in the encoding of their joint bytes."""
+        """Whether the two tokens stand side by side in the encoding of their joint bytes.
+
+        Merges are done by rank, and a merge's parts have lower ranks. So the
+        two are kept apart unless a part at the end of the left one and a part
+        at the start of the right one merge before either is taken up by its
+        own token; of equal ranks the merge further left comes first.
+        """
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) > 4 * MAX_STATES:
+            if len(self.fits) > 2 * MAX_STATES:
                 self.fits.clear()
-            known = (left, right) not in self.merges and self.merged(self.words[left] + self.words[right]) == [left, right]
+            known = True
+            starts = self.spine(right, 1)
+            for a, taken in self.spine(left, 2):
+                for b, before in starts:
+                    merge = self.merges.get((a, b))
+                    if merge is not None and merge[0] < taken and merge[0] <= before:
+                        known = False
             self.fits[left, right] = known
         return known
 
