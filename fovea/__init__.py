@@ -1 +1,3 @@
 """Fluorescence-movie analytics as Spark jobs."""
+
+__version__ = "0.1.0"

@@ -38,6 +38,33 @@ def roi_peaks(footprints: DataFrame) -> DataFrame:
     return whole.where("norm2 >= 0.99").select("cell", (-F.col("top.p")).alias("px"), F.col("top.w").alias("w"))
 
 
+def distinct_colours(cells: DataFrame) -> DataFrame:
+    """``cells`` with red, green, blue and color (RRGGBB): hues a golden angle apart by cell number."""
+    hue = F.pmod(F.col("cell") * 0.6180339887498949, F.lit(1.0)) * 6
+
+    def channel(shift: float) -> Column:
+        at = F.abs(F.pmod(hue + shift, F.lit(6.0)) - 3)
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), at - 1))
+
+    mixed = cells.withColumns({"red": channel(0.0), "green": channel(4.0), "blue": channel(2.0)})
+    octets = [F.lpad(F.hex(F.round(F.col(c) * 255).cast("long")), 2, "0") for c in ("red", "green", "blue")]
+    return mixed.withColumn("color", F.concat(*octets))
+
+
+def random_colours(cells: DataFrame, seed: int = 1) -> DataFrame:
+    """``cells`` with red, green, blue: random by cell and seed, brought to a sum of two and clamped to one."""
+    parts = [(F.pmod(F.xxhash64(F.col("cell"), F.lit(seed), F.lit(k)), F.lit(1 << 30)) + 1) / float(1 << 30) for k in range(3)]
+    total = parts[0] + parts[1] + parts[2]
+    return cells.withColumns({n: F.least(F.lit(1.0), p * 2 / total) for n, p in zip(("red", "green", "blue"), parts, strict=True)})
+
+
+def image_rows(image: DataFrame, height: int, width: int, name: str = "v") -> DataFrame:
+    """(d1, row): an image as one array a line, absent pixels null; for a heat map of one frame's size."""
+    cells = image.select((F.col("px") % height).alias("d1"), F.floor(F.col("px") / height).cast("int").alias("d2"), F.col(name).alias("v"))
+    lines = cells.groupBy("d1").agg(F.map_from_entries(F.collect_list(F.struct("d2", "v"))).alias("m"))
+    return lines.select("d1", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.try_element_at("m", k)).alias("row"))
+
+
 def roi_composite(footprints: DataFrame, colours: DataFrame, pixels: DataFrame) -> DataFrame:
     """(px, red, green, blue): cells painted over each other in order, as opaque as their share of the cell's maximum."""
     stats = footprints.groupBy("cell").agg(F.sum(F.col("w") * F.col("w")).alias("norm2"), F.max("w").alias("top")).where("norm2 >= 0.99")

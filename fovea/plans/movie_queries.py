@@ -27,7 +27,7 @@ def src_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("video_id", "frame", F.size("pixels").alias("pixels"), rounded(total).alias("total"))
 
 
-@query()
+@query("SELECT 'recording_1' AS key")
 def src_single_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one dataset key of a container."""
     return movies.single_key(spark.createDataFrame([("recording_1",), ("recording_1",)], "key string"))
@@ -169,7 +169,7 @@ def read_frame_minsub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.subtract_min(rows.where("frame = 7"), folds.pixel_min(rows)).select("px", r("value"))
 
 
-@query()
+@query("SELECT 0::BIGINT AS nframes, 100 AS height, 100 AS width")
 def empty_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The null source: its size and no frames."""
     movie = movies.empty_movie(spark)

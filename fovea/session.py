@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import fovea
 from fovea.functions.lineage import saved
-from fovea.operators import folds, merging, segmentation, sweeps
+from fovea.operators import folds, merging, segmentation, sweeps, views
 from fovea.operators.backgrounds import PerVideo, RankOne
 from fovea.operators.products import project_footprints, project_traces
 from fovea.sources import store
@@ -43,7 +44,8 @@ class Session:
     def zero_traces(self) -> Session:
         """All traces zero, gamma 0.8, lambda 50: a row a cell, the traces stay implicit."""
         names = self.footprints.select("cell").distinct()
-        self.cells = saved(names.select("cell", F.lit(0.8).alias("gamma"), F.lit(50.0).alias("lambda")), "cells")
+        cells = names.select("cell", F.lit(0.8).alias("gamma"), F.lit(50.0).alias("lambda"))
+        self.cells = saved(views.distinct_colours(cells).drop("red", "green", "blue"), "cells")
         self.traces = None
         return self
 
@@ -68,7 +70,7 @@ class Session:
         whole = None if deconvolve is not sweeps.zero_clamp else 4096
         packed = saved(sweeps.trace_sweep(values, self.footprints, deconvolve, self.cells, whole), "packed-traces")
         if whole is None:
-            self.cells = saved(packed.select("cell", "gamma", "lambda"), "cells")
+            self.cells = saved(packed.select("cell", "gamma", "lambda").join(self.cells.select("cell", "color"), "cell"), "cells")
         self.traces = saved(sweeps.unpacked(packed).join(self.frames, "frame").select("video_id", "frame", "cell", "r", "c", "s"), "traces")
         updated = self.rank_one.update_trace(self.rows, self.footprints, self.traces, self.per_video)
         self.rank_one = RankOne(self.rank_one.table, saved(updated.trace, "f"))
@@ -105,7 +107,8 @@ class Session:
             self.update_traces(deconvolve)
         return self
 
-    def save(self, path: str, videos: DataFrame | None = None) -> None:
-        meta = self.rows.sparkSession.createDataFrame([(self.movie.height, self.movie.width, self.n)], "h int, w int, nframes long")
+    def save(self, path: str, videos: DataFrame | None = None, filename: str | None = None, segments: int | None = None) -> None:
+        row = (self.movie.height, self.movie.width, self.n, filename, segments, fovea.__version__)
+        meta = self.rows.sparkSession.createDataFrame([row], "h int, w int, nframes long, filename string, nsegs int, code_version string")
         tables = {"footprints": self.footprints, "image": self.image, "traces": self.traces, "cells": self.cells, "meta": meta}
         store.save(path, tables, [self.per_video, self.rank_one], videos)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fovea.functions import deconvolution, regions
-from fovea.operators import folds, merging, products, sweeps
+from fovea.operators import folds, merging, products, sweeps, views
 from fovea.sources import movies
 
 
@@ -145,6 +145,16 @@ def test_different_frame_sizes_fail(spark):
         movies.aligned(rows, boxes, 2).collect()
 
 
+def test_colours_and_rows(spark):
+    cells = spark.range(1, 8).select(F.col("id").cast("int").alias("cell"))
+    named = views.distinct_colours(cells).collect()
+    assert len({r["color"] for r in named}) == 7 and all(len(r["color"]) == 6 for r in named)
+    mixed = views.random_colours(cells).collect()
+    assert all(r["red"] + r["green"] + r["blue"] <= 2 + 1e-9 and max(r["red"], r["green"], r["blue"]) <= 1 for r in mixed)
+    image = spark.createDataFrame([(0, 1.0), (1, 2.0), (5, 3.0)], "px int, v double")
+    assert {r["d1"]: list(r["row"]) for r in views.image_rows(image, 2, 3).collect()} == {0: [1.0, None, None], 1: [2.0, None, 3.0]}
+
+
 def test_two_keys_fail(spark):
     with pytest.raises(Exception, match="expected one dataset"):
         movies.single_key(spark.createDataFrame([("a",), ("b",)], "key string")).collect()
