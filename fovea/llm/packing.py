@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import base64
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,30 +14,57 @@ from .tables import slices, tokenizer_path
 
 WINDOW = 1024
 END_ID = 0
-#: Open windows that a task holds; beyond it they are topped up by cutting.
-MAX_OPEN = 4096
-SPECIAL = {"<|endoftext|>": 50256}
+#: Open windows that a task holds; beyond it the fullest is filled by a cut.
+MAX_OPEN = 16_384
+#: Input of a task, at least, where the input is cut finer: the more documents a task packs, the more windows it fills by placement.
+TASK_BYTES = 64 << 20
+SPECIAL = "<|endoftext|>"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 BATCH_BYTES = 4 << 20
+#: Characters on whose class (letter, number, white) the ``regex`` and ``tokenizers`` libraries agree (a test compares them).
+PLAIN = re.compile("[\0-\u052f\u2010-\u205e\u20ac\u3000-\u30ff\u4e00-\u9fff\U0001f300-\U0001f64f]*")
+#: Ids of distinct pre-tokens that a worker keeps before it starts anew, and the longest one kept.
+MAX_KNOWN, MAX_KEPT = 400_000, 64
 
-_encoders: dict[str, object] = {}
+_encoders: dict[str, Callable[[str], np.ndarray]] = {}
 
 
-def encoder(vocabulary: str):
-    """The byte-level BPE of ``byte_bpe_50k`` (one per worker), special strings included.
+def encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
+    """Text to ids, as ``tokenizers`` gives them for a byte-level BPE file (one encoder per worker).
 
-    The ids are those of the ``tokenizers`` library for the ``.json`` file of
-    the same vocabulary (tests compare the two); this reader is about five
-    times as fast.
+    Every id comes from the library. Byte-level BPE works on each pre-token by
+    itself, so a text of ``PLAIN`` characters is split here and each distinct
+    pre-token is encoded once; any other text goes to the library whole.
+    Special strings in a text are matched first, as by default.
     """
-    if vocabulary not in _encoders:
-        import public_tokenizers
-        import tiktoken
-
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _encoders[vocabulary] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
-    return _encoders[vocabulary]
+    if vocabulary in _encoders:
+        return _encoders[vocabulary]
+    import public_tokenizers
+    import regex
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary)
+    split = regex.compile(public_tokenizers.PATTERN).findall
+    known: dict[str, list[int]] = {}
+
+    def fetched(piece: str) -> list[int]:
+        ids = library.encode(piece, add_special_tokens=False).ids
+        if len(piece) <= MAX_KEPT:
+            if len(known) >= MAX_KNOWN:
+                known.clear()
+            known[piece] = ids
+        return ids
+
+    def encode(text: str) -> np.ndarray:
+        if SPECIAL in text or not PLAIN.fullmatch(text):
+            return np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
+        out: list[int] = []
+        for piece in split(text):
+            out += known.get(piece) or fetched(piece)
+        return np.array(out, "<u4")
+
+    _encoders[vocabulary] = encode
+    return encode
 
 
 class Packer:
@@ -53,7 +80,7 @@ class Packer:
         self.window, self.next_id, self.max_open = window, first_id, max_open
         self.level = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
-        self.count = 0
+        self.count = self.placed = self.cut = 0  # open windows; those closed by placement and by a cut
 
     def choose(self, s: int) -> int:
         """The level of the window that takes ``s`` ids (0: a new window)."""
@@ -73,20 +100,27 @@ class Packer:
         s = len(ids)
         h = self.choose(s)
         if h:
-            held = self.open[h].pop()
-            self.level[h] -= 1
-            self.count -= 1
+            held = self.take(h)
         else:
             held = []
         held.append((doc, start, ids))
         if h + s == self.window:
+            self.placed += 1
             yield from self.emit(held)
             return
-        self.level[h + s] += 1
-        self.open[h + s].append(held)
-        self.count += 1
+        self.keep(held, h + s)
         if self.count > self.max_open:
-            yield from self.top_up(last=False)
+            yield from self.fill_one()
+
+    def keep(self, held: list, filled: int) -> None:
+        self.level[filled] += 1
+        self.open[filled].append(held)
+        self.count += 1
+
+    def take(self, filled: int) -> list:
+        self.level[filled] -= 1
+        self.count -= 1
+        return self.open[filled].pop()
 
     def emit(self, held: list) -> Iterator[tuple]:
         sequence, offset = self.new(), 0
@@ -94,39 +128,46 @@ class Packer:
             yield (*doc[:1], start, len(ids), ids.tobytes(), doc[1], sequence, offset)
             offset += len(ids)
 
-    def top_up(self, last: bool) -> Iterator[tuple]:
-        """Fill the fullest open windows with pieces cut from the emptiest; at most one stays short."""
-        held = [w for at in self.open[::-1] for w in at]
-        low = len(held) - 1
-        fill = [sum(len(p[2]) for p in w) for w in held]
-        for k, window in enumerate(held):
-            while fill[k] < self.window and low > k:
-                doc, start, ids = held[low].pop()
-                take = min(self.window - fill[k], len(ids))
-                cut = len(ids) - take
-                window.append((doc, start + cut, ids[cut:]))
-                fill[k] += take
-                fill[low] -= take
-                if cut:
-                    held[low].append((doc, start, ids[:cut]))
-                if not held[low]:
-                    low -= 1
-            if k >= low and (fill[k] < self.window):
-                break
-            if fill[k] == self.window:
-                yield from self.emit(window)
-        rest = [w for w, n in zip(held, fill, strict=True) if 0 < n < self.window]
-        self.level[:] = 0
-        self.open = [[] for _ in range(self.window + 1)]
-        self.count = 0
-        for window in rest:
-            n = sum(len(p[2]) for p in window)
-            if last:
-                yield from self.emit(window)
-            else:
-                self.level[n] += 1
-                self.open[n].append(window)
-                self.count += 1
+    def fill_one(self) -> Iterator[tuple]:
+        """Fill the fullest open window with ids cut from the emptiest ones (the only one left stays open)."""
+        filled = int(np.flatnonzero(self.level)[-1])
+        window = self.take(filled)
+        while filled < self.window and self.count:
+            low = int(np.flatnonzero(self.level)[0])
+            giver = self.take(low)
+            doc, start, ids = giver.pop()
+            cut = max(0, len(ids) - (self.window - filled))
+            window.append((doc, start + cut, ids[cut:]))
+            filled += len(ids) - cut
+            if cut:
+                giver.append((doc, start, ids[:cut]))
+            if giver:
+                self.keep(giver, low - len(ids) + cut)
+        if filled == self.window:
+            self.cut += 1
+            yield from self.emit(window)
+        else:
+            self.keep(window, filled)
+
+    def finish(self) -> Iterator[tuple]:
+        """Close all windows by cuts; the ids of the last one go to sequences whose lengths are powers of two, which need no padding."""
+        while self.count > 1:
+            yield from self.fill_one()
+        if not self.count:
+            return
+        pieces = self.take(int(np.flatnonzero(self.level)[0]))
+        left = sum(len(p[2]) for p in pieces)
+        while left:
+            room = 1 << (left.bit_length() - 1)
+            left -= room
+            held = []
+            while room:
+                doc, start, ids = pieces.pop(0)
+                held.append((doc, start, ids[:room]))
+                if len(ids) > room:
+                    pieces.insert(0, (doc, start + room, ids[room:]))
+                room -= len(held[-1][2])
+            yield from self.emit(held)
 
 
 def pack_rows(rows: Iterator[tuple], window: int, first_id: int, max_open: int = MAX_OPEN) -> Iterator[tuple]:
@@ -138,36 +179,39 @@ def pack_rows(rows: Iterator[tuple], window: int, first_id: int, max_open: int =
             yield from packer.emit([(doc, start, ids[start : start + window])])
         if whole < len(ids):
             yield from packer.place(doc, whole, ids[whole:])
-    yield from packer.top_up(last=True)
+    yield from packer.finish()
 
 
-def pack_documents(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, max_open: int = MAX_OPEN) -> DataFrame:
+def pack_documents(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, max_open: int = MAX_OPEN, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Tokenise every document (an end id after each) and pack all ids into windows.
 
     One narrow pass: each task packs the documents that it reads, so nothing
-    is shuffled and a lost task is simply run again. A task holds at most
-    ``max_open`` unfinished windows; its last ones are topped up by cutting, so
-    at most one window a task is short. Sequence ids are ``task << 32`` upward.
+    is shuffled and a lost task is simply run again. Input that Spark would cut
+    finer is read in tasks of about ``task_bytes``, as a window that is still
+    open at the end of a task must be filled by cuts. A task holds at most
+    ``max_open`` open windows; beyond that, one at a time is filled by a cut.
+    Sequences are full but for at most ten at the end of a task, whose lengths
+    are powers of two. Sequence ids are ``task << 32`` upward.
 
     Returns one row per piece: doc_id, start, length, ids (little-endian
     unsigned 32-bit), doc_tokens, sequence_id, offset. Null or empty text: the
     end id alone. A document longer than a window fills windows of its own and
-    its rest is packed. Repeated rows are packed each; null ids are kept.
+    its rest is packed; runs of blanks or letters of any length are tokenised
+    whole. Repeated rows are packed each; null ids are kept; other columns are
+    ignored; an empty table gives no rows.
     """
-    path = vocabulary or tokenizer_path("byte_bpe_50k.tiktoken")
+    path = vocabulary or tokenizer_path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
-        allowed = set(SPECIAL)
+        encode = encoder(path)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+        end = np.array([END_ID], "<u4")
 
         def rows() -> Iterator[tuple]:
             for batch in slices(batches, "text", BATCH_BYTES):
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = encode(text, allowed_special=allowed, disallowed_special=()) if text else []
-                    ids.append(END_ID)
-                    yield doc_id, np.array(ids, "<u4")
+                    yield doc_id, np.append(encode(text), end) if text else end
 
         held, n = [], 0
         for piece in pack_rows(rows(), window, TaskContext.get().partitionId() << 32, max_open):
@@ -179,4 +223,6 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, vocabulary: str | None
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, SCHEMA)
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return texts.coalesce(min(max(1, -(-size // task_bytes)), 1 << 30)).mapInArrow(run, SCHEMA)
