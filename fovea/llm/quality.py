@@ -183,16 +183,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveM
     The sample is the labelled ids of least hash, so it does not depend on the
     order of rows. Only their feature rows (no texts) come to the driver. An id
     with several labels counts as good if half of them or more are; null
-    labels and labels without a document are left out.
+    labels and labels without a document are left out. Other columns of either
+    table, whatever their names, are ignored.
     """
+    known, quality = F.col("doc_id"), F.col("quality")
     chosen = (
-        labels.where(labels["doc_id"].isNotNull() & labels["quality"].isNotNull() & ~held_out(labels["doc_id"]))
-        .groupBy(labels["doc_id"].alias("labelled_id"))
-        .agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-        .orderBy(F.xxhash64("labelled_id"), "labelled_id")
+        labels.where(known.isNotNull() & quality.isNotNull() & ~held_out(known))
+        .groupBy(known.alias("labelled"))
+        .agg((F.avg(quality) >= 0.5).cast("double").alias("y"))
+        .orderBy(F.xxhash64("labelled"), "labelled")
         .limit(sample)
     )
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("labelled_id")).select(docs["text"], "y")
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select("text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
@@ -203,19 +206,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveM
     return AdditiveModel().fit(np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES)), got["y"].to_numpy(float))
 
 
-def score_documents(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: doc_id) with score and predicted, from the text alone.
+def score_documents(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, score, predicted) of every row, from the text alone.
 
-    One narrow pass. Null and empty texts are scored from zero features.
+    One narrow pass. Null and empty texts are scored from zero features; null
+    ids and repeated rows are kept; other columns, whatever their names, are
+    ignored; an empty table gives no rows.
     """
-    kept = keep or ["doc_id"]
-    columns = [docs[c] for c in kept] + [docs["text"].alias("__text")]
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(columns[:-1]).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", BATCH_BYTES):
-            scores = model.score(np.array([text_features(t) for t in batch.column(len(kept)).to_pylist()], float))
-            arrays = [batch.column(k) for k in range(len(kept))] + [pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, [*kept, "score", "predicted"])
+        for batch in slices(batches, "text", BATCH_BYTES):
+            scores = model.score(np.array([text_features(t) for t in batch.column(1).to_pylist()], float))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that ``score_documents`` predicts to be good, all columns kept as they are."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", BATCH_BYTES):
+            scores = model.score(np.array([text_features(t) for t in batch.column(at).to_pylist()], float))
+            yield batch.filter(pa.array(scores >= threshold))
 
-    return docs.select(columns).mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.mapInArrow(run, docs.schema)

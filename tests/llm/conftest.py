@@ -2,7 +2,10 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use for their own columns.
-CLASHES = ("score", "size", "shard", "slot", "fp", "component_id", "predicted", "y", "part", "at", "start", "ids", "x", "a", "b", "c", "f", "rank", "word", "members", "gone_id2")
+CLASHES = (
+    "score", "size", "shard", "slot", "fp", "component_id", "predicted", "y", "part", "at", "start", "ids", "x", "a", "b", "c", "f", "rank", "word", "members", "gone_id", "gone_text", "repeated_id",
+    "labelled_id", "labelled", "id", "quality", "label", "form", "print", "row", "text_key", "first", "root", "times", "key", "found", "candidate", "similarity", "item_id", "lang_pred", "held_out", "n_tokens",
+)
 
 
 @pytest.fixture

@@ -30,11 +30,42 @@ def test_quality_edges(docs, spark):
     labels = spark.createDataFrame([(6, 1, 0), (6, 1, 0), (7, 0, 0), (8, None, 0), (None, 1, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
     df = docs(hard_rows(), clashing=True)
     for some in (labels, labels.limit(0), labels.where("quality = 1")):
-        model = quality.train(docs(hard_rows()), some)
-        rows = quality.score_documents(docs(hard_rows()), model).collect()
+        model = quality.train(df, some.selectExpr("*", "1 AS y", "2 AS labelled", "'x' AS text"))
+        rows = quality.score_documents(df, model).collect()
         assert len(rows) == len(hard_rows()) and all(0 <= r["score"] <= 1 for r in rows)
-    assert quality.score_documents(docs([]), model).count() == 0
-    assert quality.score_documents(df.drop("score", "predicted"), model, keep=["doc_id", "text", "size"]).columns == ["doc_id", "text", "size", "score", "predicted"]
+        kept = quality.accepted(df, model)
+        assert kept.columns == df.columns and kept.count() == sum(r["predicted"] for r in rows)
+    assert quality.score_documents(docs([]), model).count() == quality.accepted(docs([]), model).count() == 0
+
+
+def test_scores_are_sums_of_table_entries():
+    """Each score against a plain walk: the bin of each feature is the number of cuts at or below it."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(400, len(quality.FEATURES))), 1)
+    model = quality.AdditiveModel().fit(x, (x[:, 0] * x[:, 1] + x[:, 2] + rng.normal(size=400) > 0).astype(float))
+    assert len(model.pairs) == quality.PAIRS
+    for row, score in zip(x, model.score(x), strict=True):
+        total = model.base
+        for k, v in enumerate(row):
+            total += model.tables[k][sum(1 for c in model.cuts[k] if c <= v)]
+        for (i, j), table in zip(model.pairs, model.pair_tables, strict=True):
+            total += table[sum(1 for c in model.pair_cuts[i] if c <= row[i]), sum(1 for c in model.pair_cuts[j] if c <= row[j])]
+        assert score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12)
+
+
+def plain_features(text):
+    """The features of a text, counted one by one."""
+    data = text.encode()
+    words, lines = text.split(), [x for x in text.split("\n") if x]
+    shares = [sum(b in chars for b in data) / len(data) for chars in quality.KINDS.values()] + [sum(b > 127 for b in data) / len(data)]
+    count = len(words) or 1
+    top = max((words.count(w) for w in words), default=0)
+    return [np.log1p(len(data)), *shares, len(data) / count, len(set(words)) / count, top / count, count / max(1, len(lines)), 1 - len(set(lines)) / max(1, len(lines)), sum(w[-1] in "#*$%&|!" for w in words) / count, np.log1p(count)]
+
+
+@pytest.mark.parametrize("text", ["One two, two!\nOne two, two!\nthree 45", "  \n\n ", "é中 #tag# a|b|", "AAA bbb$ CCC%\r\n\tx", "w" * 5000])
+def test_features_against_plain_counts(text):
+    assert quality.text_features(text) == pytest.approx(plain_features(text))
 
 
 def test_additive_model_learns_an_interaction():
