@@ -9,104 +9,133 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import saved
+
 K, SCALE, QUERY_STEP = 10, 1024, 100
-#: Rows of a block of candidates and of a block of queries.
-BLOCK, QUERY_BLOCK = 4096, 1024
-#: Depths of the sorted lists, as shares of their length, at which bounds are compared.
-DEPTHS = (1 / 8, 1 / 4, 1 / 2, 3 / 4)
-EXACT = float(1 << 53)
+#: Rows of a block of candidates and of a block of queries; bytes of queries that are sent to the tasks at a time.
+BLOCK, QUERY_BLOCK, BATCH_BYTES = 4096, 1024, 16 << 20
+#: Rounds of reading: share of a query's lists, the heaviest first, that are read to the end, and share of the others' entries.
+ROUNDS = ((1 / 4, 1 / 8), (3 / 8, 1 / 8), (1 / 2, 1 / 4), (5 / 8, 1 / 4), (3 / 4, 1 / 2), (7 / 8, 1 / 2), (1, 1))
 
 
 class SortedLists:
-    """One list per dimension and direction over a block of candidates.
+    """One list per dimension over a block of candidates, read from either end, and their squared norms.
 
     A query weight above zero reads its dimension from the greatest component
-    down, one below zero from the least up. ``seen(depth)`` gives, for all
-    candidates, the components within the first ``depth`` entries less the
-    entry reached there (the frontier); ``low`` are the ends of the lists.
+    down, one below zero from the least up.
     """
 
     def __init__(self, x: np.ndarray):
         self.x, (self.n, self.d) = x, x.shape
-        order = np.argsort(x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(x, order, axis=0)
-        self.rank = np.empty_like(order)
-        np.put_along_axis(self.rank, order, np.arange(self.n)[:, None], axis=0)
-
-    def seen(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Masks of what was read, and the frontiers, for both directions; and the far ends."""
-        down, up = self.rank >= self.n - depth, self.rank < depth
-        return down, up, self.sorted[self.n - depth], self.sorted[depth - 1], self.sorted[0], self.sorted[-1]
-
-
-def search_block(queries: np.ndarray, query_ids: np.ndarray, lists: SortedLists, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query position, candidate positions, scores) of each query's best ``k`` in the block.
-
-    All queries read their lists in parallel, depth by depth. What was read
-    gives a lower bound (unread components at the lists' far ends) and an upper
-    bound (unread ones at the frontier) of every candidate. A candidate stays
-    while its upper bound reaches the k-th lower bound; a query stops when few
-    stay or none but the k can qualify, and then the scores of those that stay
-    are resolved in integers.
+        self.values = x.astype(float)
+        self.squares = self.values**2
+        self.norms = self.squares.sum(axis=1)
+        self.sorted = np.sort(self.values, axis=0)
+        self.low, self.high = self.sorted[0], self.sorted[-1]
+        self.reach = np.maximum(np.abs(self.low), np.abs(self.high))
+
+    def fronts(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The entries reached after ``depth`` entries, from the greatest down and from the least up."""
+        return self.sorted[self.n - depth], self.sorted[depth - 1]
+
+
+class Best:
+    """The k best (score, id) of each query so far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * queries
+        self.least = np.full(queries, -np.inf)
+
+    def add(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        scores, ids = np.append(self.found[query][0], scores), np.append(self.found[query][1], ids)
+        top = np.lexsort((ids, -scores))[: self.k]
+        self.found[query] = scores[top], ids[top]
+        if len(top) == self.k:
+            self.least[query] = scores[top[-1]]
+
+
+def bounds(queries: np.ndarray, heavy: np.ndarray, lists: SortedLists, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lower, upper) bounds of all scores after the ``heavy`` lists of each query were read to the end, the others to ``depth``.
+
+    What is unread of a candidate lies between the far ends of its lists and
+    their fronts; and it is no more, either way, than the product of the norms
+    of what is unread of the query and of the candidate.
+    """
+    known = np.where(heavy, queries, 0) @ lists.values.T
+    light = np.where(heavy, 0, queries)
+    rest = np.sqrt((light**2).sum(axis=1))[:, None] * np.sqrt(np.maximum(lists.norms - heavy.astype(float) @ lists.squares.T, 0))
+    plus, minus = np.maximum(light, 0), np.minimum(light, 0)
+    down, up = lists.fronts(depth)
+    fronts = plus @ np.maximum(lists.values, down).T + minus @ np.minimum(lists.values, up).T
+    ends = plus @ lists.low + minus @ lists.high
+    slack = 1e-9 * (np.abs(queries) @ lists.reach) + 1e-6  # more than rounding can amount to
+    return known + np.maximum(-rest, ends[:, None]) - slack[:, None], known + np.minimum(rest, fronts) + slack[:, None]
+
+
+def search_block(queries: np.ndarray, query_ids: np.ndarray, lists: SortedLists, ids: np.ndarray, best: Best) -> np.ndarray:
+    """Add the best of a block to ``best``; returns (query, round of its stop, candidates left) by query.
+
+    A query reads its heaviest lists first (weight times spread). A candidate
+    stays while its upper bound reaches the k-th best lower bound of the block
+    or the k-th best score of the blocks before; a query stops when few stay,
+    and the scores of those are resolved in integers. In the last round all
+    is read, so the k best and their ties are left.
     """
-    x, n = lists.x, lists.n
+    k, n = best.k, lists.n
+    weights = np.abs(queries) * (lists.high - lists.low)
+    place = np.argsort(np.argsort(-weights, axis=1, kind="stable"), axis=1)
     own = query_ids[:, None] == ids[None, :]
-    active = np.arange(len(queries))
-    plus, minus = np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
-    bounded = float(np.abs(queries).max(initial=0)) * float(np.abs(x).max(initial=0)) * 2 * max(1, lists.d) < EXACT
-    stay: dict[int, np.ndarray] = {}
-    for share in DEPTHS if bounded and n > 4 * k else ():
-        depth = max(1, int(n * share))
-        down, up, front_down, front_up, end_down, end_up = lists.seen(depth)
-        p, m = plus[active], minus[active]
-        upper = p @ np.where(down, x - front_down, 0).T.astype(float) + m @ np.where(up, x - front_up, 0).T.astype(float)
-        upper += (p @ front_down + m @ front_up)[:, None]
-        lower = p @ np.where(down, x - end_down, 0).T.astype(float) + m @ np.where(up, x - end_up, 0).T.astype(float)
-        lower += (p @ end_down + m @ end_up)[:, None]
-        lower[own[active]] = -np.inf
-        upper[own[active]] = -np.inf
-        reach = np.partition(lower, n - k, axis=1)[:, n - k]
-        left = upper >= reach[:, None]
-        done = left.sum(1) <= max(8 * k, n // 4)
+    active, floats, stops = np.arange(len(queries)), queries.astype(float), []
+    for turn, (share, part) in enumerate(ROUNDS):
+        lower, upper = bounds(floats[active], place[active] < np.ceil(share * lists.d), lists, max(1, int(n * part)))
+        lower[own[active]] = upper[own[active]] = -np.inf
+        reach = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(active), -np.inf)
+        stay = upper >= np.maximum(np.maximum(reach, best.least[active]), np.finfo(float).min)[:, None]
+        left = stay.sum(axis=1)
+        done = (left <= max(4 * k, n // 16)) | (turn == len(ROUNDS) - 1)
         for r in np.flatnonzero(done).tolist():
-            stay[int(active[r])] = np.flatnonzero(left[r])
+            at = np.flatnonzero(stay[r])
+            best.add(int(active[r]), lists.x[at] @ queries[active[r]], ids[at])
+            stops.append((int(active[r]), turn, len(at)))
         active = active[~done]
         if not len(active):
             break
-    for r in range(len(queries)):
-        at = stay.get(r)
-        if at is None:
-            at = np.flatnonzero(~own[r])
-        else:
-            at = at[~own[r][at]]
-        scores = x[at] @ queries[r]
-        best = np.lexsort((ids[at], -scores))[:k]
-        yield r, at[best], scores[best]
+    return np.array(stops, np.int64).reshape(-1, 3)
 
 
-def packed(rows: DataFrame, kind: str, size: int) -> DataFrame:
-    """Vectors of each partition in blocks: (group, d, ids, x), the last two as bytes."""
-    dtype = np.float64 if "double" in kind else np.float32
+def blocks(batches: Iterator[pa.RecordBatch], size: int, dtype: type) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(d, ids, vectors) in blocks of one dimension each."""
+    held: dict[int, tuple[list, list]] = {}
+    for batch in batches:
+        for vec_id, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = x.values.to_numpy(zero_copy_only=False).astype(dtype)
+            ids, rows = held.setdefault(len(x), ([], []))
+            ids.append(vec_id)
+            rows.append(x)
+            if len(ids) == size:
+                del held[len(x)]
+                yield len(x), np.array(ids, np.int64), np.stack(rows)
+    for d, (ids, rows) in held.items():
+        yield d, np.array(ids, np.int64), np.stack(rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
 
-        def block(key: tuple, parts: list) -> pa.RecordBatch:
-            ids, x = (b"".join(p[k] for p in parts) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([ids]), pa.array([x])], ["part", "d", "ids", "x"])
+def query_batches(asked: DataFrame, dtype: type, limit: int) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    """The queries, in blocks, ``limit`` bytes at a time."""
 
-        for batch in batches:
-            for part, vec_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                x = x.values.to_numpy(zero_copy_only=False).astype(dtype)
-                key = (part, len(x))
-                parts = held.setdefault(key, [])
-                parts.append((np.int64(vec_id).tobytes(), x.tobytes()))
-                if len(parts) == size:
-                    yield block(key, held.pop(key))
-        for key, parts in held.items():
-            yield block(key, parts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d, ids, x in blocks(batches, QUERY_BLOCK, dtype):
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([ids.tobytes()]), pa.array([x.tobytes()])], ["d", "ids", "x"])
 
-    return rows.mapInArrow(run, "part int, d int, ids binary, x binary")
+    held, size = [], 0
+    for d, ids, x in asked.mapInArrow(run, "d int, ids binary, x binary").toLocalIterator():
+        held.append((d, bytes(ids), bytes(x)))
+        size += len(ids) + len(x)
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
@@ -117,48 +146,51 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     components, and null ids take no part; a query meets the candidates of its
     own dimension but for those of its own id. Ties go to the smaller id.
     Repeated candidates are candidates each; of queries with one id the one of
-    least components counts. Returns query_id, rank, vec_id, score.
-
-    Candidates are blocked where they are read; the queries, in blocks, are
-    dealt to them by an equi-join on the query block (a broadcast if Spark
-    finds the queries small, else a shuffle). A task keeps one block of each at
-    a time and sends ``k`` rows a query and block on; ranking those needs one
-    shuffle, before which Spark keeps the best ``k`` of each task.
+    least components counts. Returns query_id, rank, vec_id, score; an empty
+    table on either side gives no rows.
+
+    Candidates stay where they are read. Queries are sent to them in batches
+    of ``BATCH_BYTES``, one pass over the candidates and one small table each;
+    a batch is dropped before the next is sent. A task keeps one block of
+    candidates and the k best of each query, by which later blocks are pruned,
+    and sends only those on; ranking them needs one shuffle.
     """
+    spark = vectors.sparkSession
     sound = "vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
-    candidates = vectors.where(sound).select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"])
-    asked = queries.where(sound).groupBy(queries["vec_id"].cast("long").alias("vec_id")).agg(F.min(queries["embedding"]).alias("embedding"))
-    parts = max(1, -(-asked.count() // QUERY_BLOCK))
-    kind = candidates.schema["embedding"].dataType.simpleString()
-    dtype = np.float64 if "double" in kind else np.float32
-
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part")
-    asked = packed(asked.select(part, "vec_id", "embedding").repartition("part").sortWithinPartitions("part", "vec_id"), kind, QUERY_BLOCK)
-    asked = asked.select("part", "d", F.col("ids").alias("q_ids"), F.col("x").alias("q"))
-    blocks = packed(candidates.select(F.lit(0).alias("part"), "vec_id", "embedding"), kind, BLOCK)
-    blocks = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "d", "ids", "x")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, lists = None, None
-        for batch in batches:
-            for d, ids, x, q_ids, q in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
-                if known != (d, ids, x):
-                    known = (d, ids, x)
-                    keys = np.frombuffer(ids, np.int64)
-                    lists = SortedLists(np.floor(np.frombuffer(x, dtype).astype(float) * scale).astype(np.int64).reshape(len(keys), d))
-                q_keys = np.frombuffer(q_ids, np.int64)
-                asked_x = np.floor(np.frombuffer(q, dtype).astype(float) * scale).astype(np.int64).reshape(len(q_keys), d)
-                out = list(search_block(asked_x, q_keys, lists, keys, k))
-                sizes = [len(at) for _, at, _ in out]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(q_keys, sizes)),
-                        pa.array(np.concatenate([keys[at] for _, at, _ in out])),
-                        pa.array(np.concatenate([s for _, _, s in out]).astype(np.int64)),
-                    ],
-                    ["query_id", "vec_id", "score"],
-                )
-
-    found = blocks.join(asked, ["part", "d"]).select("d", "ids", "x", "q_ids", "q").mapInArrow(run, "query_id long, vec_id long, score long")
+    candidates = vectors.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("embedding"))
+    asked = queries.where(sound).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("embedding"))
+    dtype = np.float64 if "double" in candidates.schema["embedding"].dataType.simpleString() else np.float32
+
+    def whole(x: np.ndarray) -> np.ndarray:
+        return np.floor(x.astype(float) * scale).astype(np.int64)
+
+    out = None
+    for batch in query_batches(asked, dtype, BATCH_BYTES):
+        shared = spark.sparkContext.broadcast(batch)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            parts = [(d, np.frombuffer(ids, np.int64), whole(np.frombuffer(x, dtype)).reshape(len(ids) // 8, d)) for d, ids, x in shared.value]
+            best = [Best(len(ids), k) for _, ids, _ in parts]
+            for d, ids, x in blocks(batches, BLOCK, dtype):
+                lists = SortedLists(whole(x)) if d else None
+                for (q_d, q_ids, q), found in zip(parts, best, strict=True):
+                    if q_d != d:
+                        continue
+                    if lists is None:  # vectors without components: every score is zero
+                        for r, own in enumerate(q_ids.tolist()):
+                            at = np.flatnonzero(ids != own)
+                            found.add(r, np.zeros(len(at), np.int64), ids[at])
+                    else:
+                        search_block(q, q_ids, lists, ids, found)
+            for (_, q_ids, _), found in zip(parts, best, strict=True):
+                sizes = [len(s) for s, _ in found.found]
+                columns = [np.repeat(q_ids, sizes), np.concatenate([i for _, i in found.found]), np.concatenate([s for s, _ in found.found])]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["query_id", "vec_id", "score"])
+
+        found = saved(candidates.mapInArrow(run, "query_id long, vec_id long, score long"), "top-k")
+        shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

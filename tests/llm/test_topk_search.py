@@ -33,6 +33,7 @@ def brute(vectors, asked, k=10):
 def test_random_vectors(spark, monkeypatch, block):
     monkeypatch.setattr(topk_search, "BLOCK", block)
     monkeypatch.setattr(topk_search, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(topk_search, "BATCH_BYTES", 200 if block == 64 else 16 << 20)  # several batches of queries
     rng = np.random.default_rng(1)
     rows = [(k, [float(np.float32(v)) for v in rng.normal(size=8).round(1)]) for k in range(400)]  # many ties
     rows += [(k, rows[3][1]) for k in range(400, 460)]  # copies
@@ -60,13 +61,55 @@ def test_bounds_hold():
     rng = np.random.default_rng(5)
     x, q = rng.integers(-50, 50, (300, 6)), rng.integers(-50, 50, (4, 6))
     lists = topk_search.SortedLists(x)
+    true = q @ x.T
     for depth in (1, 10, 150, 300):
-        down, up, fd, fu, ed, eu = lists.seen(depth)
-        p, m = np.maximum(q, 0), np.minimum(q, 0)
-        true = q @ x.T
-        upper = p @ np.where(down, x - fd, 0).T + m @ np.where(up, x - fu, 0).T + (p @ fd + m @ fu)[:, None]
-        lower = p @ np.where(down, x - ed, 0).T + m @ np.where(up, x - eu, 0).T + (p @ ed + m @ eu)[:, None]
-        assert (lower <= true).all() and (true <= upper).all()
+        for heavy in (0, 1, 3, 6):
+            mask = np.argsort(np.argsort(-np.abs(q), axis=1), axis=1) < heavy
+            lower, upper = topk_search.bounds(q.astype(float), mask, lists, depth)
+            assert (lower <= true).all() and (true <= upper).all()
+            assert heavy < 6 or (upper - lower).max() < 0.01
+
+
+def stops(x, q, k=10, block=4096):
+    """(round, candidates left, candidates) of each query and block."""
+    best, out = topk_search.Best(len(q), k), []
+    for a in range(0, len(x), block):
+        part = x[a : a + block]
+        at = topk_search.search_block(q, np.full(len(q), -1), topk_search.SortedLists(part), np.arange(a, a + len(part)), best)
+        out += [(turn, left, len(part)) for _, turn, left in at.tolist()]
+    true = q @ x.T
+    for r, (scores, ids) in enumerate(best.found):
+        want = np.lexsort((np.arange(len(x)), -true[r]))[:k]
+        assert ids.tolist() == want.tolist() and scores.tolist() == true[r][want].tolist()
+    return np.array(out)
+
+
+def scaled(x):
+    return np.floor(1024 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+
+
+def test_bounds_exclude_clustered_candidates():
+    """On clustered vectors over nine in ten are excluded by bounds with half of the lists read or less."""
+    rng = np.random.default_rng(6)
+    x = scaled(rng.normal(size=(20, 64))[rng.integers(0, 20, 12_000)] + 0.15 * rng.normal(size=(12_000, 64)))
+    got = stops(x, x[::200])
+    assert got[:, 1].sum() <= 0.1 * got[:, 2].sum()
+    assert (got[:, 0] <= 2).mean() > 0.9  # the round in which half of the lists are read
+
+
+def test_bounds_exclude_random_candidates():
+    """On vectors without any structure bounds exclude as many, but only with more of the lists read."""
+    x = scaled(np.random.default_rng(7).normal(size=(20_000, 64)))
+    got = stops(x, x[::400])
+    assert got[:, 1].sum() <= 0.1 * got[:, 2].sum()
+    assert (got[:, 0] < len(topk_search.ROUNDS) - 1).mean() > 0.9
+
+
+def test_huge_components(spark):
+    """Bounds hold where products are beyond the exact range of doubles."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-(1 << 28), 1 << 28, (500, 8))
+    stops(x, x[::50], k=5, block=100)
 
 
 def test_oracle(spark):
