@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame
 from .tables import slices
 
 BATCH_BYTES = 4 << 20
-#: Elements deeper than this become children of the one at this depth.
-MAX_DEPTH = 200
-#: Cells are padded up to this column width; wider ones run over.
-MAX_COLUMN = 120
+#: Cells before the last column are wrapped at blanks beyond this width, so that columns stay aligned (a longer word is left whole).
+WRAP = 120
+#: Greatest spans of the HTML standard.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 ESCAPABLE_RAW = frozenset(("title", "textarea"))
-UNSEEN = frozenset("head script style title meta link base template noscript iframe noembed noframes object audio video canvas svg math datalist".split())
+UNSEEN = frozenset("head script style title meta link base template noscript iframe noembed noframes object audio video canvas datalist desc defs metadata annotation annotation-xml".split())
 IN_HEAD = frozenset("base link meta title script style noscript template head html".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -49,7 +49,27 @@ TABLE_PARTS = frozenset("table thead tbody tfoot tr".split())
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?=(\S))([^\s>\"'][^\s>]*)?)?|[\s/]+")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+_DECLARATION = re.compile(r"""\s*([-\w]+)\s*:((?:[^;"'(]|"[^"]*"|'[^']*'|\([^)]*\))*)""")
+
+
+def declarations(style: str) -> dict[str, str]:
+    """Properties of a style attribute in lower case; the last one counts, an important one before others."""
+    out, important = {}, set()
+    style = _COMMENT.sub("", style)
+    at = 0
+    while at < len(style):
+        found = _DECLARATION.match(style, at)
+        end = found.end() if found else at
+        if found:
+            name, value = found.group(1).lower(), found.group(2).strip().lower()
+            forced = value.endswith("important") and "!" in value
+            if forced or name not in important:
+                out[name] = value.split("!")[0].strip() if forced else value
+                if forced:
+                    important.add(name)
+        at = style.find(";", end) + 1 or len(style)
+    return out
 
 
 class Node:
@@ -58,11 +78,18 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
 
-    def seen(self) -> bool:
+    def look(self, shown: bool) -> tuple[bool, bool]:
+        """(whether it is laid out, whether its own text is shown): visibility is inherited and may be set again, ``display: none`` takes all with it."""
         a = self.attrs
-        if self.tag in UNSEEN or (self.tag == "dialog" and "open" not in a):
-            return False
-        return not a or not ("hidden" in a or (self.tag == "input") or ("style" in a and _HIDING.search(a["style"])))
+        if self.tag in UNSEEN or self.tag == "input" or (a and "hidden" in a) or (self.tag == "dialog" and "open" not in a):
+            return False, False
+        if not a or "style" not in a:
+            return True, shown
+        style = declarations(a["style"])
+        if style.get("display") == "none":
+            return False, False
+        visibility = style.get("visibility")
+        return True, shown if visibility in (None, "inherit") else visibility not in ("hidden", "collapse")
 
 
 def tag_end(html: str, at: int) -> tuple[dict[str, str], int]:
@@ -90,42 +117,52 @@ def tag_end(html: str, at: int) -> tuple[dict[str, str], int]:
 
 
 class TreeBuilder:
-    """Builds the element tree, with the tags that authors may leave out."""
+    """Builds the element tree, with the tags that authors may leave out.
+
+    ``at`` keeps the places of the open elements by tag, so that a tag looks
+    for what it closes without walking the stack, however deep it is.
+    """
 
     def __init__(self) -> None:
         self.root = Node("#page", {})
         self.stack = [self.root]
+        self.at: dict[str, list[int]] = {}
+
+    def place(self, tag: str) -> int:
+        """Place of the innermost open element of a tag; 0 if there is none."""
+        at = self.at.get(tag)
+        return at[-1] if at else 0
 
     def open_tag(self, tags: frozenset, walls: frozenset) -> int:
-        for k in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[k].tag
-            if tag in tags:
-                return k
-            if tag in walls:
-                return 0
-        return 0
+        k = max(map(self.place, tags))
+        return k if k and k >= max(map(self.place, walls), default=0) else 0
+
+    def cut(self, k: int) -> None:
+        """End the elements from place ``k`` on."""
+        while len(self.stack) > k:
+            self.at[self.stack.pop().tag].pop()
 
     def close(self, tags: frozenset, walls: frozenset) -> None:
         k = self.open_tag(tags, walls)
         while k:
-            del self.stack[k:]
+            self.cut(k)
             k = self.open_tag(tags, walls)
 
     def leave_head(self) -> None:
-        for k, node in enumerate(self.stack):
-            if node.tag == "head":
-                del self.stack[k:]
-                return
+        at = self.at.get("head")
+        if at:
+            self.cut(at[0])
 
     def push(self, tag: str, attrs: dict[str, str]) -> Node:
         node = Node(tag, attrs)
         self.stack[-1].children.append(node)
-        if tag not in VOID and len(self.stack) < MAX_DEPTH:
+        if tag not in VOID:
+            self.at.setdefault(tag, []).append(len(self.stack))
             self.stack.append(node)
         return node
 
     def start(self, tag: str, attrs: dict[str, str]) -> None:
-        if tag == "html" or (tag == "head" and self.stack[-1] is not self.root) or (tag == "body" and any(n.tag == "body" for n in self.stack)):
+        if tag == "html" or (tag == "head" and self.stack[-1] is not self.root) or (tag == "body" and self.place("body")):
             return
         if tag not in IN_HEAD:
             self.leave_head()
@@ -139,7 +176,7 @@ class TreeBuilder:
         if tag in ("td", "th") and here in ("table", "thead", "tbody", "tfoot"):
             self.push("tr", {})
         if tag[0] == "h" and tag in ("h1", "h2", "h3", "h4", "h5", "h6") and re.fullmatch("h[1-6]", here):
-            self.stack.pop()
+            self.cut(len(self.stack) - 1)
         self.push(tag, attrs)
 
     def end(self, tag: str) -> None:
@@ -150,10 +187,11 @@ class TreeBuilder:
         else:
             k = self.open_tag(frozenset([tag]), WALLS - {tag} if tag not in TABLE_PARTS else frozenset(["table"]) - {tag})
             if k:
-                del self.stack[k:]
+                self.cut(k)
             elif tag == "p":
                 self.start("p", {})
-                self.stack.pop() if self.stack[-1].tag == "p" else None
+                if self.stack[-1].tag == "p":
+                    self.cut(len(self.stack) - 1)
 
     def text(self, data: str) -> None:
         if not data:
@@ -166,7 +204,7 @@ class TreeBuilder:
         if here.tag in TABLE_PARTS:  # text between cells is shown before the table
             if blank:
                 return
-            k = max(k for k, n in enumerate(self.stack) if n.tag == "table") if any(n.tag == "table" for n in self.stack) else 0
+            k = self.place("table")
             if k:
                 above = self.stack[k - 1].children
                 above.insert(max(0, len(above) - 1), data)
@@ -270,9 +308,21 @@ class Page:
         return self.lines
 
 
-def show(node: Node, page: Page, kept: bool = False) -> None:
-    """Write the node's visible content."""
-    if not node.seen():
+def finish(work: Iterator) -> None:
+    """Run a generator that yields the generators it waits for: recursion of any depth on a stack of its own."""
+    stack = [work]
+    while stack:
+        for inner in stack[-1]:
+            stack.append(inner)
+            break
+        else:
+            stack.pop()
+
+
+def show(node: Node, page: Page, kept: bool = False, shown: bool = True) -> Iterator:
+    """Write the node's visible content; a generator for ``finish``."""
+    laid, shown = node.look(shown)
+    if not laid:
         return
     tag = node.tag
     if tag == "br":
@@ -281,7 +331,7 @@ def show(node: Node, page: Page, kept: bool = False) -> None:
     if tag == "wbr":
         return
     if tag == "table":
-        show_table(node, page)
+        yield show_table(node, page, shown)
         return
     margin = 1 if tag in SPACED else 0
     block = tag in BLOCK
@@ -293,18 +343,18 @@ def show(node: Node, page: Page, kept: bool = False) -> None:
         start = node.attrs.get("start", "1")
         number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
         for child in node.children:
-            if isinstance(child, Node) and child.tag == "li" and child.seen():
+            if isinstance(child, Node) and child.tag == "li" and child.look(shown)[0]:
                 outer = page.indent
                 mark = f"{number}. " if tag == "ol" else "- "
                 number += 1
                 page.block(0)
                 page.mark, page.indent = mark, outer + " " * len(mark)
-                show(child, page, kept)
+                yield show(child, page, kept, shown)
                 page.line()
                 page.mark, page.indent = "", outer
             elif isinstance(child, Node):
-                show(child, page, kept)
-            else:
+                yield show(child, page, kept, shown)
+            elif shown:
                 page.text(child, kept)
     else:
         outer = page.indent
@@ -314,8 +364,8 @@ def show(node: Node, page: Page, kept: bool = False) -> None:
         for k, child in enumerate(node.children):
             if isinstance(child, Node):
                 if not closed or child.tag == "summary":
-                    show(child, page, kept)
-            elif not closed:
+                    yield show(child, page, kept, shown)
+            elif not closed and shown:
                 page.text(child[1:] if kept and not k and child[:1] == "\n" else child, kept)
         if block:
             page.line()
@@ -324,64 +374,91 @@ def show(node: Node, page: Page, kept: bool = False) -> None:
         page.block(0 if tag in ("ul", "ol", "menu", "dir") and page.indent else margin)
 
 
-def cell_lines(cell: Node) -> list[str]:
-    inner = Page()
-    for child in cell.children:
-        if isinstance(child, Node):
-            show(child, inner)
-        else:
-            inner.text(child, False)
-    return inner.finished()
+def span(cell: Node, name: str, most: int) -> int:
+    value = cell.attrs.get(name, "1").strip()
+    return min(most, int(value)) if value.isascii() and value.isdigit() and len(value) < 9 else 1
+
+
+def wrapped(lines: list[str], width: int) -> list[str]:
+    """Lines cut at blanks to the width; a longer word is left whole."""
+    out = []
+    for line in lines:
+        while len(line) > width:
+            at = line.rfind(" ", 1, width + 1)
+            at = line.find(" ", width) if at < 1 else at
+            if at < 0:
+                break
+            out.append(line[:at].rstrip(" "))
+            line = line[at + 1 :].lstrip(" ")
+        out.append(line)
+    return out
 
 
-def show_table(table: Node, page: Page) -> None:
-    """Rows with their cells in aligned columns, two blanks apart."""
+def show_table(table: Node, page: Page, shown: bool) -> Iterator:
+    """Rows with their cells in aligned columns, two blanks apart; a cell that is not shown keeps its place."""
     page.block(1)
-    rows: list[list[tuple[int, list[str]]]] = []
-    spanned: set[int] = set()  # cells over several columns, which set no width
+    rows: list[list[tuple[int, int, list[str]]]] = []
+    reaching: list[list[int]] = []  # cells over several rows: first column, column behind the last, rows still to come
 
-    def gather(node: Node) -> None:
+    def gather(node: Node, shown: bool) -> Iterator:
         for child in node.children:
             if not isinstance(child, Node):
-                page.text(child, False)
+                if shown:
+                    page.text(child, False)
                 continue
-            if not child.seen():
+            laid, seen = child.look(shown)
+            if not laid:
                 continue
             if child.tag == "tr":
-                row, column = [], 0
+                row, column, below = [], 0, []
+                above = sorted(reaching)
                 for cell in child.children:
-                    if isinstance(cell, Node) and cell.tag in ("td", "th") and cell.seen():
-                        row.append((column, cell_lines(cell)))
-                        span = cell.attrs.get("colspan", "1")
-                        over = min(100, max(1, int(span))) if span.isascii() and span.isdigit() and len(span) < 5 else 1
-                        if over > 1:
-                            spanned.add(id(row[-1][1]))
+                    if isinstance(cell, Node) and cell.tag in ("td", "th"):
+                        while above and above[0][0] <= column:
+                            column = max(column, above.pop(0)[1])
+                        inner = Page()
+                        laid, text_shown = cell.look(seen)
+                        for part in cell.children if laid else ():
+                            if isinstance(part, Node):
+                                yield show(part, inner, False, text_shown)
+                            elif text_shown:
+                                inner.text(part, False)
+                        over, down = max(1, span(cell, "colspan", MAX_COLSPAN)), span(cell, "rowspan", MAX_ROWSPAN)
+                        row.append((column, over, inner.finished()))
+                        if down != 1:  # 0: to the end of the group of rows
+                            below.append([column, column + over, (down or MAX_ROWSPAN) - 1])
                         column += over
                     elif isinstance(cell, Node):
-                        show(cell, page)
-                    else:
+                        yield show(cell, page, False, seen)
+                    elif seen:
                         page.text(cell, False)
                 rows.append(row)
+                reaching[:] = [[a, b, left - 1] for a, b, left in reaching if left > 1] + below
             elif child.tag in ("thead", "tbody", "tfoot"):
-                gather(child)
+                reaching.clear()  # a cell does not reach into another group of rows
+                yield gather(child, seen)
+                reaching.clear()
             else:
-                show(child, page)
+                yield show(child, page, False, shown)
                 page.line()
 
-    gather(table)
+    yield gather(table, shown)
+    last = max((column + over for row in rows for column, over, _ in row), default=0) - 1
+    rows = [[(column, over, lines if column + over > last else wrapped(lines, WRAP)) for column, over, lines in row] for row in rows]
     widths: dict[int, int] = {}
     for row in rows:
-        for column, lines in row:
-            if id(lines) not in spanned:
-                widths[column] = max(widths.get(column, 0), min(MAX_COLUMN, max(map(len, lines), default=0)))
+        for column, over, lines in row:
+            if over == 1:  # cells over several columns set no width
+                widths[column] = max(widths.get(column, 0), max(map(len, lines), default=0))
     starts, at = {}, 0
     for column in range(max(widths, default=-1) + 1):
         starts[column] = at
-        at += widths.get(column, 0) + (2 if widths.get(column) else 0)
+        wide = widths.get(column, 0)
+        at += wide + 2 if wide else 0
     for row in rows:
-        for k in range(max((len(lines) for _, lines in row), default=0)):
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
             text = ""
-            for column, lines in row:
+            for column, _, lines in row:
                 if k < len(lines) and lines[k]:
                     if text:
                         text += "  "
@@ -396,7 +473,7 @@ def page_text(html: str) -> str:
     page = Page()
     for child in TreeBuilder().feed(html.replace("\0", "")).children:
         if isinstance(child, Node):
-            show(child, page)
+            finish(show(child, page))
         else:
             page.text(child, False)
     return "\n".join(page.finished()).strip("\n")
@@ -410,10 +487,13 @@ def extract_text(pages: DataFrame) -> DataFrame:
     ``- `` or their number and nest by indent; table cells stand in aligned
     columns. Left out is what a browser does not show: head, scripts, styles,
     templates, comments, elements with ``hidden`` or with a style of
-    ``display: none`` or ``visibility: hidden``, and closed details.
+    ``display: none``, text under ``visibility: hidden`` (not that which is
+    made visible again), and closed details. Cells over several rows or columns
+    keep their columns, and so does one that is not shown.
 
     Null pages give null, empty ones the empty text; broken markup is read as
-    far as it goes; repeated rows are kept. Other columns are ignored.
+    far as it goes, to any depth; null ids and repeated rows are kept. Other
+    columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,11 +16,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tokenizer_path(name: str) -> str:
-    """Path of a public vocabulary file; falls back to the shared install folder."""
-    try:
-        import public_tokenizers
-    except ModuleNotFoundError:
-        return os.path.join("/opt/tokenizers", name)
+    """Path of a public vocabulary file, the default of the operators' ``vocabulary``."""
+    import public_tokenizers
+
     return public_tokenizers.path(name)
 
 

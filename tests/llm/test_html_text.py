@@ -34,13 +34,28 @@ from fovea.llm.html_text import extract_text, page_text
         ("<head><title>t</title><p>body text", "body text"),
         ("<script>never closed <p>x", ""),
         ("<template><p>no</template>yes", "yes"),
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A  b\n   c"),
+        ("<table><tr><td>a<td rowspan=0>B<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  B  c\nd     e\nf     g"),
+        ("<table><tbody><tr><td rowspan=9>A<td>b<tbody><tr><td>c<td>d</table>", "A  b\nc  d"),
+        ("<table><tr><td rowspan=2 colspan=2>AAAA<td>b<tr><td>c<tr><td>x<td>y<td>z</table>", "AAAA  b\n      c\nx  y  z"),
+        ("<table><tr><td>a<td hidden>no<td>c<tr><td>d<td>e<td>f</table>", "a     c\nd  e  f"),
+        ("<table><tr><td>a<td style='visibility:hidden'>no<td>c<tr><td>d<td>e<td>f</table>", "a     c\nd  e  f"),
+        ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>", "yes"),
+        ("<div style='visibility:hidden'><p>no<p style='visibility:visible'>yes<table style='visibility:visible'><tr><td>cell</table></div>", "yes\n\ncell"),
+        ("<div style='display:none'><b style='visibility:visible'>no</b></div>yes", "yes"),
+        ("<p style=\"content:'display:none'\">yes</p>", "yes"),
+        ("<p style='color:red;/* display:none */'>yes</p><p style='background:url(a;display:none)'>yes</p><p style='x;display:none'>no</p>", "yes\n\nyes"),
+        ("<p style='display:none!important;display:block'>no</p><p style='display:none;display:block'>yes</p>", "yes"),
+        ("<svg><title>no</title><desc>no</desc><text>yes</text></svg> <math><mi>x</mi><annotation>no</annotation></math>", "yes x"),
+        ("<div>" * 3000 + "<script>if (a<b) {}</script><div hidden>no<div>no</div></div>yes<table><tr><td>cell" + "</div>" * 3000, "yes\n\ncell"),
+        ("<font>" * 5000 + "<p hidden>no</p>yes", "yes"),
     ],
 )
 def test_pages(html, text):
     assert page_text(html) == text
 
 
-@pytest.mark.parametrize("html", ["<div>" * 50_000 + "x", "<b><p>" * 30_000, "<a x=\"" * 50_000, "<" * 200_000, "<table><tr><td>" * 3000, "<!--" * 50_000, "</p>" * 50_000, "&" * 100_000])
+@pytest.mark.parametrize("html", ["<div>" * 50_000 + "x", "<b><p>" * 30_000, "<a x=\"" * 50_000, "<" * 200_000, "<table><tr><td>" * 3000, "<!--" * 50_000, "</p>" * 50_000, "&" * 100_000, "<table><tr><td rowspan=65534 colspan=1000>x" * 500, "<ul><li>" * 20_000 + "x", "<p style='" + "a:b;" * 100_000 + "'>x", "<p style=\"" + "a:'" * 50_000 + "\">x"])
 def test_broken_pages_end(html):
     began = time.time()
     page_text(html)
@@ -61,3 +76,36 @@ def test_table(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
     assert sorted(map(str, extract_text(pages).collect())) == sorted(f"Row(page_id={i}, text={t!r})" for i, t in ((1, "a"), (1, "a"), (2, None), (3, ""), (None, "x")))
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def grid(rows):
+    """Columns of cells given as (text, columns, rows) by filling a plain grid square by square."""
+    taken, out = set(), []
+    for y, row in enumerate(rows):
+        x = 0
+        for text, over, down in row:
+            while (y, x) in taken:
+                x += 1
+            taken |= {(y + j, x + i) for j in range(down) for i in range(over)}
+            out.append((y, x, text))
+            x += over
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["a", "bb", "ccc"]), st.integers(1, 2), st.integers(1, 3)), min_size=1, max_size=4), min_size=1, max_size=5))
+def test_cells_stand_where_a_plain_grid_puts_them(rows):
+    """Words of cells of one column begin at one place, the columns in order."""
+    rows = [[(f"{text}{y}{k}", over, down) for k, (text, over, down) in enumerate(row)] for y, row in enumerate(rows)]
+    html = "<table>" + "".join("<tr>" + "".join(f"<td colspan={o} rowspan={d}>{t}</td>" for t, o, d in row) + "</tr>" for row in rows) + "</table>"
+    lines = page_text(html).split("\n")
+    assert [line.split() for line in lines] == [[t for t, _, _ in row] for row in rows]
+    single = {t: o == 1 for row in rows for t, o, _ in row}
+    begins = {}
+    for y, x, text in grid(rows):
+        line = lines[y]
+        if all(single[t] for t in line.split()):
+            begins.setdefault(x, set()).add(line.index(text))
+    assert all(len(b) == 1 for b in begins.values())
+    firsts = [min(begins[x]) for x in sorted(begins)]
+    assert firsts == sorted(firsts)
