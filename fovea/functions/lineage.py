@@ -14,18 +14,32 @@ _own: dict[str, str] = {}
 def scratch(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
-    An application without the setting, as in tests on one machine, gets a
-    temporary folder of its own.
+    An application without the setting gets a temporary folder of its own if
+    it runs in one process, as in tests; on a cluster it fails.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     name = spark.sparkContext.applicationId
     if name not in _own:
         _own[name] = "file://" + tempfile.mkdtemp(prefix="fovea-scratch-")
     return _own[name]
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where this application writes its tables."""
+    return f"{scratch(spark).rstrip('/')}/fovea/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has saved; results that read them must have been written elsewhere."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -33,6 +47,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     and what was decided by row order (partition ids, samples) stays decided.
     """
     spark = df.sparkSession
-    path = f"{scratch(spark).rstrip('/')}/fovea/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from fovea.functions.lineage import saved
 
 MAX_ROUNDS = 60
+#: Links between cells that are joined on the driver, at most.
+FEW_LINKS = 20_000
 
 
 def star(pairs: DataFrame, at: DataFrame) -> DataFrame:
@@ -35,7 +37,32 @@ def connected_components(links: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
+def few_components(links: list[tuple]) -> list[tuple]:
+    """(node, root) of a bounded list of links."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [(x, find(x)) for x in list(root)]
+
+
 def with_component(cells: DataFrame, links: DataFrame) -> DataFrame:
-    """``cells`` (column cell) with the component of each; a cell without links is its own."""
-    roots = connected_components(links)
+    """``cells`` (column cell) with the component of each; a cell without links is its own.
+
+    Up to ``FEW_LINKS`` links are joined at once, more by rounds of jobs; the
+    result is the same.
+    """
+    links = saved(links, "cell-links")
+    few = links.limit(FEW_LINKS + 1).collect()
+    if len(few) <= FEW_LINKS:
+        kind = links.dtypes[0][1]
+        roots = links.sparkSession.createDataFrame(few_components([tuple(x) for x in few]), f"node {kind}, root {kind}")
+    else:
+        roots = connected_components(links)
     return cells.join(roots, F.col("cell") == F.col("node"), "left").withColumn("component", F.coalesce("root", "cell")).drop("node", "root")

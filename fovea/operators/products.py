@@ -22,27 +22,43 @@ def project_footprints(rows: DataFrame, traces: DataFrame, name: str = "c") -> D
     return joined.groupBy("px", "cell").agg(F.sum(F.col("value") * F.col("c")).alias("yc"))
 
 
-def project_footprints_packed(packed: DataFrame, traces: DataFrame, name: str = "c") -> DataFrame:
-    """Y C from packed frames: a matrix product per batch of frames, then one sum.
+def project_footprints_packed(packed: DataFrame, traces: DataFrame, name: str = "c", mask: DataFrame | None = None) -> DataFrame:
+    """Y C from packed frames (frame, pixels as an array of px and value): a matrix product per batch of frames, then one sum.
 
     Each frame carries its cells' values as one array, so a task holds one
-    batch of frames and one pixels-by-cells table of sums, which is what it
-    sends on.
+    batch of frames and one pixels-by-cells table of sums. With a ``mask``
+    (cell, px) only its places are kept before the sums are shuffled.
     """
     values = traces.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("cell", F.col(name).alias("c")))).alias("cs"))
+    rows = packed.join(values, "frame").select(F.col("pixels.px").alias("px"), F.col("pixels.value").alias("value"), F.col("cs.cell").alias("cell"), F.col("cs.c").alias("c"))
+
+    def placed(keys: pd.Series, values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted distinct keys, matrix with a row a frame)."""
+        sizes = keys.map(len).to_numpy()
+        known, at = np.unique(np.concatenate(keys.to_list()), return_inverse=True)
+        out = np.zeros((len(sizes), len(known)))
+        out[np.repeat(np.arange(len(sizes)), sizes), at] = np.concatenate(values.to_list())
+        return known, out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
+        total, pixels, cells = np.zeros((0, 0)), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            y = np.stack(batch["pixels"].to_numpy()).astype(float)
-            cells = [[c["cell"] for c in row] for row in batch["cs"]]
-            for cell in sorted({c for row in cells for c in row}):
-                c = np.array([next((x["c"] for x in row if x["cell"] == cell), 0.0) for row in batch["cs"]])
-                total[cell] = total.get(cell, 0) + c @ y
-        for cell, sums in total.items():
-            yield pd.DataFrame({"px": np.arange(len(sums), dtype=np.int32), "cell": np.int32(cell), "yc": sums})
-
-    parts = packed.join(values, "frame").select("pixels", "cs").mapInPandas(run, "px int, cell int, yc double")
+            if not len(batch):
+                continue
+            px, y = placed(batch["px"], batch["value"])
+            cell, c = placed(batch["cell"], batch["c"])
+            all_px, all_cells = np.union1d(pixels, px), np.union1d(cells, cell)
+            if total.shape != (len(all_cells), len(all_px)):
+                grown = np.zeros((len(all_cells), len(all_px)))
+                grown[np.ix_(np.searchsorted(all_cells, cells), np.searchsorted(all_px, pixels))] = total
+                total, pixels, cells = grown, all_px, all_cells
+            total[np.ix_(np.searchsorted(cells, cell), np.searchsorted(pixels, px))] += c.T @ y
+        for k, cell in enumerate(cells.tolist()):
+            yield pd.DataFrame({"px": pixels.astype(np.int32), "cell": np.int32(cell), "yc": total[k]})
+
+    parts = rows.mapInPandas(run, "px int, cell int, yc double")
+    if mask is not None:
+        parts = parts.join(mask.select("px", "cell").distinct(), ["px", "cell"], "left_semi")
     return parts.groupBy("px", "cell").agg(F.sum("yc").alias("yc"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fovea.functions import deconvolution
 from fovea.functions.columns import rounded
 from fovea.operators import folds, motion, segmentation, sweeps
-from fovea.plans.ctes import EMB
+from fovea.plans.ctes import EMB, TRACES
 from fovea.plans.model_queries import event_traces
 from fovea.plans.movie_queries import SEGMENTS, r
 from fovea.plans.registry import query
@@ -35,12 +35,32 @@ def deconvolved(traces: DataFrame, gamma: float, lam: float, rule: str = "undamp
     return traces.groupBy("cell").applyInPandas(run, "cell int, frame long, c double, s double")
 
 
-@query()
+#: Deconvolution as a recursion over samples: each step joins the last two pools or opens one for the next sample.
+OASIS_SQL = f"""WITH RECURSIVE {TRACES}, y AS (SELECT cell, list(r ORDER BY frame) AS y FROM tr GROUP BY cell),
+x AS (SELECT cell, list_transform(y, lambda v, i: v - CASE WHEN i = len(y) THEN 2.0::DOUBLE ELSE 2.0::DOUBLE * (1 - 0.8::DOUBLE) END) AS x FROM y),
+o AS (
+  SELECT cell, 0 AS t, []::DOUBLE[] AS v, []::DOUBLE[] AS w, []::BIGINT[] AS n FROM x
+  UNION ALL
+  SELECT cell, CASE WHEN joins THEN t ELSE t + 1 END,
+    CASE WHEN joins THEN list_append(v[:len(v) - 2], (w[-2] * v[-2] + d * w[-1] * v[-1]) / (w[-2] + d * d * w[-1])) ELSE list_append(v, x[t + 1]) END,
+    CASE WHEN joins THEN list_append(w[:len(w) - 2], w[-2] + d * d + w[-1]) ELSE list_append(w, 1.0::DOUBLE) END,
+    CASE WHEN joins THEN list_append(n[:len(n) - 2], n[-2] + n[-1]) ELSE list_append(n, 1::BIGINT) END
+  FROM (SELECT o.*, x.x, len(v) > 1 AND v[-1] < 0.8::DOUBLE ** n[-2] * v[-2] AS joins, 0.8::DOUBLE ** n[-2] AS d FROM o JOIN x USING (cell))
+  WHERE joins OR t < len(x)
+), done AS (
+  SELECT o.* FROM o JOIN x USING (cell) WHERE t = len(x) AND NOT (len(v) > 1 AND v[-1] < 0.8::DOUBLE ** n[-2] * v[-2])
+), pools AS (SELECT cell, unnest(v) AS v, unnest(n) AS n, unnest(range(len(v))) AS k FROM done
+), placed AS (SELECT *, sum(n) OVER (PARTITION BY cell ORDER BY k) - n AS start FROM pools
+), fit AS (SELECT cell, start, (start + a + 1)::BIGINT AS frame, greatest(v, 0) * 0.8::DOUBLE ** a AS c FROM (SELECT *, unnest(range(n)) AS a FROM placed)
+), spikes AS (SELECT cell, frame, c, CASE WHEN frame = start + 1 AND start > 0 THEN c - 0.8::DOUBLE * lag(c) OVER (PARTITION BY cell ORDER BY frame) ELSE 0 END AS s FROM fit)"""
+
+
+@query(f"{OASIS_SQL} SELECT cell, frame, round(c, 6) + 0.0 AS c FROM spikes")
 def oasis_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deconvolved(packed_traces(spark, sf_dir), 0.8, 2.0).select("cell", "frame", r("c"))
 
 
-@query()
+@query(f"{OASIS_SQL} SELECT cell, frame, round(s, 6) + 0.0 AS s FROM spikes")
 def oasis_s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deconvolved(packed_traces(spark, sf_dir), 0.8, 2.0).select("cell", "frame", r("s"))
 
@@ -105,7 +125,13 @@ def gamma_lambda_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep_grid(generated(spark), [0.8, 0.85, 0.9, 0.95], [k / 2 for k in range(7)])
 
 
-@query()
+@query(f"""WITH {TRACES}, y AS (SELECT cell, y, greatest(2, len(y) // 8) AS n FROM (SELECT cell, list(r ORDER BY frame) AS y FROM tr GROUP BY cell)),
+parts AS (SELECT *, unnest(range(0, len(y) - n + 1, n - n // 2)) AS a FROM y), samples AS (SELECT cell, n, a, i, y[a + i + 1] AS v FROM (SELECT *, unnest(range(n)) AS i FROM parts)),
+waves AS (SELECT cell, n, a, k, sum(v * cos(2 * pi() * k * i / n)) AS x, sum(v * sin(2 * pi() * k * i / n)) AS y
+  FROM (SELECT *, unnest(range(n // 2 + 1)) AS k FROM samples) GROUP BY cell, n, a, k),
+power AS (SELECT cell, n, k, avg((x * x + y * y) / n) AS p FROM waves GROUP BY cell, n, k),
+sided AS (SELECT cell, CASE WHEN k BETWEEN 1 AND (n + 1) // 2 - 1 THEN 2 * p ELSE p END AS p FROM power WHERE k::DOUBLE / n > 0.25)
+SELECT cell, round(sqrt(avg(p) / 2), 6) + 0.0 AS sigma FROM sided GROUP BY cell""")
 def noise_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"cell": rows["cell"], "sigma": [deconvolution.noise_sigma(np.asarray(y)) for y in rows["y"]]})
@@ -115,6 +141,33 @@ def noise_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Regions
 
+VIDEO_IMAGE = """moments AS (SELECT video_id, px, avg(value) x1, avg(value ** 2) x2, avg(value ** 3) x3, avg(value ** 4) x4 FROM emb GROUP BY ALL), summary AS (
+  SELECT px, avg((x3 - 3 * x1 * x2 + 2 * x1 ** 3) ** 2 / (x2 - x1 * x1) ** 3 / 12 + ((x4 - 4 * x1 * x3 + 6 * x1 * x1 * x2 - 3 * x1 ** 4) / (x2 - x1 * x1) ** 2 - 3) / 48) AS v FROM moments GROUP BY px)"""
+
+
+def regions_sql(image: str, seeds: str, edge: str) -> str:
+    """Regions on an 8 x 8 frame as a recursion over pixels: each step takes one more pixel into the region under way, or opens one at the next seed.
+
+    ``image``: one row of lists by pixel, ``v`` and what ``edge`` reads, and
+    ``ord``, the pixels in the order of seeds. ``seeds`` is a condition on a
+    pixel s, ``edge`` one on a free pixel q beside a pixel p of the region that
+    began at ``seed``. Gives found (px, label).
+    """
+    free = f"""list_filter(range(64), lambda q: cur > 0 AND lab[q + 1] = 0 AND len(list_filter([q + 1, q - 1, q + 8, q - 8],
+      lambda p: p BETWEEN 0 AND 63 AND abs(p % 8 - q % 8) <= 1 AND lab[p + 1] = cur AND {edge})) > 0)[1]"""
+    return f"""img AS MATERIALIZED ({image}), grown AS (
+  SELECT 0 AS step, list_transform(range(64), lambda i: 0) AS lab, 0 AS cur, -1::BIGINT AS seed
+  UNION ALL
+  SELECT step + 1, list_transform(lab, lambda l, i: CASE WHEN i = coalesce(q, s) + 1 THEN CASE WHEN q IS NULL THEN cur + 1 ELSE cur END ELSE l END),
+    CASE WHEN q IS NULL THEN cur + 1 ELSE cur END, CASE WHEN q IS NULL THEN s ELSE seed END
+  FROM (SELECT grown.*, {free} AS q, list_filter(ord, lambda s: lab[s + 1] = 0 AND {seeds})[1] AS s FROM grown, img) WHERE q IS NOT NULL OR s IS NOT NULL
+), found AS (SELECT unnest(range(64)) AS px, unnest(lab) AS label FROM grown ORDER BY step DESC LIMIT 64)"""
+
+
+IMAGE_ROW = "SELECT list(v ORDER BY px) AS v, (SELECT list(px::BIGINT ORDER BY v DESC, px) FROM summary) AS ord FROM summary"
+UNIT = """members AS (SELECT label, found.px::INTEGER AS px, greatest(v, 0) AS w FROM found JOIN summary USING (px) WHERE label > 0 AND v > 0)
+SELECT dense_rank() OVER (ORDER BY label)::INTEGER AS cell, px, round(w / sqrt(sum(w * w) OVER (PARTITION BY label)), 6) + 0.0 AS w FROM members"""
+
 
 def summary_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.negentropy_per_video(movies.embedding_movie(spark, sf_dir).rows)
@@ -133,19 +186,28 @@ def init_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.init_footprints(summary_image(spark, sf_dir), 8, 8, min_size=3, sens=0.5, min_n=10).select("cell", "px", r("w"))
 
 
-@query()
+@query(f"WITH RECURSIVE {EMB}, {VIDEO_IMAGE}, {regions_sql(IMAGE_ROW, 'v[s + 1] > 0', 'v[q + 1] > 0 AND v[p + 1] > v[q + 1]')}, {UNIT}")
 def segment_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     image = summary_image(spark, sf_dir).withColumn("image", F.lit(1))
     return segmentation.peaks(image, 8, 8, 0.0).select("cell", "px", r("w"))
 
 
-@query()
+@query(f"WITH RECURSIVE {EMB}, {VIDEO_IMAGE}, {regions_sql(IMAGE_ROW, 'true', 'v[p + 1] > 0.5 * v[seed + 1]')}, {UNIT}")
 def segment_peaks_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
     image = summary_image(spark, sf_dir).withColumn("image", F.lit(1))
     return segmentation.peaks_tolerance(image, 8, 8, 0.5).select("cell", "px", r("w"))
 
 
-@query()
+GROW_ROW = """SELECT list(z ORDER BY px) AS z, (SELECT list(px::BIGINT ORDER BY pnr DESC, px) FROM stats) AS ord FROM (
+  SELECT top.px, list(coalesce((value - m) / nullif(sd, 0), 0) ORDER BY emb.px) AS z FROM top JOIN emb USING (frame) JOIN stats ON stats.px = emb.px GROUP BY top.px)"""
+
+
+@query(f"""WITH RECURSIVE {EMB}, stats AS (SELECT px, avg(value) AS m, stddev_pop(value) AS sd, (max(value) - avg(value)) / nullif(stddev_pop(value), 0) AS pnr FROM emb GROUP BY px),
+top AS (SELECT px, frame FROM emb QUALIFY row_number() OVER (PARTITION BY px ORDER BY value DESC, frame) = 1),
+{regions_sql(GROW_ROW, "true", "z[seed + 1][q + 1] > -list_min(z[seed + 1])")},
+first AS (SELECT label, px AS seed FROM (SELECT label, px, row_number() OVER (PARTITION BY label ORDER BY list_position(ord, px)) AS k FROM found, img WHERE label > 0) WHERE k = 1),
+members AS (SELECT label, px::INTEGER AS px, z[seed + 1][px + 1] AS w, count(*) OVER (PARTITION BY label) AS n FROM found JOIN first USING (label), img WHERE z[seed + 1][px + 1] <> 0)
+SELECT dense_rank() OVER (ORDER BY label)::INTEGER AS cell, px, round(w, 4) + 0.0 AS w FROM members WHERE n > 1""")
 def roi_grow_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
     movie = movies.embedding_movie(spark, sf_dir)
     ratio = folds.peak_noise_ratio(movie.rows, movie.packed.count())
@@ -155,26 +217,24 @@ def roi_grow_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Motion
 
 
-@query(f"""WITH {EMB} SELECT frame, ((px % 8 + frame % 3) % 8 + 8 * ((px // 8 + frame % 2) % 8))::INTEGER AS px, round(value, 6) + 0.0 AS value FROM emb WHERE frame <= 10""")
+@query(f"""WITH {EMB} SELECT frame, ((px % 8 + frame % 3) % 8 + 8 * ((px // 8 + frame % 2) % 8))::INTEGER AS px, round(value, 6) + 0.0 AS value FROM emb""")
 def shift_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = movies.embedding_movie(spark, sf_dir).rows.where("frame <= 10")
+    rows = movies.embedding_movie(spark, sf_dir).rows
     shifts = rows.select("frame").distinct().select("frame", (F.col("frame") % 3).cast("int").alias("s1"), (F.col("frame") % 2).cast("int").alias("s2"))
     return motion.shift_frames(rows, shifts, 8, 8).select("frame", "px", r("value"))
 
 
 @query(f"""WITH {EMB}, t AS (SELECT px, value AS v FROM emb WHERE frame = 7),
-s AS (SELECT k AS frame, (px % 8 + k) % 8 AS d1, (px // 8 + 3 * k) % 8 AS d2, v FROM t, range(1, 25) a(k)),
+s AS (SELECT frame, px % 8 AS d1, px // 8 AS d2, value AS v FROM emb),
 x AS (SELECT frame, a, b, sum(s.v * t.v) AS x FROM s, range(8) p(a), range(8) q(b), t
   WHERE t.px = (d1 - a + 8) % 8 + 8 * ((d2 - b + 8) % 8) GROUP BY ALL),
-m AS (SELECT frame, a, b FROM x QUALIFY row_number() OVER (PARTITION BY frame ORDER BY x DESC, b, a) = 1)
+m AS (SELECT frame, a, b FROM x QUALIFY row_number() OVER (PARTITION BY frame ORDER BY abs(x) DESC, b, a) = 1)
 SELECT frame, (-(CASE WHEN a + 1 > 4.5 THEN a - 8 ELSE a END))::INTEGER AS s1, (-(CASE WHEN b + 1 > 4.5 THEN b - 8 ELSE b END))::INTEGER AS s2 FROM m""")
 def register_to_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shifted copies of one frame, registered to it."""
-    still = movies.embedding_movie(spark, sf_dir).rows.where("frame = 7").select("px", F.col("value").alias("v"))
-    copies = still.withColumn("frame", F.explode(F.sequence(F.lit(1), F.lit(24))))
-    moved = copies.withColumn("px", motion.shifted_pixel(F.col("px"), F.col("frame"), 3 * F.col("frame"), 8, 8))
-    packed = moved.groupBy(F.col("frame").cast("long").alias("frame")).agg(F.sort_array(F.collect_list(F.struct("px", "v"))).alias("p"))
-    return motion.register_to_template(packed.select("frame", F.col("p.v").alias("pixels")), still, 8, 8).select("frame", "s1", "s2")
+    """Every frame of the movie registered to one of them."""
+    movie = movies.embedding_movie(spark, sf_dir)
+    still = movie.rows.where("frame = 7").select("px", F.col("value").alias("v"))
+    return motion.register_to_template(movie.packed, still, 8, 8).select("frame", "s1", "s2")
 
 
 @query()
@@ -202,7 +262,10 @@ def planted(spark: SparkSession, cells: int = 4, frames: int = 160, side: int =
 
 @query()
 def pipeline_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rounds over a planted movie: pixels and energy of each cell found."""
-    session = Session(planted(spark)).run(rounds=1, merges=1, deconvolve=sweeps.zero_clamp, min_size=8, sens=5.0, min_n=100)
+    """The whole analysis with the session's own defaults, four rounds of three merges with fitted deconvolution, over a planted movie: pixels and energy of each cell found.
+
+    The tables hold no recording of cells, so the movie is generated.
+    """
+    session = Session(planted(spark)).run(min_size=8, sens=5.0, min_n=100)
     sizes = session.footprints.groupBy("cell").agg(F.count("*").alias("pixels"))
     return sizes.join(session.traces.groupBy("cell").agg(rounded(F.sum("c"), 2).alias("total")), "cell")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fovea.functions.columns import pixel, rounded
 from fovea.functions.lineage import saved, scratch
 from fovea.operators import folds, views
-from fovea.plans.ctes import EMB, EMB_IMAGE, GRID, LI, TRACES
+from fovea.plans.ctes import EMB, EMB_IMAGE, GRID, LI, MODEL, TRACES
 from fovea.plans.registry import query
 from fovea.sources import movies, store, synthetic
 
@@ -46,11 +46,11 @@ def scan_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {EMB} SELECT frame, (px % 8 - 3 + 2 * (px // 8 - 1))::INTEGER AS px, round(value, 6) + 0.0 AS value
-FROM emb WHERE frame <= 20 AND px % 8 BETWEEN 3 AND 4 AND px // 8 BETWEEN 1 AND 4""")
+FROM emb WHERE px % 8 BETWEEN 3 AND 4 AND px // 8 BETWEEN 1 AND 4""")
 def crop_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crop of a crop of the first frames."""
+    """A crop of a crop of every frame."""
     movie = movies.embedding_movie(spark, sf_dir)
-    outer = movies.crop(movie.rows.where("frame <= 20"), 8, (2, 5), (1, 6))
+    outer = movies.crop(movie.rows, 8, (2, 5), (1, 6))
     return movies.crop(outer, 4, (1, 2), (0, 3)).select("frame", "px", r("value"))
 
 
@@ -122,14 +122,17 @@ def segment_ranges_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.select("video_id", "seg", (F.col("lo") + F.col("offset")).alias("lo"), (F.col("hi") + F.col("offset")).alias("hi"))
 
 
-@query(f"""WITH {EMB} SELECT CASE video_id WHEN 1 THEN 'a' ELSE 'b' END AS filename, frame,
-  CASE video_id WHEN 1 THEN px % 8 - 1 + 6 * (px // 8 - 1) ELSE px % 8 + 6 * (px // 8 - 2) END::INTEGER AS px, round(value, 6) + 0.0 AS value
-FROM emb WHERE (video_id = 1 AND px % 8 BETWEEN 1 AND 6 AND px // 8 BETWEEN 1 AND 6) OR (video_id = 2 AND px % 8 BETWEEN 0 AND 5 AND px // 8 BETWEEN 2 AND 7)""")
+BOXES = tuple((f"v{k}", 1 + k % 3, 6 + k % 3, 1 + k // 3 % 3, 6 + k // 3 % 3) for k in range(1, 11))
+
+
+@query(f"""WITH {EMB}, b AS (SELECT 'v' || k AS filename, k AS video_id, k % 3 AS l, k // 3 % 3 AS t FROM range(1, 11) r(k))
+SELECT filename, frame, (px % 8 - l + 6 * (px // 8 - t))::INTEGER AS px, round(value, 6) + 0.0 AS value
+FROM emb JOIN b USING (video_id) WHERE px % 8 BETWEEN l AND l + 5 AND px // 8 BETWEEN t AND t + 5""")
 def aligned_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two videos cropped by an alignment table read as CSV."""
-    lines = spark.createDataFrame([("a,2,7,2,7",), ("b,1,6,3,8",)], "line string")
+    """Each video cropped to its own box by an alignment table read as CSV."""
+    lines = spark.createDataFrame([(",".join(map(str, box)),) for box in BOXES], "line string")
     boxes = lines.select(F.from_csv("line", movies.ALIGNMENT).alias("b")).select("b.*")
-    rows = movies.embedding_movie(spark, sf_dir).rows.where("video_id <= 2").withColumn("filename", F.when(F.col("video_id") == 1, "a").otherwise("b"))
+    rows = movies.embedding_movie(spark, sf_dir).rows.withColumn("filename", F.concat(F.lit("v"), F.col("video_id").cast("string")))
     return movies.aligned(rows, boxes, 8).select("filename", "frame", "px", r("value"))
 
 
@@ -179,7 +182,8 @@ def empty_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 PATHS = ("a.nwb", "b.hdf", "c.hdf5", "d.h5", "e.parquet", "f.tif", "g")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{k}')" for p, k in zip(PATHS, ("nwb", "hdf", "hdf", "hdf", "parquet", "empty", "empty"), strict=True)) + ") t(path, kind)")
+@query(f"""SELECT path, CASE WHEN path LIKE '%.nwb' THEN 'nwb' WHEN regexp_matches(path, '[.](hdf|hdf5|h5)$') THEN 'hdf' WHEN path LIKE '%.parquet' THEN 'parquet' ELSE 'empty' END AS kind
+FROM (VALUES {", ".join(f"('{p}')" for p in PATHS)}) t(path)""")
 def open_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a path opens as."""
     return spark.createDataFrame([(p,) for p in PATHS], "path string").select("path", movies.open_kind(F.col("path")).alias("kind"))
@@ -209,7 +213,9 @@ def video_key_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(f,) for f in FILES], "filename string").select("filename", store.video_key(F.col("filename")).alias("video_key"))
 
 
-@query()
+@query(f"""WITH {MODEL}, t AS (SELECT 'footprints' AS "table", count(*) AS n, round(sum(w), 4) + 0.0 AS s FROM grid UNION ALL SELECT 'traces', count(*), round(sum(c), 4) + 0.0 FROM tr
+UNION ALL SELECT 'b0', count(*), round(sum(b), 4) + 0.0 FROM b0 UNION ALL SELECT 'f', count(*), round(sum(f), 4) + 0.0 FROM f)
+SELECT "table", n AS rows_saved, s AS sum_saved, n AS rows_loaded, s AS sum_loaded FROM t""")
 def load_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A solution saved and loaded: rows and sums of every table, before and after."""
     import uuid
@@ -346,7 +352,8 @@ def ar1_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.select("cell", (F.col("k") + 1).cast("long").alias("frame"), r("c"))
 
 
-@query("SELECT * FROM (VALUES (1, 3), (2, 1), (3, 2), (4, 4), (5, 5)) t(place, seg)")
+@query(f"""WITH every AS (SELECT "at", seg FROM (VALUES (1, 3), (2, 1)) c("at", seg) UNION ALL SELECT 1000 + s, s FROM range(1, {SEGMENTS + 1}) r(s)),
+first AS (SELECT seg, min("at") AS "at" FROM every GROUP BY seg) SELECT row_number() OVER (ORDER BY "at")::INTEGER AS place, seg::INTEGER AS seg FROM first""")
 def set_union_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cached segments first, then the others in their own order."""
     cached = spark.createDataFrame([(1, 3), (2, 1)], "at int, seg int")
@@ -357,16 +364,16 @@ def set_union_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select(F.row_number().over(Window.orderBy("at")).alias("place"), "seg")
 
 
-STAGES = (("load", 6.0), ("background", 58.0), ("rechunk", 57.0), ("initialise", 499.5), ("first", 423.5), ("second", 294.0))
-STAGE_ROWS = ", ".join(f"({k}, '{n}', {s}::DOUBLE)" for k, (n, s) in enumerate(STAGES, 1))
+STAGES_SQL = "stages AS (SELECT stage, row_number() OVER (ORDER BY stage)::INTEGER AS i, s FROM (SELECT l_returnflag || l_linestatus AS stage, sum(l_quantity)::DOUBLE AS s FROM lineitem GROUP BY stage))"
 
 
-@query(f"SELECT i, stage, sum(s) OVER (ORDER BY i) - s AS start_s, sum(s) OVER (ORDER BY i) AS end_s, sum(s) OVER (ORDER BY i) - s / 2 AS middle_s FROM (VALUES {STAGE_ROWS}) t(i, stage, s)")
+@query(f"WITH {STAGES_SQL} SELECT i, stage, sum(s) OVER (ORDER BY i) - s AS start_s, sum(s) OVER (ORDER BY i) AS end_s, sum(s) OVER (ORDER BY i) - s / 2 AS middle_s FROM stages")
 def stage_cumsum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Start, end and middle of stages that follow each other."""
+    """Start, end and middle of stages that follow each other: return and line states, each as long as its quantity (one row a stage is ordered)."""
     from pyspark.sql import Window
 
-    stages = spark.createDataFrame([(k, n, s) for k, (n, s) in enumerate(STAGES, 1)], "i int, stage string, s double")
+    sums = movies.read(spark, sf_dir, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("stage")).agg(F.sum("l_quantity").cast("double").alias("s"))
+    stages = sums.withColumn("i", F.row_number().over(Window.orderBy("stage")))
     end = F.sum("s").over(Window.orderBy("i"))
     return stages.select("i", "stage", (end - F.col("s")).alias("start_s"), end.alias("end_s"), (end - F.col("s") / 2).alias("middle_s"))
 

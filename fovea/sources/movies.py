@@ -31,6 +31,15 @@ class Movie:
         return self.rows.sparkSession.range(self.height * self.width).select(F.col("id").cast("int").alias("px"))
 
 
+def packed_frames(rows: DataFrame) -> DataFrame:
+    """(video_id, frame, pixels): a row a frame, its pixels as an array of (px, value); absent pixels stay absent."""
+    return rows.groupBy("video_id", "frame").agg(F.sort_array(F.collect_list(F.struct("px", "value"))).alias("pixels"))
+
+
+def unpacked_frames(packed: DataFrame) -> DataFrame:
+    return packed.select("video_id", "frame", F.explode("pixels").alias("p")).select("video_id", "frame", "p.px", "p.value")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,8 +71,9 @@ def embedding_movie(spark: SparkSession, sf_dir: str) -> Movie:
 
 
 def event_movie(spark: SparkSession, sf_dir: str) -> Movie:
-    """``events`` as three videos of 240 hourly 8 x 8 frames, dense."""
+    """``events`` as three videos of 240 hourly 8 x 8 frames, dense; an event outside the 720 hours fails."""
     hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) + 1")
+    hour = F.when(hour.between(1, 720) | hour.isNull(), hour).otherwise(F.raise_error(F.lit("an event lies outside the movie's hours")).cast("bigint"))
     sums = read(spark, sf_dir, "events").groupBy(hour.alias("frame"), (F.col("user_id") % 64).cast("int").alias("px")).agg(F.sum("value").alias("v"))
     cells = spark.range(720 * 64).select((F.floor(F.col("id") / 64) + 1).alias("frame"), (F.col("id") % 64).cast("int").alias("px"))
     rows = cells.join(sums, ["frame", "px"], "left").select(
@@ -187,15 +197,23 @@ def open_kind(path: Column) -> Column:
 
 
 def open_movie(spark: SparkSession, path: str, height: int, width: int) -> Movie:
-    """A movie stored as packed Parquet, or an HDF5 file where the optional reader is installed; else the empty movie."""
+    """A movie stored as packed Parquet, or an HDF5 file through the optional reader.
+
+    A path of any other kind is the empty movie. A missing file, or a missing
+    reader for a recording, fails: no movie is taken for an empty one.
+    """
     if path.endswith((".nwb", ".hdf", ".hdf5", ".h5")):
         from fovea.sources import hdf
 
-        if not hdf.available() or not os.path.exists(path):
-            return empty_movie(spark)
+        if not hdf.available():
+            raise RuntimeError(f"h5py is needed to open {path}")
+        if not os.path.exists(path):
+            raise FileNotFoundError(path)
         return hdf.open_hdf(spark, path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not path.endswith(".parquet") or not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if not path.endswith(".parquet"):
         return empty_movie(spark)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        raise FileNotFoundError(path)
     packed = spark.read.schema(PACKED).parquet(path)
     return Movie(exploded(packed), height, width, packed)

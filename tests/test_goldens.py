@@ -165,5 +165,8 @@ def test_open_movie(spark, tmp_path):
     frames.write.parquet(str(tmp_path / "m.parquet"))
     movie = movies.open_movie(spark, str(tmp_path / "m.parquet"), 2, 1)
     assert movie.rows.agg(F.sum("value")).first()[0] == 10
-    assert movies.open_movie(spark, "missing.parquet", 2, 1).rows.isEmpty()
-    assert movies.open_movie(spark, "missing.nwb", 2, 1).rows.isEmpty()
+    assert movies.open_movie(spark, "movie.tif", 2, 1).rows.isEmpty()
+    with pytest.raises(FileNotFoundError):
+        movies.open_movie(spark, "missing.parquet", 2, 1)
+    with pytest.raises((RuntimeError, FileNotFoundError)):
+        movies.open_movie(spark, "missing.nwb", 2, 1)

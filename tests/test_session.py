@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fovea.operators import sweeps
 from fovea.plans.analysis_queries import planted
 from fovea.session import Session
 from fovea.sources import store, synthetic
@@ -12,7 +11,7 @@ from fovea.sources import store, synthetic
 
 @pytest.fixture(scope="module")
 def session(spark):
-    return Session(planted(spark)).run(rounds=1, merges=1, deconvolve=sweeps.zero_clamp, min_size=8, sens=5.0, min_n=100)
+    return Session(planted(spark)).run(rounds=1, merges=2, min_size=8, sens=5.0, min_n=100)
 
 
 def test_recovers_planted_cells(spark, session):
