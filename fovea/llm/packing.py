@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,50 +21,84 @@ TASK_BYTES = 64 << 20
 SPECIAL = "<|endoftext|>"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 BATCH_BYTES = 4 << 20
-#: Characters on whose class (letter, number, white) the ``regex`` and ``tokenizers`` libraries agree (a test compares them).
-PLAIN = re.compile("[\0-\u052f\u2010-\u205e\u20ac\u3000-\u30ff\u4e00-\u9fff\U0001f300-\U0001f64f]*")
-#: Ids of distinct pre-tokens that a worker keeps before it starts anew, and the longest one kept.
-MAX_KNOWN, MAX_KEPT = 400_000, 64
+#: A blank beside other white space, and blanks that have none beside them.
+_MIXED, _BLANK = re.compile(r"\s | \s"), re.compile(r"(?<!\s) (?!\s)")
+_ASCII_MIXED = tuple(pair for c in " \t\n\r\v\f\x1c\x1d\x1e\x1f" for pair in (c + " ", " " + c))
+#: Ids of distinct words that a worker keeps before it starts anew, and the longest one kept.
+MAX_KNOWN, MAX_KEPT = 600_000, 64
+#: Words that go to the library in one call.
+RUN = 1000
 
-_encoders: dict[str, Callable[[str], np.ndarray]] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
-    """Text to ids, as ``tokenizers`` gives them for a byte-level BPE file (one encoder per worker).
+def cut(text: str) -> list[str]:
+    """The text cut at blanks that have no other white space beside them (the blanks left out)."""
+    mixed = any(pair in text for pair in _ASCII_MIXED) if text.isascii() else _MIXED.search(text)
+    return _BLANK.split(text) if mixed else text.split(" ")
 
-    Every id comes from the library. Byte-level BPE works on each pre-token by
-    itself, so a text of ``PLAIN`` characters is split here and each distinct
-    pre-token is encoded once; any other text goes to the library whole.
-    Special strings in a text are matched first, as by default.
+
+class Encoder:
+    """Texts to ids, as ``tokenizers`` gives them for a byte-level BPE file.
+
+    Every id comes from the library. Its pre-tokens always begin at a blank
+    that has no other white space beside it, and byte-level BPE works on each
+    pre-token by itself, so texts are cut at such blanks and the words of a
+    batch that are not known yet are encoded together, each with its blank in
+    front; their ids are told apart by the bytes that each id stands for. A
+    text that holds a special string goes to the library whole.
     """
-    if vocabulary in _encoders:
-        return _encoders[vocabulary]
-    import public_tokenizers
-    import regex
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(vocabulary)
-    split = regex.compile(public_tokenizers.PATTERN).findall
-    known: dict[str, list[int]] = {}
-
-    def fetched(piece: str) -> list[int]:
-        ids = library.encode(piece, add_special_tokens=False).ids
-        if len(piece) <= MAX_KEPT:
-            if len(known) >= MAX_KNOWN:
-                known.clear()
-            known[piece] = ids
-        return ids
-
-    def encode(text: str) -> np.ndarray:
-        if SPECIAL in text or not PLAIN.fullmatch(text):
-            return np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
-        out: list[int] = []
-        for piece in split(text):
-            out += known.get(piece) or fetched(piece)
-        return np.array(out, "<u4")
-
-    _encoders[vocabulary] = encode
-    return encode
+
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(vocabulary)
+        self.ids = lambda text: library.encode(text, add_special_tokens=False).ids
+        self.width = np.zeros(library.get_vocab_size(), np.int64)
+        for token, k in library.get_vocab().items():
+            self.width[k] = len(token)  # one character a byte
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, words: list[str]) -> None:
+        for k in range(0, len(words), RUN):
+            run = words[k : k + RUN]
+            ids = np.array(self.ids("".join(f" {w}" for w in run)), "<u4")
+            behind = np.cumsum(self.width[ids])
+            ends = np.searchsorted(behind, np.cumsum([len(w.encode()) + 1 for w in run])) + 1
+            data, start = ids.tobytes(), 0
+            for word, end in zip(run, ends.tolist(), strict=True):
+                self.known[word] = data[4 * start : 4 * end]
+                start = end
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [None if SPECIAL in t else cut(t) for t in texts]
+        new = set()
+        for words in parts:
+            if words:
+                new.update(set(words[1:]).difference(self.known))
+        if len(self.known) + len(new) > MAX_KNOWN:
+            self.known.clear()
+            new = {w for words in parts if words for w in words[1:]}
+        self.learn(sorted(new))
+        find = self.known.__getitem__
+        out = []
+        for text, words in zip(texts, parts, strict=True):
+            if words is None:
+                out.append(np.array(self.ids(text), "<u4"))
+            else:
+                first = np.array(self.ids(words[0]), "<u4").tobytes()
+                out.append(np.frombuffer(b"".join([first, *map(find, words[1:])]), "<u4"))
+        for word in new:
+            if len(word) > MAX_KEPT:
+                del self.known[word]
+        return out
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """The encoder of a file, one per worker."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary)
+    return _encoders[vocabulary]
 
 
 class Packer:
@@ -210,8 +244,9 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, vocabulary: str | None
 
         def rows() -> Iterator[tuple]:
             for batch in slices(batches, "text", BATCH_BYTES):
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    yield doc_id, np.append(encode(text), end) if text else end
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                    yield doc_id, np.append(ids, end)
 
         held, n = [], 0
         for piece in pack_rows(rows(), window, TaskContext.get().partitionId() << 32, max_open):

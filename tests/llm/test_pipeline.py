@@ -53,7 +53,7 @@ def test_packed_tokens(steps):
     from fovea.llm.tables import tokenizer_path
 
     encode = encoder(tokenizer_path("byte_bpe_50k.json"))
-    want = sum(len(encode(r["text"])) + 1 for r in steps[4].collect())
+    want = sum(len(ids) + 1 for ids in encode([r["text"] for r in steps[4].collect()]))
     assert sum(r["length"] for r in steps[5].collect()) == want
 
 
