@@ -20,12 +20,12 @@ MAX_OPEN = 16_384
 TASK_BYTES = 64 << 20
 SPECIAL = "<|endoftext|>"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: A blank beside other white space, and blanks that have none beside them.
 _MIXED, _BLANK = re.compile(r"\s | \s"), re.compile(r"(?<!\s) (?!\s)")
 _ASCII_MIXED = tuple(pair for c in " \t\n\r\v\f\x1c\x1d\x1e\x1f" for pair in (c + " ", " " + c))
 #: Ids of distinct words that a worker keeps before it starts anew, and the longest one kept.
-MAX_KNOWN, MAX_KEPT = 600_000, 64
+MAX_KNOWN, MAX_KEPT = 400_000, 64
 #: Words that go to the library in one call.
 RUN = 1000
 
