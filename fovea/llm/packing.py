@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -24,10 +25,10 @@ BATCH_BYTES = 1 << 20
 #: A blank beside other white space, and blanks that have none beside them.
 _MIXED, _BLANK = re.compile(r"\s | \s"), re.compile(r"(?<!\s) (?!\s)")
 _ASCII_MIXED = tuple(pair for c in " \t\n\r\v\f\x1c\x1d\x1e\x1f" for pair in (c + " ", " " + c))
-#: Ids of distinct words that a worker keeps before it starts anew, and the longest one kept.
-MAX_KNOWN, MAX_KEPT = 400_000, 64
+#: Distinct words whose ids a worker keeps before it forgets those met in one batch only, and the longest one kept.
+MAX_KNOWN, MAX_KEPT = 300_000, 64
 #: Words that go to the library in one call.
-RUN = 1000
+RUN = 100
 
 _encoders: dict[str, Encoder] = {}
 
@@ -52,12 +53,25 @@ class Encoder:
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         library = Tokenizer.from_file(vocabulary)
-        self.ids = lambda text: library.encode(text, add_special_tokens=False).ids
+        self.many = lambda texts: [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
         self.width = np.zeros(library.get_vocab_size(), np.int64)
         for token, k in library.get_vocab().items():
             self.width[k] = len(token)  # one character a byte
         self.known: dict[str, bytes] = {}
+        self.once: set[str] = set()  # known words that no later batch has used since they were learned or kept
+
+    def ids(self, text: str) -> list[int]:
+        return self.many([text])[0]
+
+    def forget(self, room: int) -> None:
+        """Make room for new words: keep those used again since the last time, if they take half the space at most."""
+        for word in self.once:
+            del self.known[word]
+        if len(self.known) > min(MAX_KNOWN // 2, MAX_KNOWN - room):
+            self.known.clear()
+        self.once = set(self.known)
 
     def learn(self, words: list[str]) -> None:
         for k in range(0, len(words), RUN):
@@ -72,25 +86,27 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         parts = [None if SPECIAL in t else cut(t) for t in texts]
-        new = set()
+        used: set[str] = set()
         for words in parts:
             if words:
-                new.update(set(words[1:]).difference(self.known))
+                used.update(words[1:])
+        new = used.difference(self.known)
+        self.once.difference_update(used)
         if len(self.known) + len(new) > MAX_KNOWN:
-            self.known.clear()
-            new = {w for words in parts if words for w in words[1:]}
+            self.forget(len(new))
+            new = used.difference(self.known)
         self.learn(sorted(new))
         find = self.known.__getitem__
+        firsts = iter(self.many([text if words is None else words[0] for text, words in zip(texts, parts, strict=True)]))
         out = []
-        for text, words in zip(texts, parts, strict=True):
-            if words is None:
-                out.append(np.array(self.ids(text), "<u4"))
-            else:
-                first = np.array(self.ids(words[0]), "<u4").tobytes()
-                out.append(np.frombuffer(b"".join([first, *map(find, words[1:])]), "<u4"))
+        for words in parts:
+            first = np.array(next(firsts), "<u4")
+            out.append(np.frombuffer(b"".join([first.tobytes(), *map(find, words[1:])]), "<u4") if words else first)
         for word in new:
             if len(word) > MAX_KEPT:
                 del self.known[word]
+            else:
+                self.once.add(word)
         return out
 
 
