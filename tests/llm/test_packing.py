@@ -125,6 +125,16 @@ def test_few_known_words(monkeypatch):
         assert [[*ids.tolist(), 0] for ids in encode([t for _, t in rows])] == [ids for _, ids in expected(rows)]
 
 
+def test_words_used_again_are_kept(monkeypatch):
+    monkeypatch.setattr(packing, "MAX_KNOWN", 8)
+    encode = packing.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    for text in ("x the cat a b c", "x the cat d e", "x f g h", "x the i j k l m", "x the cat n o p"):
+        assert [[*ids.tolist(), 0] for ids in encode([text])] == [ids for _, ids in expected([(1, text)])]
+        assert encode.once <= set(encode.known) and len(encode.known) <= 8
+        if text == "x f g h":
+            assert {"the", "cat", "f", "g", "h"} == set(encode.known)
+
+
 def windows(rows, tasks):
     """(closed by placement, closed by a cut, ids, padding) of documents dealt to tasks."""
     placed = cut = ids = padding = 0
