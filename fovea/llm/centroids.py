@@ -27,7 +27,7 @@ class Centroids:
     """Centroids as Python integers, and as floats where those are exact."""
 
     def __init__(self, rows: list[list[int]]):
-        self.rows = np.array(rows, dtype=object).reshape(len(rows), -1)
+        self.rows = np.array(rows, dtype=object).reshape(len(rows), len(rows[0]) if rows else 0)
         self.reach = max((abs(v) for row in rows for v in row), default=0)
         self.floats = self.rows.astype(float) if self.reach < EXACT else None
         self.longs = self.rows.astype(np.int64) if self.reach < LONG else None
