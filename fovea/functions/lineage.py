@@ -40,13 +40,13 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; a filter on a column of ``by`` reads only its folders.
 
     The result has no lineage: a lost executor costs a re-read, not a re-run,
     and what was decided by row order (partition ids, samples) stays decided.
     """
     spark = df.sparkSession
     path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Connected components of a graph of cells."""
+"""Connected components and dependency levels of a graph of cells."""
 
 from __future__ import annotations
 
@@ -66,3 +66,36 @@ def with_component(cells: DataFrame, links: DataFrame) -> DataFrame:
     else:
         roots = connected_components(links)
     return cells.join(roots, F.col("cell") == F.col("node"), "left").withColumn("component", F.coalesce("root", "cell")).drop("node", "root")
+
+
+def few_levels(links: list[tuple]) -> list[tuple]:
+    """(node, level) of a bounded list of links from lesser to greater nodes."""
+    level: dict = {}
+    for a, b in sorted(links, key=lambda x: (x[1], x[0])):
+        level[b] = max(level.get(b, 0), level.setdefault(a, 0) + 1)
+    return list(level.items())
+
+
+def dependency_levels(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """(cell, level): zero without a link (i, j) from a lesser cell i, else one more than the greatest level of these.
+
+    Up to ``FEW_LINKS`` links are walked at once, more by rounds that take off
+    the cells whose predecessors are gone, a job a level; the result is the
+    same.
+    """
+    links, cells = saved(links.where("i < j").select("i", "j"), "level-links"), cells.select("cell").distinct()
+    few = links.limit(FEW_LINKS + 1).collect()
+    if len(few) <= FEW_LINKS:
+        kind = links.dtypes[0][1]
+        found = links.sparkSession.createDataFrame(few_levels([tuple(x) for x in few]), f"node {kind}, level int")
+        return cells.join(found, F.col("cell") == F.col("node"), "left").select("cell", F.coalesce("level", F.lit(0)).alias("level"))
+    left, out, level = saved(cells, "level-cells"), None, 0
+    while True:
+        blocked = saved(links.select(F.col("j").alias("cell")).distinct(), "level-blocked")
+        free = saved(left.join(blocked, "cell", "left_anti").withColumn("level", F.lit(level)), "level")
+        out = free if out is None else out.unionByName(free)
+        left = saved(left.join(blocked, "cell", "left_semi"), "level-cells")
+        if left.isEmpty():
+            return out
+        links = saved(links.join(free.select(F.col("cell").alias("i")), "i", "left_anti"), "level-links")
+        level += 1

@@ -15,9 +15,9 @@ THRESHOLD = 0.8
 
 
 def candidates(footprints: DataFrame, traces: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(i, j, overlap, corr) with i < j, overlapping and correlated above the threshold."""
-    overlap = footprint_gram(footprints).where("i < j AND g > 0").withColumnRenamed("g", "overlap")
-    return overlap.join(trace_correlation(traces), ["i", "j"]).where(F.col("corr").isNotNull() & (F.col("corr") > threshold))
+    """(i, j, overlap, corr) with i < j, overlapping and correlated above the threshold; only traces of cells that overlap are joined."""
+    overlap = saved(footprint_gram(footprints).where("i < j AND g > 0").withColumnRenamed("g", "overlap"), "overlaps")
+    return overlap.join(trace_correlation(traces, pairs=overlap), ["i", "j"]).where(F.col("corr").isNotNull() & (F.col("corr") > threshold))
 
 
 def assign(cells: DataFrame, pairs: DataFrame) -> DataFrame:

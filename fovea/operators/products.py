@@ -77,6 +77,32 @@ def trace_gram(traces: DataFrame, name: str = "c") -> DataFrame:
     return gram(traces, "frame", name)
 
 
+#: Frames of a trace that travel as one row to the pairs it is in.
+RUN = 4096
+
+
+def pair_products(traces: DataFrame, pairs: DataFrame, name: str = "c") -> DataFrame:
+    """(i, j, g): sums of products of the traces of the given pairs only, run by run of frames."""
+    run_of = F.floor((F.col("frame") - 1) / RUN).alias("run")
+    packed = traces.groupBy("cell", run_of).agg(F.sort_array(F.collect_list(F.struct("frame", F.col(name).alias("c")))).alias("t"))
+    packed = packed.select("cell", "run", F.col("t.frame").alias("frames"), F.col("t.c").alias("c"))
+    left, right = (packed.select(F.col("cell").alias(k), "run", F.col("frames").alias(f"frames_{k}"), F.col("c").alias(f"c_{k}")) for k in ("i", "j"))
+    met = pairs.select("i", "j").distinct().join(left, "i").join(right, ["j", "run"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sums = []
+            for a, x, b, y in zip(batch["frames_i"], batch["c_i"], batch["frames_j"], batch["c_j"], strict=True):
+                if len(a) != len(b) or (a != b).any():
+                    _, at, of = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+                    x, y = x[at], y[of]
+                sums.append(float(np.dot(x, y)))
+            yield pd.DataFrame({"i": batch["i"], "j": batch["j"], "g": sums})
+
+    kind = dict(pairs.dtypes)["i"]
+    return met.mapInPandas(run, f"i {kind}, j {kind}, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+
+
 def residual_norm(rows: DataFrame, footprints: DataFrame, traces: DataFrame) -> DataFrame:
     """Frobenius norm of Y - A C from sums of squares and Gram tables; the residual is never formed."""
     yy = rows.agg(F.sum(F.col("value") * F.col("value")).alias("yy"))
@@ -89,10 +115,10 @@ def residual_norm(rows: DataFrame, footprints: DataFrame, traces: DataFrame) ->
     return joined.select(F.sqrt(F.greatest(total, F.lit(0.0))).alias("norm"))
 
 
-def trace_correlation(traces: DataFrame, name: str = "c") -> DataFrame:
-    """Pearson correlation of all ordered pairs i < j from sums; null for constant traces."""
+def trace_correlation(traces: DataFrame, name: str = "c", pairs: DataFrame | None = None) -> DataFrame:
+    """Pearson correlation of all ordered pairs i < j, or of the given ones, from sums; null for constant traces."""
     each = traces.groupBy("cell").agg(F.sum(name).alias("s"), F.sum(F.col(name) * F.col(name)).alias("ss"), F.count("*").alias("n"))
-    pairs = trace_gram(traces, name).where("i < j")
+    pairs = trace_gram(traces, name).where("i < j") if pairs is None else pair_products(traces, pairs, name)
     a = each.select(F.col("cell").alias("i"), F.col("s").alias("si"), F.col("ss").alias("qi"), "n")
     b = each.select(F.col("cell").alias("j"), F.col("s").alias("sj"), F.col("ss").alias("qj"))
     x = pairs.join(a, "i").join(b, "j")
