@@ -50,3 +50,12 @@ def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
     path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def saved_in_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``saved``, dealt by ``key`` as a join on it would deal the rows, so such joins move only their other side."""
+    spark = df.sparkSession
+    table, path = f"fovea_{uuid.uuid4().hex}", f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)

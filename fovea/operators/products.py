@@ -6,9 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fovea.functions.lineage import saved
+
 
 def project_traces(rows: DataFrame, footprints: DataFrame) -> DataFrame:
     """A Y: (video_id, frame, cell, r). Sums are formed before the shuffle; a frame's rows are read together."""
@@ -22,44 +26,120 @@ def project_footprints(rows: DataFrame, traces: DataFrame, name: str = "c") -> D
     return joined.groupBy("px", "cell").agg(F.sum(F.col("value") * F.col("c")).alias("yc"))
 
 
-def project_footprints_packed(packed: DataFrame, traces: DataFrame, name: str = "c", mask: DataFrame | None = None) -> DataFrame:
-    """Y C from packed frames (frame, pixels as an array of px and value): a matrix product per batch of frames, then one sum.
+#: Pixels of a tile; entries of a mask, and pixels from the first to the last, that go to the tasks at a time; values of a matrix of frames.
+TILE, STRIP_ENTRIES, STRIP_PIXELS, BLOCK = 1024, 1 << 21, 1 << 22, 1 << 21
 
-    Each frame carries its cells' values as one array, so a task holds one
-    batch of frames and one pixels-by-cells table of sums. With a ``mask``
-    (cell, px) only its places are kept before the sums are shuffled.
-    """
-    values = traces.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("cell", F.col(name).alias("c")))).alias("cs"))
-    rows = packed.join(values, "frame").select(F.col("pixels.px").alias("px"), F.col("pixels.value").alias("value"), F.col("cs.cell").alias("cell"), F.col("cs.c").alias("c"))
 
-    def placed(keys: pd.Series, values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        """(sorted distinct keys, matrix with a row a frame)."""
-        sizes = keys.map(len).to_numpy()
-        known, at = np.unique(np.concatenate(keys.to_list()), return_inverse=True)
-        out = np.zeros((len(sizes), len(known)))
-        out[np.repeat(np.arange(len(sizes)), sizes), at] = np.concatenate(values.to_list())
-        return known, out
+class MaskStrip:
+    """The places (cell, px) of one strip of the frame, sorted by tile, and sums for them.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, pixels, cells = np.zeros((0, 0)), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            if not len(batch):
-                continue
-            px, y = placed(batch["px"], batch["value"])
-            cell, c = placed(batch["cell"], batch["c"])
-            all_px, all_cells = np.union1d(pixels, px), np.union1d(cells, cell)
-            if total.shape != (len(all_cells), len(all_px)):
-                grown = np.zeros((len(all_cells), len(all_px)))
-                grown[np.ix_(np.searchsorted(all_cells, cells), np.searchsorted(all_px, pixels))] = total
-                total, pixels, cells = grown, all_px, all_cells
-            total[np.ix_(np.searchsorted(cells, cell), np.searchsorted(pixels, px))] += c.T @ y
-        for k, cell in enumerate(cells.tolist()):
-            yield pd.DataFrame({"px": pixels.astype(np.int32), "cell": np.int32(cell), "yc": total[k]})
-
-    parts = rows.mapInPandas(run, "px int, cell int, yc double")
-    if mask is not None:
-        parts = parts.join(mask.select("px", "cell").distinct(), ["px", "cell"], "left_semi")
-    return parts.groupBy("px", "cell").agg(F.sum("yc").alias("yc"))
+    A tile knows its pixels, the cells that reach into it and which pairs of
+    these are places; a product of matrices a tile is added to these only.
+    """
+
+    def __init__(self, px: np.ndarray, cell: np.ndarray):
+        order = np.lexsort((cell, px // TILE))
+        self.px, self.cell = px[order], cell[order]
+        self.pixels, at = np.unique(self.px, return_inverse=True)
+        self.cells, who = np.unique(self.cell, return_inverse=True)
+        self.first = int(self.pixels[0])
+        self.place = np.full(int(self.pixels[-1]) - self.first + 1, -1, np.int32)
+        self.place[self.pixels - self.first] = np.arange(len(self.pixels))
+        self.tiles = []
+        cuts = np.flatnonzero(np.diff(self.px // TILE, prepend=-1))
+        for a, z in zip(cuts, np.append(cuts[1:], len(self.px)), strict=True):
+            columns, column = np.unique(at[a:z], return_inverse=True)
+            rows, row = np.unique(who[a:z], return_inverse=True)
+            self.tiles.append((a, z, columns, rows, row * len(columns) + column))
+
+    def frames(self, frame: np.ndarray, px: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        """Matrix of ``n`` frames by the strip's pixels."""
+        out = np.zeros((n, len(self.pixels)))
+        inside = (px >= self.first) & (px < self.first + len(self.place))
+        at = self.place[px[inside] - self.first]
+        out[frame[inside][at >= 0], at[at >= 0]] = value[inside][at >= 0]
+        return out
+
+    def add(self, total: np.ndarray, y: np.ndarray, c: np.ndarray) -> None:
+        for a, z, columns, rows, places in self.tiles:
+            total[a:z] += (c[:, rows].T @ y[:, columns]).ravel()[places]
+
+
+def mask_strips(mask: DataFrame) -> Iterator[MaskStrip]:
+    """The mask, a bounded number of places and pixels at a time; a tile with more than that is cut by cells."""
+    tile = F.floor(F.col("px") / TILE)
+    counts = mask.groupBy(tile.alias("tile")).agg(F.count("*").alias("n")).orderBy("tile").collect()  # a row for each 1024 pixels
+    strips, held = [], 0
+    for r in counts:
+        if r["n"] > STRIP_ENTRIES:
+            parts = -(-r["n"] // STRIP_ENTRIES)
+            strips += [(r["tile"], r["tile"], parts, k) for k in range(parts)]
+            held = 0
+        elif held and held + r["n"] <= STRIP_ENTRIES and (r["tile"] - strips[-1][0] + 1) * TILE <= STRIP_PIXELS:
+            strips[-1] = (strips[-1][0], r["tile"], 1, 0)
+            held += r["n"]
+        else:
+            strips.append((r["tile"], r["tile"], 1, 0))
+            held = r["n"]
+    for lo, hi, parts, k in strips:
+        places = mask.where(tile.between(lo, hi) & (F.pmod(F.xxhash64("cell"), F.lit(parts)) == k)).select("px", "cell").toArrow()
+        if len(places):
+            yield MaskStrip(*(c.to_numpy().astype(np.int64) for c in places.columns))
+
+
+def project_footprints_masked(frames: DataFrame, traces: DataFrame, mask: DataFrame, name: str = "c") -> DataFrame:
+    """Y C at the places of ``mask`` (cell, px) only: (px, cell, yc), a product of matrices a tile and batch of frames, then one sum.
+
+    ``frames``: (frame, px, value) with arrays, see ``frame_arrays``; dealt by
+    frame before, they are not moved. Each frame carries its cells' values as
+    one array. A task holds one batch of frames and one sum a place, and gives
+    no more rows than the mask has places. A mask of over ``STRIP_ENTRIES``
+    places goes strip by strip, a scan each.
+    """
+    mask = saved(mask.select("px", "cell").distinct(), "places")
+    values = traces.join(mask.select("cell").distinct(), "cell", "left_semi").groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("cell", F.col(name).alias("c")))).alias("cs"))
+    rows = frames.join(values, "frame").select("px", "value", F.col("cs.cell").alias("cell"), F.col("cs.c").alias("c"))
+    out = None
+    for strip in mask_strips(mask):
+        shared = mask.sparkSession.sparkContext.broadcast(strip)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            strip = shared.value
+            total, seen = np.zeros(len(strip.px)), False
+            step = max(1, BLOCK // (len(strip.pixels) + len(strip.cells)))
+            for batch in batches:
+                for start in range(0, batch.num_rows, step):
+                    y, c = matrices_of(batch.slice(start, step), strip)
+                    strip.add(total, y, c)
+                    seen = True
+            if seen:
+                for k in range(0, len(total), 1 << 16):
+                    part = slice(k, k + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(strip.px[part].astype(np.int32)), pa.array(strip.cell[part].astype(np.int32)), pa.array(total[part])], ["px", "cell", "yc"])
+
+        part = rows.mapInArrow(run, "px int, cell int, yc double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return mask.select("px", "cell", F.lit(0.0).alias("yc"))
+    return out.groupBy("px", "cell").agg(F.sum("yc").alias("yc"))
+
+
+def matrices_of(batch: pa.RecordBatch, strip: MaskStrip) -> tuple[np.ndarray, np.ndarray]:
+    """(frames by pixels of the strip, frames by its cells)."""
+    n = batch.num_rows
+    px, value, cell, c = (batch.column(k) for k in range(4))
+    sizes = pc.list_value_length(value).to_numpy(zero_copy_only=False).astype(np.int64)
+    frame, flat = np.repeat(np.arange(n), sizes), pc.fill_null(value.flatten(), 0.0).to_numpy(zero_copy_only=False)
+    if px.null_count == n:  # whole frames
+        numbers = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    else:
+        numbers = px.flatten().to_numpy(zero_copy_only=False)
+    who, size = cell.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(cell).to_numpy(zero_copy_only=False)
+    at = np.minimum(np.searchsorted(strip.cells, who), len(strip.cells) - 1)
+    own = strip.cells[at] == who
+    traces = np.zeros((n, len(strip.cells)))
+    traces[np.repeat(np.arange(n), size)[own], at[own]] = c.flatten().to_numpy(zero_copy_only=False)[own]
+    return strip.frames(frame, numbers, flat, n), traces
 
 
 def gram(table: DataFrame, key: str, value: str, *also: str) -> DataFrame:

@@ -75,7 +75,7 @@ def footprint_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TRACES} SELECT ev.px, tr.cell, round(sum(value * c), 1) + 0.0 AS yc FROM ev JOIN tr USING (frame) GROUP BY ALL")
 def project_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     movie, _, traces = event_traces(spark, sf_dir)
-    return products.project_footprints_packed(movies.packed_frames(movie.rows), traces).select("px", "cell", r("yc", 1))
+    return products.project_footprints(movie.rows, traces).select("px", "cell", r("yc", 1))
 
 
 @query(f"WITH {TRACES} SELECT a.cell AS i, b.cell AS j, round(sum(a.c * b.c), 2) + 0.0 AS g FROM tr a JOIN tr b USING (frame) GROUP BY ALL")
@@ -331,7 +331,7 @@ def hals_traces_oasis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def footprint_sums(m: EventModel) -> DataFrame:
-    yc = products.project_footprints_packed(movies.packed_frames(m.rows), m.traces, mask=sweeps.dilated(m.footprints, 8, 8))
+    yc = products.project_footprints_masked(movies.frame_arrays(m.movie), m.traces, sweeps.dilated(m.footprints, 8, 8))
     taken = m.b0.pixel_correction(m.traces)
     return yc.join(taken, ["px", "cell"]).select("px", "cell", (F.col("yc") - F.col("x")).alias("v"))
 

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import fovea
-from fovea.functions.lineage import saved
+from fovea.functions.lineage import saved, saved_in_buckets
 from fovea.operators import folds, merging, segmentation, sweeps, views
 from fovea.operators.backgrounds import PerVideo, RankOne
-from fovea.operators.products import project_footprints_packed, project_traces
+from fovea.operators.products import project_footprints_masked, project_traces
 from fovea.sources import store
-from fovea.sources.movies import Movie, packed_frames, unpacked_frames
+from fovea.sources.movies import Movie, frame_arrays, long_rows
 
 
 class Session:
@@ -22,9 +22,9 @@ class Session:
 
     def __init__(self, movie: Movie):
         self.movie = movie
-        self.packed = saved(packed_frames(movie.rows), "movie")
-        self.rows = unpacked_frames(self.packed)
-        self.frames = saved(self.rows.select("video_id", "frame").distinct(), "frames")
+        self.packed = saved_in_buckets(frame_arrays(movie), "movie", "frame")
+        self.rows = long_rows(self.packed)
+        self.frames = saved(self.packed.select("video_id", "frame").distinct(), "frames")
         self.n = self.frames.count()
         self.image: DataFrame | None = None
         self.footprints: DataFrame | None = None
@@ -79,7 +79,7 @@ class Session:
 
     def update_footprints(self, reach: int = 1) -> Session:
         mask = saved(sweeps.dilated(self.footprints, self.movie.height, self.movie.width, reach), "mask")
-        yc = project_footprints_packed(self.packed, self.traces, mask=mask)
+        yc = project_footprints_masked(self.packed, self.traces, mask)
         taken = reduce(DataFrame.unionByName, [b.pixel_correction(self.traces) for b in (self.per_video, self.rank_one)]).groupBy("px", "cell").agg(F.sum("x").alias("x"))
         sums = yc.join(taken, ["px", "cell"], "left").select("px", "cell", (F.col("yc") - F.coalesce("x", F.lit(0.0))).alias("v"))
         new = saved(sweeps.footprint_sweep(sums, self.footprints, self.traces, self.movie.height, self.movie.width, reach), "footprints")

@@ -31,13 +31,24 @@ class Movie:
         return self.rows.sparkSession.range(self.height * self.width).select(F.col("id").cast("int").alias("px"))
 
 
-def packed_frames(rows: DataFrame) -> DataFrame:
-    """(video_id, frame, pixels): a row a frame, its pixels as an array of (px, value); absent pixels stay absent."""
-    return rows.groupBy("video_id", "frame").agg(F.sort_array(F.collect_list(F.struct("px", "value"))).alias("pixels"))
+def frame_arrays(movie: Movie) -> DataFrame:
+    """(video_id, frame, px, value): a row a frame with its pixels as arrays in order.
+
+    A packed movie is taken as it is and has no array of pixel numbers: its
+    values are those of pixels 0, 1, …. Of other movies absent pixels stay
+    absent.
+    """
+    if movie.packed is not None:
+        return movie.packed.select("video_id", "frame", F.lit(None).cast("array<int>").alias("px"), F.col("pixels").cast("array<double>").alias("value"))
+    grouped = movie.rows.groupBy("video_id", "frame").agg(F.sort_array(F.collect_list(F.struct("px", "value"))).alias("p"))
+    return grouped.select("video_id", "frame", F.col("p.px").alias("px"), F.col("p.value").alias("value"))
 
 
-def unpacked_frames(packed: DataFrame) -> DataFrame:
-    return packed.select("video_id", "frame", F.explode("pixels").alias("p")).select("video_id", "frame", "p.px", "p.value")
+def long_rows(arrays: DataFrame) -> DataFrame:
+    """``frame_arrays`` in long form."""
+    px = F.coalesce("px", F.sequence(F.lit(0), F.size("value") - 1))
+    zipped = F.explode(F.arrays_zip(px.alias("px"), F.col("value"))).alias("p")
+    return arrays.where(F.size("value") > 0).select("video_id", "frame", zipped).select("video_id", "frame", "p.px", "p.value")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
