@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
+#: The order in which neighbours are looked at decides ties.
 STEPS = ((0, 1), (0, -1), (1, 0), (-1, 0))
 
 
@@ -36,7 +37,7 @@ def flood_labels(image: np.ndarray, height: int, width: int, min_size: int) -> n
 
     def root(k: int) -> int:
         while parent[k] != k:
-            k = parent[k]
+            parent[k] = k = parent[parent[k]]
         return k
 
     for p in falling(image):
@@ -91,19 +92,20 @@ def log_chi2_tail(x: float, n: float) -> float:
 def unionfind_regions(image: np.ndarray, height: int, width: int, min_size: int = 20, sens: float = 50.0, min_n: int = 1000) -> list[dict[int, float]]:
     """Footprints of the clusters that stand out of the pooled noise of those below them."""
     label = flood_labels(image, height, width, min_size)
-    good = ~np.isnan(image)
-    names = np.unique(label[good])
-    order = sorted(names, key=lambda k: (np.mean(image[good & (label == k)] ** 2), k))
+    at = np.flatnonzero(~np.isnan(image))
+    at = at[np.argsort(label[at], kind="stable")]
+    names, first, sizes = np.unique(label[at], return_index=True, return_counts=True)
+    energy = np.add.reduceat(image[at] ** 2, first) / sizes if len(at) else np.zeros(0)
     s = ss = n = 0.0
     out = []
-    for k in order:
-        at = np.flatnonzero(good & (label == k))
-        v = image[at]
+    for k in np.lexsort((names, energy)):
+        own = at[first[k] : first[k] + sizes[k]]
+        v = image[own]
         if n > min_n:
             mean = s / n
             var = ss / n - mean * mean
             if var > 0 and log_chi2_tail(float(((v - mean) ** 2).sum() / var), len(v)) < -sens:
-                out.append(unit({int(p): float(max(0.0, w)) for p, w in zip(at, v, strict=True)}))
+                out.append(unit({int(p): float(max(0.0, w)) for p, w in zip(own, v, strict=True)}))
                 continue
         s, ss, n = s + v.sum(), ss + (v * v).sum(), n + len(v)
     return out
@@ -149,24 +151,38 @@ def tolerance_regions(image: np.ndarray, height: int, width: int, tol: float) ->
     return [r for r in out if r]
 
 
-def grown_regions(ratio: np.ndarray, frames: dict[int, np.ndarray], peak: np.ndarray, height: int, width: int, least: int) -> list[dict[int, float]]:
-    """From each free pixel by falling peak-to-noise ratio, over its z-scored peak frame above minus that frame's least value."""
-    taken, out = np.zeros(len(ratio), bool), []
-    for seed in falling(ratio):
-        local = frames.get(int(peak[seed]))
-        if taken[seed] or local is None:
+def connected_parts(pixels: list[int], height: int, width: int) -> dict[int, int]:
+    """The least pixel that each of the given pixels is connected to through them."""
+    part: dict[int, int] = {}
+    there = set(pixels)
+    for start in sorted(there):
+        if start in part:
             continue
-        threshold = -np.nanmin(local)
-        region, todo = [seed], deque([seed])
-        taken[seed] = True
+        part[start], todo = start, [start]
         while todo:
-            p = todo.popleft()
-            for q in neighbours(p, height, width):
-                if not taken[q] and local[q] > threshold:
-                    taken[q] = True
+            for q in neighbours(todo.pop(), height, width):
+                if q in there and q not in part:
+                    part[q] = start
+                    todo.append(q)
+    return part
+
+
+def grown_in_order(pixels: list[int], z: list[float], hot: list[bool], ratio: list[float], bar: tuple[float, float] | None, height: int, width: int) -> list[tuple[int, float, int, float]]:
+    """(seed, ratio, pixel, z): regions of the seeds (those with a ratio) over hot pixels, by falling ratio, up to the seed ``bar`` (-ratio, pixel)."""
+    of = {p: k for k, p in enumerate(pixels)}
+    out, taken = [], set()
+    for order, seed in sorted((-r, p) for p, r in zip(pixels, ratio, strict=True) if r is not None and not math.isnan(r)):
+        if bar is not None and (order, seed) >= bar:
+            break
+        if seed in taken:
+            continue
+        taken.add(seed)
+        region, todo = [seed], [seed]
+        while todo:
+            for q in neighbours(todo.pop(), height, width):
+                if q in of and hot[of[q]] and q not in taken:
+                    taken.add(q)
                     region.append(q)
                     todo.append(q)
-        weights = {p: float(local[p]) for p in region if local[p] != 0}
-        if len(weights) > least:
-            out.append(weights)
+        out += [(seed, -order, p, z[of[p]]) for p in region]
     return out

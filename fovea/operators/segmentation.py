@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fovea.functions import regions
+from fovea.functions.lineage import saved
 
 Finder = Callable[[np.ndarray, int, int], list[dict[int, float]]]
 
@@ -45,28 +46,70 @@ def init_footprints(image: DataFrame, height: int, width: int, **limits: float)
     return unionfind(image.withColumn("image", F.lit(1)), height, width, **limits).drop("image")
 
 
-def grow_from_peaks(ratio: DataFrame, peaks_of: DataFrame, rows: DataFrame, height: int, width: int, least: int = 50) -> DataFrame:
-    """Regions grown on the z-scored frame in which their seed peaks.
+UNITS = "unit string, px int, z double, hot boolean, pnr double"
+
 
-    Only the frames in which some pixel peaks are used: one a pixel at most.
+def growth_units(ratio: DataFrame, peaks_of: DataFrame, rows: DataFrame, height: int, width: int) -> DataFrame:
+    """(unit, px, z, hot, pnr): of each frame in which some pixel peaks, the pixels over its threshold and the seeds that peak in it, by connected part.
+
+    A frame is one group; z is the z-score, hot says that it is over the
+    threshold, pnr is set for seeds. The threshold is minus the frame's least
+    z-score; pixels without a value count as zero.
     """
     stats = rows.groupBy("px").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
-    frames = peaks_of.select("frame").distinct()
-    local = rows.join(frames, "frame").join(stats, "px").groupBy("frame").agg(
-        F.sort_array(F.collect_list(F.struct("px", F.coalesce(F.try_divide(F.col("value") - F.col("m"), F.col("sd")), F.lit(0.0)).alias("z")))).alias("z")
-    )
-    seeds = ratio.join(peaks_of, "px").select(F.lit(1).alias("image"), "px", "pnr", "frame")
-    local = local.select(F.lit(1).alias("image"), "frame", F.col("z.px").alias("px"), F.col("z.z").alias("z"))
-
-    def run(seeds: pd.DataFrame, local: pd.DataFrame) -> pd.DataFrame:
-        pnr, peak = np.full(height * width, np.nan), np.zeros(height * width, int)
-        pnr[seeds["px"]] = seeds["pnr"].astype(float)
-        peak[seeds["px"]] = seeds["frame"]
-        frames = {}
-        for frame, px, z in zip(local["frame"], local["px"], local["z"], strict=True):
-            frames[frame] = np.zeros(height * width)
-            frames[frame][px] = z
-        found = [(k, px, w) for k, cell in enumerate(regions.grown_regions(pnr, frames, peak, height, width, least), 1) for px, w in sorted(cell.items())]
-        return pd.DataFrame(found, columns=["cell", "px", "w"])
-
-    return seeds.groupBy("image").cogroup(local.groupBy("image")).applyInPandas(run, "cell int, px int, w double")
+    seeds = ratio.join(peaks_of, "px").where(F.col("pnr").isNotNull() & ~F.isnan("pnr")).select("px", "pnr", "frame")
+    local = rows.join(seeds.select("frame").distinct(), "frame").join(stats, "px")
+    local = local.select("frame", "px", F.coalesce(F.try_divide(F.col("value") - F.col("m"), F.col("sd")), F.lit(0.0)).alias("z"))
+    least = local.groupBy("frame").agg(F.min("z").alias("z"), F.count_distinct("px").alias("n"))
+    least = least.select("frame", (-F.when(F.col("n") < height * width, F.least("z", F.lit(0.0))).otherwise(F.col("z"))).alias("threshold"))
+    found = local.join(least, "frame").join(seeds, ["frame", "px"], "left").withColumn("hot", F.col("z") > F.col("threshold"))
+    found = found.where(F.col("hot") | F.col("pnr").isNotNull()).select("frame", "px", "z", "hot", "pnr")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        part = regions.connected_parts(rows["px"].tolist(), height, width)
+        out = rows[["px", "z", "hot", "pnr"]].copy()
+        out.insert(0, "unit", [f"{rows['frame'].iloc[0]}:{part[p]}" for p in rows["px"]])
+        return out
+
+    return found.groupBy("frame").applyInPandas(run, UNITS)
+
+
+def grow_from_peaks(ratio: DataFrame, peaks_of: DataFrame, rows: DataFrame, height: int, width: int, least: int = 50) -> DataFrame:
+    """Regions grown on the z-scored frame in which their seed peaks, seed after seed by falling ratio, over pixels not taken before.
+
+    Connected parts of a frame (units) only meet where they hold one pixel. In
+    a round every unit grows its seeds in order, as far as no other unit that
+    shares a pixel with it has a better seed left; then what was taken leaves
+    all units. So rounds follow the longest chain of units that wait for each
+    other, and the regions are those of one pass over all seeds. A unit, a
+    frame at most, is one group.
+    """
+    units = saved(growth_units(ratio, peaks_of, rows, height, width), "units")
+    key = F.struct((-F.col("pnr")).alias("order"), "px")
+    out, first = None, Window.partitionBy("px").orderBy("head", "unit")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        bar = (rows["bar_order"].iloc[0], rows["bar_px"].iloc[0])
+        found = regions.grown_in_order(rows["px"].tolist(), rows["z"].tolist(), rows["hot"].tolist(), rows["pnr"].tolist(), None if np.isnan(bar[0]) else bar, height, width)
+        return pd.DataFrame(found, columns=["seed", "pnr", "px", "z"])
+
+    while True:
+        heads = units.where("pnr IS NOT NULL").groupBy("unit").agg(F.min(key).alias("head"))
+        pending = saved(units.join(heads, "unit"), "pending")
+        if pending.isEmpty():
+            break
+        # the best two units of each pixel tell each unit the best of the others
+        two = pending.select("px", "unit", "head").withColumn("k", F.row_number().over(first)).where("k <= 2")
+        two = two.groupBy("px").agg(F.max(F.when(F.col("k") == 1, F.col("unit"))).alias("of"), F.min(F.when(F.col("k") == 1, F.col("head"))).alias("one"), F.min(F.when(F.col("k") == 2, F.col("head"))).alias("two"))
+        bars = pending.select("unit", "px").join(two, "px").groupBy("unit").agg(F.min(F.when(F.col("of") == F.col("unit"), F.col("two")).otherwise(F.col("one"))).alias("bar"))
+        free = pending.join(bars, "unit").where(F.col("bar").isNull() | (F.col("head") < F.col("bar")))
+        free = free.select("unit", "px", "z", "hot", "pnr", F.col("bar.order").alias("bar_order"), F.col("bar.px").cast("double").alias("bar_px"))
+        taken = saved(free.groupBy("unit").applyInPandas(run, "seed int, pnr double, px int, z double"), "taken")
+        out = taken if out is None else out.unionByName(taken)
+        units = saved(pending.select("unit", "px", "z", "hot", "pnr").join(taken.select("px").distinct(), "px", "left_anti"), "units")
+    if out is None:
+        return units.select(F.lit(0).alias("cell"), "px", F.col("z").alias("w"))
+    weighted = out.where("z != 0").withColumn("n", F.count("*").over(Window.partitionBy("seed"))).where(F.col("n") > least)
+    # a row a cell is ordered
+    names = weighted.groupBy("seed").agg(F.max("pnr").alias("pnr")).withColumn("cell", F.row_number().over(Window.orderBy(F.desc("pnr"), "seed")))
+    return weighted.join(names.select("seed", "cell"), "seed").select("cell", "px", F.col("z").alias("w"))
