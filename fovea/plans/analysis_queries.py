@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from fovea.functions import deconvolution
 from fovea.functions.columns import rounded
-from fovea.operators import folds, motion, segmentation, sweeps
-from fovea.plans.ctes import EMB, TRACES
-from fovea.plans.model_queries import event_traces
+from fovea.operators import folds, motion, segmentation, sweeps, views
+from fovea.plans.ctes import EMB, MODEL, TRACES
+from fovea.plans.model_queries import event_model, event_traces
 from fovea.plans.movie_queries import SEGMENTS, r
 from fovea.plans.registry import query
 from fovea.session import Session
@@ -234,14 +234,59 @@ def register_to_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frame of the movie registered to one of them."""
     movie = movies.embedding_movie(spark, sf_dir)
     still = movie.rows.where("frame = 7").select("px", F.col("value").alias("v"))
-    return motion.register_to_template(movie.packed, still, 8, 8).select("frame", "s1", "s2")
+    return motion.register_to_template(movies.frame_arrays(movie), still, 8, 8).select("frame", "s1", "s2")
+
+
+#: The kernel of a shift by parts of a pixel, from the waves of an 8-pixel circle; a frame's shift depends on its number here.
+WAVES = """moved AS (SELECT frame, (frame % 3) * 0.5::DOUBLE AS s1, (frame % 2) * 0.25::DOUBLE AS s2, (frame % 4) * 0.3::DOUBLE AS phase FROM emb_f),
+waves AS (SELECT s, d, sum(cos(2 * pi() * k * (d - s) / 8)) / 8 AS re, sum(sin(2 * pi() * k * (d - s) / 8)) / 8 AS im
+  FROM (SELECT DISTINCT unnest([s1, s2]) AS s FROM moved), range(8) a(d), range(-4, 4) b(k) GROUP BY ALL),
+kernels AS (SELECT s1, s2, phase, a.d AS d1, b.d AS d2, cos(phase) * (a.re * b.re - a.im * b.im) - sin(phase) * (a.re * b.im + a.im * b.re) AS w
+  FROM (SELECT DISTINCT s1, s2, phase FROM moved) JOIN waves a ON a.s = s1 JOIN waves b ON b.s = s2)"""
+
+
+@query(f"""WITH {EMB}, {WAVES} SELECT frame, (((px % 8) + d1) % 8 + 8 * (((px // 8) + d2) % 8))::INTEGER AS px, round(sum(value * w), 6) + 0.0 AS value
+FROM emb JOIN moved USING (frame) JOIN kernels USING (s1, s2, phase) GROUP BY ALL""")
+def shift_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All frames moved by parts of a pixel and a phase, in the frequency domain."""
+    movie = movies.embedding_movie(spark, sf_dir)
+    frame = F.col("frame")
+    shifts = movie.packed.select("frame", (frame % 3 * 0.5).alias("s1"), (frame % 2 * 0.25).alias("s2"), (frame % 4 * 0.3).alias("phase"))
+    return motion.MotionCorrecter(shifts).corrected(movie).rows.select("frame", "px", r("value"))
+
+
+@query(f"""WITH {MODEL}, x AS (SELECT frame, px, sum(c * w) AS x FROM tr JOIN grid USING (cell) GROUP BY ALL),
+t AS (SELECT ev.frame, ev.px, coalesce(x, 0) + b0.b + coalesce(b1.b * f, 0) AS v FROM ev LEFT JOIN x USING (frame, px) JOIN b0 USING (video_id, px) LEFT JOIN b1 USING (video_id, px) JOIN f ON f.frame = ev.frame),
+moved AS (SELECT frame, (px % 8 + frame % 3) % 8 AS d1, (px // 8 + frame % 2) % 8 AS d2, value AS v FROM ev),
+c AS (SELECT moved.frame, a, b, sum(moved.v * t.v) AS x FROM moved, range(8) p(a), range(8) q(b), t
+  WHERE t.frame = moved.frame AND t.px = (d1 - a + 8) % 8 + 8 * ((d2 - b + 8) % 8) GROUP BY ALL),
+m AS (SELECT frame, a, b, x FROM c QUALIFY row_number() OVER (PARTITION BY frame ORDER BY round(abs(x), 6) DESC, b, a) = 1)
+SELECT frame, (-(CASE WHEN a + 1 > 4.5 THEN a - 8 ELSE a END))::INTEGER AS s1, (-(CASE WHEN b + 1 > 4.5 THEN b - 8 ELSE b END))::INTEGER AS s2,
+  CASE WHEN x < 0 THEN 3.1416::DOUBLE ELSE 0.0::DOUBLE END AS phase FROM m""")
+def register_to_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A movie whose frames were moved, each registered to the model's own reconstruction of it."""
+    m = event_model(spark, sf_dir)
+    frame = F.col("frame")
+    moves = m.frames.select("frame", (frame % 3).cast("int").alias("s1"), (frame % 2).cast("int").alias("s2"))
+    shaken = movies.Movie(motion.shift_frames(m.rows, moves, 8, 8), 8, 8)
+    model = views.reconstruct(m.movie.pixels(), m.frames, m.footprints, m.traces, [m.b0, m.b1])
+    shifts = motion.MotionCorrecter.onto(shaken, model).shifts
+    return shifts.select("frame", "s1", "s2", rounded(F.abs("phase"), 4).alias("phase"))
 
 
 @query()
 def register_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = movies.embedding_movie(spark, sf_dir).packed
-    seg = movies.segment_of(F.col("frame"), packed.agg(F.count("*").alias("n")).first()["n"], SEGMENTS * 4)
-    return motion.register_pyramid(packed.withColumn("seg", seg), 8, 8).select("video_id", "seg", "frame", "s1", "s2", r("phase", 4))
+    movie = movies.embedding_movie(spark, sf_dir)
+    seg = movies.segment_of(F.col("frame"), movie.packed.count(), SEGMENTS * 4)
+    shifts = motion.register_groups(movies.frame_arrays(movie).withColumn("seg", seg), 8, 8, "video_id", "seg")
+    return shifts.select("video_id", "seg", "frame", "s1", "s2", r("phase", 4))
+
+
+@query()
+def register_video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pyramid over each whole video."""
+    movie = movies.embedding_movie(spark, sf_dir)
+    return motion.register_video(movies.frame_arrays(movie), 8, 8).select("video_id", "frame", "s1", "s2", r("phase", 4))
 
 
 @query("SELECT t AS frame, round(25 * cos(2 * pi() * t / 40))::INTEGER AS s1, round(25 * sin(2 * pi() * t / 40))::INTEGER AS s2 FROM range(1, 41) a(t)")
