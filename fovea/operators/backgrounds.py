@@ -5,20 +5,54 @@
 * rank one: an image each (video_id, px, b) times a common trace (frame, f).
 
 The hooks of a model are methods with defaults that do nothing, so another
-model needs only those that concern it.
+model needs only those that concern it. What a model leaves to another is a
+rule for the pair of their types, see ``interacts``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fovea.functions.lineage import saved
+
 from .folds import mean_by_video
 
 
+@dataclass
+class View:
+    """What the hooks of a model see of an analysis: the movie in long form, its pixels and frames, and the cells so far."""
+
+    rows: DataFrame
+    pixels: DataFrame
+    frames: DataFrame
+    n: int
+    footprints: DataFrame
+    traces: DataFrame | None = None
+
+
 class Background:
     """Defaults: a background that is nowhere."""
 
+    @classmethod
+    def begin(cls, view: View) -> Background:
+        return cls()
+
+    def after_traces(self, view: View, others: list[Background]) -> Background:
+        """The model once the traces are new."""
+        return self
+
+    def after_footprints(self, view: View, others: list[Background]) -> Background:
+        """The model once the footprints are new; the view has those from before."""
+        return self
+
+    def stored(self) -> Background:
+        """The model with its tables written."""
+        return self
+
     def trace_correction(self, footprints: DataFrame, frames: DataFrame) -> DataFrame | None:
         """(frame, cell, x): what the background adds to the projections."""
         return None
@@ -35,6 +69,28 @@ class Background:
         return self
 
 
+Others = "Background | list[Background] | None"
+Rule = Callable[["Background", "Background"], DataFrame]
+_rules: dict[tuple[str, type, type], Rule] = {}
+
+
+def interacts(what: str, taker: type, giver: type) -> Callable[[Rule], Rule]:
+    """Register what ``taker`` leaves to ``giver``: ``pixel`` (video_id, px, x) or ``trace`` (video_id, x)."""
+
+    def register(rule: Rule) -> Rule:
+        _rules[what, taker, giver] = rule
+        return rule
+
+    return register
+
+
+def left_to(what: str, taker: Background, others: Others) -> list[DataFrame]:
+    """What the others, in order, take from a model; a pair of types without a rule takes nothing."""
+    given = [others] if isinstance(others, Background) else others or []
+    rules = [(o, _rules.get((what, type(taker), type(o)))) for o in given]
+    return [rule(taker, o) for o, rule in rules if rule is not None]
+
+
 def footprint_sums(footprints: DataFrame, images: DataFrame, *keys: str) -> DataFrame:
     """A b by group: (…, cell, ab)."""
     return footprints.join(images.select(*keys, "px", "b"), "px").groupBy(*keys, "cell").agg(F.sum(F.col("w") * F.col("b")).alias("ab"))
@@ -72,6 +128,16 @@ class Static(Background):
         b = F.col("m") - F.coalesce("e", F.lit(0.0)) / frames
         return Static(self.table.drop("b").join(e, "px", "left").select("px", "m", b.alias("b")))
 
+    @classmethod
+    def begin(cls, view: View) -> Static:
+        return cls.start(view.rows, view.n)
+
+    def after_footprints(self, view: View, others: list[Background]) -> Static:
+        return self.update(view.footprints, view.traces, view.n)
+
+    def stored(self) -> Static:
+        return Static(saved(self.table, "static"))
+
     def image(self, frames: DataFrame) -> DataFrame:
         return frames.select("frame", F.lit(1).alias("k")).join(self.table.select(F.lit(1).alias("k"), "px", "b"), "k").select("frame", "px", F.col("b").alias("x"))
 
@@ -92,7 +158,7 @@ class PerVideo(Background):
         sums = trace_sums(traces, "video_id")
         return self.table.join(sums, "video_id").groupBy("px", "cell").agg(F.sum(F.col("b") * F.col("s")).alias("x"))
 
-    def update(self, footprints: DataFrame, traces: DataFrame, rank1: RankOne | None = None, frames: int = 1, lengths: DataFrame | None = None, denominator: str = "total") -> PerVideo:
+    def update(self, footprints: DataFrame, traces: DataFrame, others: Others = None, frames: int = 1, lengths: DataFrame | None = None, denominator: str = "total") -> PerVideo:
         """b = m - A' sum(C) / frames - b1 sum(f) / len: by all frames, or (``own``) by the video's."""
         e = explained(footprints, trace_sums(traces, "video_id"), "video_id")
         out = self.table.drop("b").join(e, ["video_id", "px"], "left")
@@ -100,11 +166,21 @@ class PerVideo(Background):
         if denominator == "own":
             out, by = out.join(lengths.select("video_id", "n"), "video_id"), F.col("n")
         value = F.col("m") - F.coalesce("e", F.lit(0.0)) / by
-        if rank1 is not None:
-            out = out.join(interaction_b0(rank1), ["video_id", "px"], "left")
-            value = value - F.coalesce("x", F.lit(0.0))
+        for k, taken in enumerate(left_to("pixel", self, others)):
+            out = out.join(taken.withColumnRenamed("x", f"x{k}"), ["video_id", "px"], "left")
+            value = value - F.coalesce(f"x{k}", F.lit(0.0))
         return PerVideo(out.select("video_id", "px", "m", value.alias("b")))
 
+    @classmethod
+    def begin(cls, view: View) -> PerVideo:
+        return cls.start(view.rows)
+
+    def after_footprints(self, view: View, others: list[Background]) -> PerVideo:
+        return self.update(view.footprints, view.traces, others, view.n)
+
+    def stored(self) -> PerVideo:
+        return PerVideo(saved(self.table, "b0"))
+
     def image(self, frames: DataFrame) -> DataFrame:
         return frames.join(self.table, "video_id").select("frame", "px", F.col("b").alias("x"))
 
@@ -141,31 +217,44 @@ class RankOne(Background):
     def pixel_correction(self, traces: DataFrame) -> DataFrame:
         return self.table.join(self.weighted_sums(traces), "video_id").groupBy("px", "cell").agg(F.sum(F.col("b") * F.col("s")).alias("x"))
 
-    def update_trace(self, rows: DataFrame, footprints: DataFrame, traces: DataFrame, other: Background | None) -> RankOne:
+    def update_trace(self, rows: DataFrame, footprints: DataFrame, traces: DataFrame, others: Others) -> RankOne:
         """f = Y' b - C (A b) - b' b0, not clamped."""
         ab = footprint_sums(footprints, self.table, "video_id")
         taken = traces.join(ab, ["video_id", "cell"]).groupBy("frame").agg(F.sum(F.col("c") * F.col("ab")).alias("taken"))
         out = self.trace.select("video_id", "frame").join(self.raw_trace(rows), ["video_id", "frame"], "left").join(taken, "frame", "left")
         value = F.coalesce("raw_f", F.lit(0.0)) - F.coalesce("taken", F.lit(0.0))
-        if other is not None:
-            out = out.join(interaction_f(self, other), "video_id", "left")
-            value = value - F.coalesce("x", F.lit(0.0))
+        for k, left in enumerate(left_to("trace", self, others)):
+            out = out.join(left.withColumnRenamed("x", f"x{k}"), "video_id", "left")
+            value = value - F.coalesce(f"x{k}", F.lit(0.0))
         return RankOne(self.table, out.select("video_id", "frame", value.alias("f")))
 
-    def update_images(self, rows: DataFrame, footprints: DataFrame, traces: DataFrame, other: Background | None) -> RankOne:
+    def update_images(self, rows: DataFrame, footprints: DataFrame, traces: DataFrame, others: Others) -> RankOne:
         """b = Y f - A' (C' f) - b0 sum(f), at unit norm (zero where there is none)."""
         raw = self.raw_images(rows)
         e = explained(footprints, self.weighted_sums(traces), "video_id")
         out = raw.join(e, ["video_id", "px"], "left")
         value = F.col("raw_b") - F.coalesce("e", F.lit(0.0))
-        if other is not None:
-            out = out.join(interaction_b1(self, other), ["video_id", "px"], "left")
-            value = value - F.coalesce("x", F.lit(0.0))
+        for k, left in enumerate(left_to("pixel", self, others)):
+            out = out.join(left.withColumnRenamed("x", f"x{k}"), ["video_id", "px"], "left")
+            value = value - F.coalesce(f"x{k}", F.lit(0.0))
         out = out.select("video_id", "px", value.alias("b"))
         norms = out.groupBy("video_id").agg(F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("norm"))
         unit = F.coalesce(F.try_divide("b", "norm"), F.lit(0.0))
         return RankOne(out.join(norms, "video_id").select("video_id", "px", unit.alias("b")), self.trace)
 
+    @classmethod
+    def begin(cls, view: View) -> RankOne:
+        return cls.start(view.pixels, view.frames, view.footprints)
+
+    def after_traces(self, view: View, others: list[Background]) -> RankOne:
+        return self.update_trace(view.rows, view.footprints, view.traces, others)
+
+    def after_footprints(self, view: View, others: list[Background]) -> RankOne:
+        return self.update_images(view.rows, view.footprints, view.traces, others)
+
+    def stored(self) -> RankOne:
+        return RankOne(saved(self.table, "b1"), saved(self.trace, "f"))
+
     def image(self, frames: DataFrame) -> DataFrame:
         f = self.trace.join(frames.select("frame"), "frame", "left_semi")
         return f.join(self.table, "video_id").select("frame", "px", (F.col("b") * F.col("f")).alias("x"))
@@ -198,3 +287,10 @@ def interaction_f(rank1: RankOne, other: Background) -> DataFrame:
     keys = ["px"] if isinstance(other, Static) else ["video_id", "px"]
     theirs = other.table.select(*keys, F.col("b").alias("b0"))
     return rank1.table.join(theirs, keys).groupBy("video_id").agg(F.sum(F.col("b") * F.col("b0")).alias("x"))
+
+
+interacts("pixel", PerVideo, RankOne)(lambda own, other: interaction_b0(other))
+interacts("pixel", RankOne, PerVideo)(interaction_b1)
+interacts("pixel", RankOne, Static)(interaction_b1)
+interacts("trace", RankOne, PerVideo)(interaction_f)
+interacts("trace", RankOne, Static)(interaction_f)

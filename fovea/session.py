@@ -11,27 +11,54 @@ from pyspark.sql import functions as F
 import fovea
 from fovea.functions.lineage import saved, saved_in_buckets
 from fovea.operators import folds, merging, segmentation, sweeps, views
-from fovea.operators.backgrounds import PerVideo, RankOne
+from fovea.operators.backgrounds import Background, PerVideo, RankOne, View
+from fovea.operators.motion import MotionCorrecter
 from fovea.operators.products import project_footprints_masked, project_traces
 from fovea.sources import store
 from fovea.sources.movies import Movie, frame_arrays, long_rows
 
 
 class Session:
-    """State of one analysis; every verb writes its tables once, so plans stay short."""
+    """State of one analysis; every verb writes its tables once, so plans stay short.
 
-    def __init__(self, movie: Movie):
-        self.movie = movie
-        self.packed = saved_in_buckets(frame_arrays(movie), "movie", "frame")
-        self.rows = long_rows(self.packed)
+    ``backgrounds`` are the types of the background models, in the order in
+    which they are updated; any ``Background`` with the hooks it needs will do.
+    """
+
+    def __init__(self, movie: Movie, backgrounds: tuple[type[Background], ...] = (PerVideo, RankOne)):
+        self.movie, self.kinds = movie, backgrounds
+        self.correcter = MotionCorrecter.still(movie)
+        self._read(frame_arrays(movie))
         self.frames = saved(self.packed.select("video_id", "frame").distinct(), "frames")
         self.n = self.frames.count()
         self.image: DataFrame | None = None
         self.footprints: DataFrame | None = None
         self.traces: DataFrame | None = None
         self.cells: DataFrame | None = None
-        self.per_video: PerVideo | None = None
-        self.rank_one: RankOne | None = None
+        self.backgrounds: list[Background] = []
+
+    def _read(self, arrays: DataFrame) -> None:
+        self.packed = saved_in_buckets(arrays, "movie", "frame")
+        self.rows = long_rows(self.packed)
+
+    def _view(self, traces: DataFrame | None = None) -> View:
+        return View(self.rows, self.movie.pixels(), self.frames, self.n, self.footprints, traces)
+
+    def _others(self, k: int) -> list[Background]:
+        return self.backgrounds[:k] + self.backgrounds[k + 1 :]
+
+    def align_frames(self) -> Session:
+        """Register the frames of each video to each other, before there is a model."""
+        self.correcter = MotionCorrecter.by_pyramid(self.movie)
+        self._read(self.correcter.arrays(self.movie))
+        return self
+
+    def correct_motion(self) -> Session:
+        """Register each frame, as it was recorded, to its reconstruction by the model so far, and go on with the movie so shifted."""
+        model = views.reconstruct(self.movie.pixels(), self.frames, self.footprints, self._traces(), self.backgrounds)
+        self.correcter = MotionCorrecter.onto(self.movie, model)
+        self._read(self.correcter.arrays(self.movie))
+        return self
 
     def summary_image(self) -> Session:
         self.image = saved(folds.negentropy_per_video(self.rows), "image")
@@ -51,9 +78,7 @@ class Session:
         return self
 
     def init_backgrounds(self) -> Session:
-        self.per_video = PerVideo(saved(PerVideo.start(self.rows).table, "b0"))
-        start = RankOne.start(self.movie.pixels(), self.frames, self.footprints)
-        self.rank_one = RankOne(saved(start.table, "b1"), saved(start.trace, "f"))
+        self.backgrounds = [kind.begin(self._view()).stored() for kind in self.kinds]
         return self
 
     def _traces(self) -> DataFrame:
@@ -63,31 +88,35 @@ class Session:
 
     def update_traces(self, deconvolve: Callable = sweeps.oasis_fitted) -> Session:
         old = self._traces()
-        ay = project_traces(self.rows, self.footprints)
-        corrections = [b.trace_correction(self.footprints, self.frames) for b in (self.per_video, self.rank_one) if b is not None]
-        taken = reduce(DataFrame.unionByName, corrections).groupBy("frame", "cell").agg(F.sum("x").alias("x"))
-        values = ay.join(taken, ["frame", "cell"], "left").join(old.select("frame", "cell", "c"), ["frame", "cell"], "left")
-        values = values.select("frame", "cell", (F.col("r") - F.coalesce("x", F.lit(0.0))).alias("x"), F.coalesce("c", F.lit(0.0)).alias("c"))
-        whole = None if deconvolve is not sweeps.zero_clamp else 4096
-        packed = saved(sweeps.trace_sweep(values, self.footprints, deconvolve, self.cells, whole), "packed-traces")
-        if whole is None:
+        values = project_traces(self.rows, self.footprints).select("frame", "cell", F.col("r").alias("x"))
+        taken = [x for b in self.backgrounds if (x := b.trace_correction(self.footprints, self.frames)) is not None]
+        # a model that is the same in every frame gives no frames
+        for k, x in enumerate(taken):
+            values = values.join(x.withColumnRenamed("x", f"x{k}"), ["frame", "cell"] if "frame" in x.columns else "cell", "left")
+            values = values.select("frame", "cell", (F.col("x") - F.coalesce(f"x{k}", F.lit(0.0))).alias("x"))
+        values = values.join(old.select("frame", "cell", "c"), ["frame", "cell"], "left").select("frame", "cell", "x", F.coalesce("c", F.lit(0.0)).alias("c"))
+        whole = deconvolve is not sweeps.zero_clamp
+        packed = saved(sweeps.trace_sweep(values, self.footprints, deconvolve, self.cells), "packed-traces")
+        if whole:
             self.cells = saved(packed.select("cell", "gamma", "lambda").join(self.cells.select("cell", "color"), "cell"), "cells")
         self.traces = saved(sweeps.unpacked(packed).join(self.frames, "frame").select("video_id", "frame", "cell", "r", "c", "s"), "traces")
-        updated = self.rank_one.update_trace(self.rows, self.footprints, self.traces, self.per_video)
-        self.rank_one = RankOne(self.rank_one.table, saved(updated.trace, "f"))
+        for k, b in enumerate(self.backgrounds):
+            new = b.after_traces(self._view(self.traces), self._others(k))
+            self.backgrounds[k] = b if new is b else new.stored()
         return self
 
     def update_footprints(self, reach: int = 1) -> Session:
         mask = saved(sweeps.dilated(self.footprints, self.movie.height, self.movie.width, reach), "mask")
-        yc = project_footprints_masked(self.packed, self.traces, mask)
-        taken = reduce(DataFrame.unionByName, [b.pixel_correction(self.traces) for b in (self.per_video, self.rank_one)]).groupBy("px", "cell").agg(F.sum("x").alias("x"))
-        sums = yc.join(taken, ["px", "cell"], "left").select("px", "cell", (F.col("yc") - F.coalesce("x", F.lit(0.0))).alias("v"))
+        sums = project_footprints_masked(self.packed, self.traces, mask).withColumnRenamed("yc", "v")
+        taken = [x for b in self.backgrounds if (x := b.pixel_correction(self.traces)) is not None]
+        if taken:
+            x = reduce(DataFrame.unionByName, taken).groupBy("px", "cell").agg(F.sum("x").alias("x"))
+            sums = sums.join(x, ["px", "cell"], "left").select("px", "cell", (F.col("v") - F.coalesce("x", F.lit(0.0))).alias("v"))
         new = saved(sweeps.footprint_sweep(sums, self.footprints, self.traces, self.movie.height, self.movie.width, reach), "footprints")
-        # both backgrounds are updated with the footprints from before, the per-video one first
-        b0 = self.per_video.update(self.footprints, self.traces, self.rank_one, self.n)
-        self.per_video = PerVideo(saved(b0.table, "b0"))
-        b1 = self.rank_one.update_images(self.rows, self.footprints, self.traces, self.per_video)
-        self.rank_one = RankOne(saved(b1.table, "b1"), self.rank_one.trace)
+        # the backgrounds are updated with the footprints from before, one after another
+        for k, b in enumerate(self.backgrounds):
+            after = b.after_footprints(self._view(self.traces), self._others(k))
+            self.backgrounds[k] = b if after is b else after.stored()
         self.footprints = new
         self.traces = saved(sweeps.drop_empty(self.traces, new), "traces")
         self.cells = saved(sweeps.drop_empty(self.cells, new), "cells")
@@ -113,4 +142,4 @@ class Session:
         row = (self.movie.height, self.movie.width, self.n, filename, segments, fovea.__version__)
         meta = self.rows.sparkSession.createDataFrame([row], "h int, w int, nframes long, filename string, nsegs int, code_version string")
         tables = {"footprints": self.footprints, "image": self.image, "traces": self.traces, "cells": self.cells, "meta": meta}
-        store.save(path, tables, [self.per_video, self.rank_one], videos)
+        store.save(path, tables, self.backgrounds, videos)

@@ -3,11 +3,13 @@
 import numpy as np
 import pytest
 from helpers import DATA, oracle, same_rows
+from test_motion import plain_pyramid
 
 from fovea.operators import motion
 from fovea.plans import catalog
 from fovea.plans.analysis_queries import generated
 from fovea.plans.model_queries import event_model, trace_inputs
+from fovea.sources import movies
 
 @pytest.fixture(scope="module")
 def con():
@@ -111,30 +113,27 @@ def plain_displacement(image, target):
     return best[1:]
 
 
-def test_pyramid_of_whole_frames():
-    """Shifted copies of one image come back onto it, whatever the number of frames."""
+def test_displacements():
     rng = np.random.default_rng(2)
-    still = rng.normal(size=(8, 8))
-    for n in (1, 2, 3, 5, 8):
-        moves = [(0, 0), *((int(a), int(b)) for a, b in rng.integers(-3, 4, (n - 1, 2)))]
-        found = motion.pyramid([np.roll(still, m, (0, 1)) for m in moves])
-        assert [(-a % 8, -b % 8) for a, b, _ in found] == [(a % 8, b % 8) for a, b in moves]
     for _ in range(20):
         a, b = rng.normal(size=(8, 8)), rng.normal(size=(8, 8))
         d1, d2, _ = motion.displacement(a, b)
         assert (d1 % 8, d2 % 8) == plain_displacement(a, b)
 
 
-def test_pyramid_query(spark):
-    rows = rows_of(spark, "register_pyramid")
-    frames = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
-    assert sorted(r["frame"] for r in rows) == list(range(1, frames + 1))
-    firsts = {}
+@pytest.mark.parametrize(("name", "keys"), [("register_pyramid", ("video_id", "seg")), ("register_video", ("video_id",))])
+def test_pyramid_queries(spark, name, keys):
+    """Every shift of both queries from rounds over all frames of a group at once."""
+    frames = {r["frame"]: np.array(r["pixels"], float).reshape(8, 8, order="F") for r in movies.embedding_movie(spark, DATA).packed.collect()}
+    rows, groups = rows_of(spark, name), {}
+    assert sorted(r["frame"] for r in rows) == sorted(frames)
     for r in sorted(rows, key=lambda r: r["frame"]):
-        firsts.setdefault((r["video_id"], r["seg"]), (r["s1"], r["s2"], r["phase"]))
-    assert set(firsts.values()) == {(0, 0, 0.0)}
+        groups.setdefault(tuple(r[k] for k in keys), []).append(r)
+    for own in groups.values():
+        for r, want in zip(own, plain_pyramid([frames[r["frame"]] for r in own]), strict=True):
+            assert (r["s1"], r["s2"]) == want[:2] and abs(r["phase"]) == pytest.approx(abs(want[2]), abs=1e-3)
 
 
 def test_every_query_is_tested():
-    tested = {"hals_traces_oasis", "oasis_opt", "lambda_sweep", "gamma_lambda_grid", "segment_unionfind", "init_footprints", "register_pyramid", "synth_movie"}
+    tested = {"hals_traces_oasis", "oasis_opt", "lambda_sweep", "gamma_lambda_grid", "segment_unionfind", "init_footprints", "register_pyramid", "register_video", "synth_movie"}
     assert set(catalog.QUERIES) - set(catalog.ORACLES) == tested | {"pipeline_e2e"}  # the last one in test_session

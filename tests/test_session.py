@@ -34,5 +34,5 @@ def test_round_trip(spark, session, tmp_path):
     for name, table in (("footprints", session.footprints), ("cells", session.cells)):
         assert sorted(map(tuple, tables[name].select(table.columns).collect())) == sorted(map(tuple, table.collect()))
     assert tables["meta"].first()["h"] == 24 and len(tables["cells"].first()["color"]) == 6
-    assert b0.table.count() == session.per_video.table.count()
-    assert b1.trace.agg(F.sum("f")).first()[0] == pytest.approx(session.rank_one.trace.agg(F.sum("f")).first()[0])
+    assert b0.table.count() == session.backgrounds[0].table.count()
+    assert b1.trace.agg(F.sum("f")).first()[0] == pytest.approx(session.backgrounds[1].trace.agg(F.sum("f")).first()[0])
