@@ -79,13 +79,14 @@ def oasis_opt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cell", r("gamma"), r("lambda"), r("before"), r("after"))
 
 
-def generated(spark: SparkSession, cells: int = 3, frames: int = 600, gamma: float = 0.9, sigma: float = 0.3) -> DataFrame:
-    """(cell, y, c, s): noisy traces and the truth."""
-    spikes = synthetic.spikes(spark, cells, frames, 0.03)
-    packed = spikes.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("frame", "s"))).alias("t")).select("cell", F.col("t.s").alias("s"))
-    truth = packed.withColumn("c", synthetic.ar1(F.col("s"), gamma))
-    noisy = F.transform("c", lambda x, k: x + sigma * synthetic.normal(F.col("cell"), k, 11))
-    return truth.withColumn("y", noisy)
+def noisy_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cell, y, c, s): traces that decay after the spikes of ``events``, with noise from ``embeddings``, and the truth."""
+    packed = movies.event_spikes(spark, sf_dir).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("frame", "s"))).alias("t")).select("cell", F.col("t.s").alias("s"))
+    truth = packed.withColumn("c", synthetic.ar1(F.col("s"), 0.9))
+    long = truth.select("cell", F.posexplode("c").alias("k", "v"))
+    noisy = movies.vector_noise(spark, sf_dir, long, F.col("k") % 64 + 1, F.col("k") * movies.CELLS + F.col("cell"))
+    y = noisy.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("k", (F.col("v") + 0.3 * F.col("z")).alias("y")))).alias("t"))
+    return truth.join(y.select("cell", F.col("t.y").alias("y")), "cell").select("cell", "y", "c", "s")
 
 
 GRID_SCHEMA = "cell int, gamma double, lambda double, sse double, error double, kurtosis double, negentropy double, corr_c double, corr_s double"
@@ -117,12 +118,12 @@ def sweep_grid(traces: DataFrame, gammas: list[float], lambdas: list[float]) ->
 
 @query()
 def lambda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep_grid(generated(spark), [0.9], [k / 4 for k in range(21)])
+    return sweep_grid(noisy_traces(spark, sf_dir), [0.9], [k / 4 for k in range(21)])
 
 
 @query()
 def gamma_lambda_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep_grid(generated(spark), [0.8, 0.85, 0.9, 0.95], [k / 2 for k in range(7)])
+    return sweep_grid(noisy_traces(spark, sf_dir), [0.8, 0.85, 0.9, 0.95], [k / 2 for k in range(7)])
 
 
 @query(f"""WITH {TRACES}, y AS (SELECT cell, y, greatest(2, len(y) // 8) AS n FROM (SELECT cell, list(r ORDER BY frame) AS y FROM tr GROUP BY cell)),
@@ -289,28 +290,19 @@ def register_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motion.register_video(movies.frame_arrays(movie), 8, 8).select("video_id", "frame", "s1", "s2", r("phase", 4))
 
 
-@query("SELECT t AS frame, round(25 * cos(2 * pi() * t / 40))::INTEGER AS s1, round(25 * sin(2 * pi() * t / 40))::INTEGER AS s2 FROM range(1, 41) a(t)")
+@query(f"WITH {EMB} SELECT frame, round(25 * cos(2 * pi() * frame / 40))::INTEGER AS s1, round(25 * sin(2 * pi() * frame / 40))::INTEGER AS s2 FROM emb_f")
 def shift_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turn = 2 * F.pi() * F.col("id") / 40
-    return spark.range(1, 41).select(F.col("id").alias("frame"), F.round(25 * F.cos(turn)).cast("int").alias("s1"), F.round(25 * F.sin(turn)).cast("int").alias("s2"))
+    """Shifts of every frame of a movie around a circle."""
+    turn = 2 * F.pi() * F.col("frame") / 40
+    return movies.embedding_movie(spark, sf_dir).packed.select("frame", F.round(25 * F.cos(turn)).cast("int").alias("s1"), F.round(25 * F.sin(turn)).cast("int").alias("s2"))
 
 
 # The whole analysis
 
 
-def planted(spark: SparkSession, cells: int = 4, frames: int = 160, side: int = 24) -> movies.Movie:
-    """A generated movie in which the analysis should find its spots."""
-    spots = synthetic.footprints(spark, cells, side, side, 2.5)
-    traces = synthetic.ar1_closed(synthetic.spikes(spark, cells, frames, 0.05), 0.85, 60).withColumn("c", F.col("c") * 60)
-    return movies.Movie(synthetic.movie(spark, spots, traces, frames, side, side), side, side)
-
-
 @query()
 def pipeline_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole analysis with the session's own defaults, four rounds of three merges with fitted deconvolution, over a planted movie: pixels and energy of each cell found.
-
-    The tables hold no recording of cells, so the movie is generated.
-    """
-    session = Session(planted(spark)).run(min_size=8, sens=5.0, min_n=100)
+    """The whole analysis with the session's own defaults, four rounds of three merges with fitted deconvolution, over a movie of four cells made of the tables: pixels and energy of each cell found."""
+    session = Session(movies.event_cells_movie(spark, sf_dir)).run(min_size=8, sens=5.0, min_n=100)
     sizes = session.footprints.groupBy("cell").agg(F.count("*").alias("pixels"))
     return sizes.join(session.traces.groupBy("cell").agg(rounded(F.sum("c"), 2).alias("total")), "cell")

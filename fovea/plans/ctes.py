@@ -56,3 +56,23 @@ MODEL = f"""{TRACES}, b0 AS (
   FROM rawb LEFT JOIN e1 USING (video_id, px) JOIN b0n USING (video_id, px) JOIN sf USING (video_id)
 ), b1n AS (SELECT video_id, px, b / sqrt(sum(b * b) OVER (PARTITION BY video_id)) AS b FROM b1u
 ), bs AS (SELECT px, avg(value) AS b FROM ev GROUP BY ALL)"""
+FEET = f"""{GRID}, feet_m AS (SELECT (user_id % 64)::INTEGER AS px, sum(value) AS m FROM events GROUP BY ALL
+), feet AS (SELECT cell, px, m / sqrt(sum(m * m) OVER (PARTITION BY cell)) AS w FROM grid JOIN feet_m USING (px))"""
+SPIKES = """spike_v AS (
+  SELECT c.c::INTEGER AS cell, f.f AS frame, coalesce(v, 0) AS v FROM range(1, 5) c(c) CROSS JOIN range(1, 241) f(f)
+  LEFT JOIN (SELECT user_id % 4 + 1 AS cell, date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) // 3 + 1 AS frame, sum(value) AS v FROM events GROUP BY ALL) e ON e.cell = c.c AND e.frame = f.f
+), spikes AS (
+  SELECT cell, frame, greatest(0.0::DOUBLE, coalesce((v - avg(v) OVER (PARTITION BY cell)) / nullif(stddev_pop(v) OVER (PARTITION BY cell), 0), 0) - 1.2::DOUBLE) AS s FROM spike_v
+)"""
+CELL_MOVIE = f"""{SPIKES}, spots_w AS (
+  SELECT k.k::INTEGER AS cell, p.p::INTEGER AS px, exp(-(((p % 24) - ((k - 1) % 2 + 0.5::DOUBLE) * 12) ** 2 + ((p // 24) - ((k - 1) // 2 + 0.5::DOUBLE) * 12) ** 2) / (2 * 2.5::DOUBLE * 2.5::DOUBLE)) AS w
+  FROM range(1, 5) k(k), range(576) p(p)
+), spots AS (SELECT cell, px, w / sqrt(sum(w * w) OVER (PARTITION BY cell)) AS w FROM spots_w WHERE w > 0.05
+), decays AS (
+  SELECT a.cell, a.frame, sum(b.s * 0.85::DOUBLE ** (a.frame - b.frame)) AS c FROM spikes a JOIN spikes b ON a.cell = b.cell AND b.frame BETWEEN a.frame - 60 AND a.frame GROUP BY ALL
+), signals AS (SELECT frame, px, sum(w * c * 60) AS x FROM spots JOIN decays USING (cell) GROUP BY ALL
+), cells_movie AS (
+  SELECT ((f - 1) // 80 + 1)::INTEGER AS video_id, f AS frame, p::INTEGER AS px, coalesce(x, 0) + 10 + coalesce(8 * embedding[p % 64 + 1]::DOUBLE, 0) AS value
+  FROM (SELECT f, p, (f * 9 + p // 64) % (SELECT count(*) FROM embeddings) AS vec_id FROM range(1, 241) a(f), range(576) b(p)) e
+  LEFT JOIN embeddings USING (vec_id) LEFT JOIN signals ON signals.frame = e.f AND signals.px = e.p
+)"""

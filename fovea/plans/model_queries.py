@@ -11,7 +11,7 @@ from fovea.functions.columns import clamped, rounded, trace_negentropy as negent
 from fovea.functions.lineage import saved
 from fovea.operators import backgrounds, merging, products, sweeps, views
 from fovea.operators.backgrounds import PerVideo, RankOne, Static
-from fovea.plans.ctes import GRID, MODEL, TRACES
+from fovea.plans.ctes import FEET, MODEL, TRACES
 from fovea.plans.movie_queries import r
 from fovea.plans.registry import query
 from fovea.sources import movies
@@ -67,9 +67,9 @@ def zero_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_traces(spark, sf_dir)[2].select("frame", "cell", r("c"))
 
 
-@query(f"WITH {GRID} SELECT a.cell AS i, b.cell AS j, round(sum(a.w * b.w), 6) + 0.0 AS g FROM grid a JOIN grid b USING (px) GROUP BY ALL")
+@query(f"WITH {FEET} SELECT a.cell AS i, b.cell AS j, round(sum(a.w * b.w), 6) + 0.0 AS g FROM feet a JOIN feet b USING (px) GROUP BY ALL")
 def footprint_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return products.footprint_gram(movies.grid_footprints(spark)).select("i", "j", r("g"))
+    return products.footprint_gram(movies.event_footprints(spark, sf_dir)).select("i", "j", r("g"))
 
 
 @query(f"WITH {TRACES} SELECT ev.px, tr.cell, round(sum(value * c), 1) + 0.0 AS yc FROM ev JOIN tr USING (frame) GROUP BY ALL")
@@ -126,11 +126,12 @@ def trace_negentropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_traces(spark, sf_dir)[2].groupBy("cell").agg(rounded(negentropy_of("r")).alias("negentropy"))
 
 
-@query(f"WITH {GRID} SELECT cell, 720::BIGINT AS n, 0.0::DOUBLE AS r, 0.0::DOUBLE AS c, 0.0::DOUBLE AS s, 0.8::DOUBLE AS gamma, 50.0::DOUBLE AS \"lambda\" FROM grid GROUP BY cell")
+@query(f"""WITH {FEET} SELECT cell, (SELECT count(*) FROM embeddings)::BIGINT AS n, 0.0::DOUBLE AS r, 0.0::DOUBLE AS c, 0.0::DOUBLE AS s, 0.8::DOUBLE AS gamma, 50.0::DOUBLE AS "lambda"
+FROM feet GROUP BY cell""")
 def zero_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All traces zero: cells and frames by one range, with the parameters of the start."""
-    cells = movies.grid_footprints(spark).select("cell").distinct()
-    traces = cells.withColumn("frame", F.explode(F.sequence(F.lit(1), F.lit(FRAMES)))).withColumns({n: F.lit(0.0) for n in ("r", "c", "s")})
+    """All traces zero: every cell and frame of a movie, with the parameters of the start."""
+    cells = movies.event_footprints(spark, sf_dir).select("cell").distinct()
+    traces = cells.join(movies.embedding_movie(spark, sf_dir).packed.select("frame"), F.lit(True)).withColumns({n: F.lit(0.0) for n in ("r", "c", "s")})
     sums = traces.groupBy("cell").agg(F.count("*").alias("n"), *(F.sum(n).alias(n) for n in ("r", "c", "s")))
     return sums.withColumns({"gamma": F.lit(0.8), "lambda": F.lit(50.0)})
 
@@ -368,10 +369,10 @@ def drop_empty_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweeps.drop_empty(traces, emptied).groupBy("cell").agg(F.count("*").alias("n"), rounded(F.sum("c")).alias("total"))
 
 
-@query(f"""WITH {GRID} SELECT DISTINCT cell, (px + a + 8 * b)::INTEGER AS px FROM grid, range(-1, 2) x(a), range(-1, 2) y(b)
+@query(f"""WITH {FEET} SELECT DISTINCT cell, (px + a + 8 * b)::INTEGER AS px FROM feet, range(-1, 2) x(a), range(-1, 2) y(b)
 WHERE px % 8 + a BETWEEN 0 AND 7 AND px // 8 + b BETWEEN 0 AND 7""")
 def mask_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweeps.dilated(movies.grid_footprints(spark), 8, 8)
+    return sweeps.dilated(movies.event_footprints(spark, sf_dir), 8, 8)
 
 
 # Merging
@@ -408,32 +409,32 @@ def merge_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Views
 
 
-@query(f"WITH {GRID} SELECT cell, min(px) AS px, round(max(w), 6) + 0.0 AS w FROM grid GROUP BY cell HAVING sum(w * w) >= 0.99")
+@query(f"WITH {FEET} SELECT cell, first(px ORDER BY w DESC, px) AS px, round(max(w), 6) + 0.0 AS w FROM feet GROUP BY cell HAVING sum(w * w) >= 0.99")
 def roi_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.roi_peaks(movies.grid_footprints(spark)).select("cell", "px", r("w"))
+    return views.roi_peaks(movies.event_footprints(spark, sf_dir)).select("cell", "px", r("w"))
 
 
 def composite_sql() -> str:
-    """The layers painted one by one; the grid's weights are 1/3, so a pixel's opacity is three times its weight."""
-    steps = ["k0 AS (SELECT px::INTEGER AS px, 0.0::DOUBLE AS red, 0.0::DOUBLE AS green, 0.0::DOUBLE AS blue FROM range(64) t(px))"]
+    """The layers painted one by one; a pixel is as opaque as its share of the cell's greatest weight."""
+    steps = ["shares AS (SELECT cell, px, w / max(w) OVER (PARTITION BY cell) AS o FROM feet)", "k0 AS (SELECT px::INTEGER AS px, 0.0::DOUBLE AS red, 0.0::DOUBLE AS green, 0.0::DOUBLE AS blue FROM range(64) t(px))"]
     for k in CELLS:
-        mixed = ", ".join(f"{n} * (1 - coalesce(3 * w, 0)) + {v} * coalesce(3 * w, 0) AS {n}" for n, v in (("red", k / 10), ("green", 1 - k / 10), ("blue", 0.5)))
-        steps.append(f"k{k} AS (SELECT k.px, {mixed} FROM k{k - 1} k LEFT JOIN (SELECT px, w FROM grid WHERE cell = {k}) g USING (px))")
-    return f"WITH {GRID}, {', '.join(steps)} SELECT px, round(red, 6) + 0.0 AS red, round(green, 6) + 0.0 AS green, round(blue, 6) + 0.0 AS blue FROM k9"
+        mixed = ", ".join(f"{n} * (1 - coalesce(o, 0)) + {v} * coalesce(o, 0) AS {n}" for n, v in (("red", k / 10), ("green", 1 - k / 10), ("blue", 0.5)))
+        steps.append(f"k{k} AS (SELECT k.px, {mixed} FROM k{k - 1} k LEFT JOIN (SELECT px, o FROM shares WHERE cell = {k}) g USING (px))")
+    return f"WITH {FEET}, {', '.join(steps)} SELECT px, round(red, 6) + 0.0 AS red, round(green, 6) + 0.0 AS green, round(blue, 6) + 0.0 AS blue FROM k9"
 
 
 @query(composite_sql())
 def roi_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = movies.grid_footprints(spark)
+    feet = movies.event_footprints(spark, sf_dir)
     k = F.col("cell") / 10
-    colours = grid.select("cell").distinct().select("cell", k.alias("red"), (1 - k).alias("green"), F.lit(0.5).alias("blue"))
+    colours = feet.select("cell").distinct().select("cell", k.alias("red"), (1 - k).alias("green"), F.lit(0.5).alias("blue"))
     pixels = spark.range(64).select(F.col("id").cast("int").alias("px"))
-    return views.roi_composite(grid, colours, pixels).select("px", r("red"), r("green"), r("blue"))
+    return views.roi_composite(feet, colours, pixels).select("px", r("red"), r("green"), r("blue"))
 
 
-@query(f"WITH {GRID} SELECT p.px::INTEGER AS px, min(cell) AS cell FROM range(64) p(px) LEFT JOIN grid ON grid.px = p.px GROUP BY ALL")
+@query(f"WITH {FEET} SELECT p.px::INTEGER AS px, first(cell ORDER BY w DESC, cell) AS cell FROM range(64) p(px) LEFT JOIN feet ON feet.px = p.px GROUP BY ALL")
 def roi_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.roi_labels(movies.grid_footprints(spark), spark.range(64).select(F.col("id").cast("int").alias("px")))
+    return views.roi_labels(movies.event_footprints(spark, sf_dir), spark.range(64).select(F.col("id").cast("int").alias("px")))
 
 
 @query(f"""WITH {TRACES}, o AS (SELECT frame, c FROM tr WHERE cell = 1), k AS (SELECT frame AS peak FROM o ORDER BY c DESC, frame LIMIT 1)

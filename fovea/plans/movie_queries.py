@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fovea.functions.columns import pixel, rounded
 from fovea.functions.lineage import saved, scratch
 from fovea.operators import folds, views
-from fovea.plans.ctes import EMB, EMB_IMAGE, GRID, LI, MODEL, TRACES
+from fovea.plans.ctes import CELL_MOVIE, EMB, EMB_IMAGE, EV, FEET, LI, MODEL, SPIKES, TRACES
 from fovea.plans.registry import query
 from fovea.sources import movies, store, synthetic
 
@@ -27,10 +27,11 @@ def src_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("video_id", "frame", F.size("pixels").alias("pixels"), rounded(total).alias("total"))
 
 
-@query("SELECT 'recording_1' AS key")
+@query("SELECT DISTINCT 'recording_' || len(embedding) AS key FROM embeddings")
 def src_single_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one dataset key of a container."""
-    return movies.single_key(spark.createDataFrame([("recording_1",), ("recording_1",)], "key string"))
+    """The one dataset key of a container: all rows must have the same."""
+    rows = movies.read(spark, sf_dir, "embeddings")
+    return movies.single_key(rows.select(F.concat(F.lit("recording_"), F.size("embedding").cast("string")).alias("key")))
 
 
 @query(f"""WITH {LI}, o AS (SELECT video_id, n, coalesce(sum(n) OVER (ORDER BY video_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM li_n)
@@ -172,21 +173,25 @@ def read_frame_minsub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.subtract_min(rows.where("frame = 7"), folds.pixel_min(rows)).select("px", r("value"))
 
 
-@query("SELECT 0::BIGINT AS nframes, 100 AS height, 100 AS width")
+@query(f"WITH {EMB} SELECT 'empty' AS source, 0::BIGINT AS nframes, 100 AS height, 100 AS width UNION ALL SELECT 'with a movie', count(*), 8, 8 FROM emb_f")
 def empty_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The null source: its size and no frames."""
-    movie = movies.empty_movie(spark)
-    return movie.rows.agg(F.count_distinct("frame").alias("nframes")).withColumns({"height": F.lit(movie.height), "width": F.lit(movie.width)})
+    """The null source has a size and no frames, and adds none to a movie."""
+    empty, movie = movies.empty_movie(spark), movies.embedding_movie(spark, sf_dir)
+    both = movies.Movie(movie.rows.unionByName(empty.rows), movie.height, movie.width)
+    parts = [m.rows.agg(F.count_distinct("frame").alias("nframes")).withColumns({"source": F.lit(n), "height": F.lit(m.height), "width": F.lit(m.width)}) for n, m in (("empty", empty), ("with a movie", both))]
+    return parts[0].unionByName(parts[1])
 
 
-PATHS = ("a.nwb", "b.hdf", "c.hdf5", "d.h5", "e.parquet", "f.tif", "g")
+SUFFIXES = (".nwb", ".hdf", ".hdf5", ".h5", ".parquet", ".tif", "")
 
 
-@query(f"""SELECT path, CASE WHEN path LIKE '%.nwb' THEN 'nwb' WHEN regexp_matches(path, '[.](hdf|hdf5|h5)$') THEN 'hdf' WHEN path LIKE '%.parquet' THEN 'parquet' ELSE 'empty' END AS kind
-FROM (VALUES {", ".join(f"('{p}')" for p in PATHS)}) t(path)""")
+@query(f"""WITH p AS (SELECT 'orders/' || o_orderkey || (CASE o_orderkey % 7 {" ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(SUFFIXES))} END) AS path FROM orders)
+SELECT path, CASE WHEN path LIKE '%.nwb' THEN 'nwb' WHEN regexp_matches(path, '[.](hdf|hdf5|h5)$') THEN 'hdf' WHEN path LIKE '%.parquet' THEN 'parquet' ELSE 'empty' END AS kind FROM p""")
 def open_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a path opens as."""
-    return spark.createDataFrame([(p,) for p in PATHS], "path string").select("path", movies.open_kind(F.col("path")).alias("kind"))
+    """What a path opens as: one path an order, of seven kinds."""
+    suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    paths = movies.read(spark, sf_dir, "orders").select(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string"), suffix).alias("path"))
+    return paths.select("path", movies.open_kind(F.col("path")).alias("kind"))
 
 
 RECORDINGS = ("20210304_101500_animal4learnday1.nwb", "20210305_094500_animal4learnday2.nwb", "20210306_120000_animal4reversalday1.nwb")
@@ -205,12 +210,15 @@ def save_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.groupBy("video_key", "cell").agg(F.count("*").alias("n"), rounded(F.sum("c")).alias("total"))
 
 
-FILES = (*RECORDINGS, "20210307_120000_animal12learnday3.nwb", "plain.nwb", "animal7reversalday10.nwb", "x_animal1day2_animal3day4.nwb", "animalday1.nwb")
-
-
-@query("SELECT f AS filename, CASE WHEN regexp_extract(f, 'animal[0-9].*day[0-9]+') = '' THEN f ELSE regexp_extract(f, 'animal[0-9].*day[0-9]+') END AS video_key FROM (VALUES " + ", ".join(f"('{f}')" for f in FILES) + ") t(f)")
+@query("""WITH f AS (SELECT CASE c_custkey % 5 WHEN 0 THEN 'plain' || c_custkey ELSE '2021_' || c_custkey || '_animal' || c_nationkey || (CASE c_custkey % 2 WHEN 0 THEN 'learn' ELSE 'reversal' END) || 'day' || c_custkey % 30 END || '.nwb' AS f FROM customer)
+SELECT f AS filename, CASE WHEN regexp_extract(f, 'animal[0-9].*day[0-9]+') = '' THEN f ELSE regexp_extract(f, 'animal[0-9].*day[0-9]+') END AS video_key FROM f""")
 def video_key_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(f,) for f in FILES], "filename string").select("filename", store.video_key(F.col("filename")).alias("video_key"))
+    """Keys of file names, one a customer; every fifth has none."""
+    key = F.col("c_custkey").cast("string")
+    phase = F.when(F.col("c_custkey") % 2 == 0, "learn").otherwise("reversal")
+    long = F.concat(F.lit("2021_"), key, F.lit("_animal"), F.col("c_nationkey").cast("string"), phase, F.lit("day"), (F.col("c_custkey") % 30).cast("string"))
+    name = F.concat(F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("plain"), key)).otherwise(long), F.lit(".nwb"))
+    return movies.read(spark, sf_dir, "customer").select(name.alias("filename")).select("filename", store.video_key(F.col("filename")).alias("video_key"))
 
 
 @query(f"""WITH {MODEL}, t AS (SELECT 'footprints' AS "table", count(*) AS n, round(sum(w), 4) + 0.0 AS s FROM grid UNION ALL SELECT 'traces', count(*), round(sum(c), 4) + 0.0 FROM tr
@@ -238,22 +246,20 @@ def load_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(f"""WITH {GRID}, c AS (SELECT cell, px % 8 AS d1, px // 8 AS d2, w FROM grid WHERE px % 8 BETWEEN 1 AND 5 AND px // 8 BETWEEN 1 AND 5)
+@query(f"""WITH {FEET}, c AS (SELECT cell, px % 8 AS d1, px // 8 AS d2, w FROM feet WHERE px % 8 BETWEEN 1 AND 5 AND px // 8 BETWEEN 1 AND 5)
 SELECT cell, (d1 - 1 + 5 * (d2 - 1))::INTEGER AS px, round(w / sqrt(sum(w * w) OVER (PARTITION BY cell)), 6) + 0.0 AS w FROM c""")
 def ground_truth_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = movies.grid_footprints(spark)
-    traces = grid.select("cell", F.lit(1).cast("long").alias("frame"), F.lit(1.0).alias("c")).distinct()
-    unit, _ = store.normalised_truth(grid, traces, 8, 1, (5, 5))
+    feet = movies.event_footprints(spark, sf_dir)
+    traces = feet.select("cell", F.lit(1).cast("long").alias("frame"), F.lit(1.0).alias("c")).distinct()
+    unit, _ = store.normalised_truth(feet, traces, 8, 1, (5, 5))
     return unit.select("cell", "px", r("w"))
 
 
-@query()
+@query(f"WITH {CELL_MOVIE} SELECT frame, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS deviation FROM cells_movie GROUP BY frame")
 def synth_movie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generated movie: mean and deviation by frame."""
-    spots = synthetic.footprints(spark, 8, 32, 32)
-    traces = synthetic.ar1_closed(synthetic.spikes(spark, 8, 200), 0.9, 100).withColumn("c", F.col("c") * 40)
-    rows = synthetic.movie(spark, spots, traces, 200, 32, 32)
-    return rows.groupBy("frame").agg(rounded(F.avg("value"), 4).alias("mean"), rounded(F.stddev_pop("value"), 4).alias("deviation"))
+    """A movie of known cells, made of the tables: mean and deviation by frame."""
+    rows = movies.event_cells_movie(spark, sf_dir).rows
+    return rows.groupBy("frame").agg(rounded(F.avg("value")).alias("mean"), rounded(F.stddev_pop("value")).alias("deviation"))
 
 
 @query(f"WITH {LI} SELECT px, sum(value) AS total FROM li GROUP BY px")
@@ -342,26 +348,25 @@ def grid_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.grid_neighbours(image, 8, 8).select("px", "neighbour", r("v"))
 
 
-@query("""WITH s AS (SELECT c AS cell, t AS frame, CASE WHEN (t * 7 + c * 3) % 11 = 0 THEN c ELSE 0 END AS s FROM range(1, 4) a(c), range(1, 51) b(t))
-SELECT a.cell::INTEGER AS cell, a.frame, round(sum(b.s * 0.9 ** (a.frame - b.frame)), 6) + 0.0 AS c FROM s a JOIN s b ON a.cell = b.cell AND b.frame <= a.frame GROUP BY ALL""")
+@query(f"WITH {SPIKES} SELECT a.cell, a.frame, round(sum(b.s * 0.9::DOUBLE ** (a.frame - b.frame)), 6) + 0.0 AS c FROM spikes a JOIN spikes b ON a.cell = b.cell AND b.frame <= a.frame GROUP BY ALL")
 def ar1_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.range(150).select((F.floor(F.col("id") / 50) + 1).cast("int").alias("cell"), (F.col("id") % 50 + 1).alias("frame"))
-    spikes = base.withColumn("s", F.when((F.col("frame") * 7 + F.col("cell") * 3) % 11 == 0, F.col("cell").cast("double")).otherwise(0.0))
+    spikes = movies.event_spikes(spark, sf_dir)
     packed = spikes.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("frame", "s"))).alias("t"))
     traces = packed.select("cell", F.posexplode(synthetic.ar1(F.col("t.s"), 0.9)).alias("k", "c"))
     return traces.select("cell", (F.col("k") + 1).cast("long").alias("frame"), r("c"))
 
 
-@query(f"""WITH every AS (SELECT "at", seg FROM (VALUES (1, 3), (2, 1)) c("at", seg) UNION ALL SELECT 1000 + s, s FROM range(1, {SEGMENTS + 1}) r(s)),
-first AS (SELECT seg, min("at") AS "at" FROM every GROUP BY seg) SELECT row_number() OVER (ORDER BY "at")::INTEGER AS place, seg::INTEGER AS seg FROM first""")
+@query("""WITH every AS (SELECT l_linenumber AS seg, min(l_orderkey) AS "at" FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49 GROUP BY ALL UNION ALL SELECT DISTINCT l_linenumber, 1000000000000 + l_linenumber FROM lineitem),
+first AS (SELECT seg, min("at") AS "at" FROM every GROUP BY seg) SELECT row_number() OVER (ORDER BY "at", seg)::INTEGER AS place, seg FROM first""")
 def set_union_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cached segments first, then the others in their own order."""
-    cached = spark.createDataFrame([(1, 3), (2, 1)], "at int, seg int")
-    source = spark.range(1, SEGMENTS + 1).select((F.col("id") + 1000).cast("int").alias("at"), F.col("id").cast("int").alias("seg"))
+    """Line numbers with a large return first, in the order of their first one, then the others in their own (one row a line number is ordered)."""
     from pyspark.sql import Window
 
-    first = cached.unionByName(source).groupBy("seg").agg(F.min("at").alias("at"))
-    return first.select(F.row_number().over(Window.orderBy("at")).alias("place"), "seg")
+    items = movies.read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("seg"), "l_orderkey", "l_returnflag", "l_quantity")
+    some = items.where("l_returnflag = 'R' AND l_quantity > 49").groupBy("seg").agg(F.min("l_orderkey").alias("at"))
+    every = items.select("seg").distinct().select("seg", (F.col("seg") + F.lit(10**12)).alias("at"))
+    first = some.unionByName(every).groupBy("seg").agg(F.min("at").alias("at"))
+    return first.select(F.row_number().over(Window.orderBy("at", "seg")).alias("place"), "seg")
 
 
 STAGES_SQL = "stages AS (SELECT stage, row_number() OVER (ORDER BY stage)::INTEGER AS i, s FROM (SELECT l_returnflag || l_linestatus AS stage, sum(l_quantity)::DOUBLE AS s FROM lineitem GROUP BY stage))"
@@ -384,7 +389,9 @@ def log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.log_image(image).select("px", r("log_v"))
 
 
-@query("SELECT t::BIGINT AS frame, d::INTEGER AS step, ((t - 1 + d + 20) % 10 + 1)::BIGINT AS next FROM range(1, 11) a(t), (VALUES (-11), (-1), (0), (1), (10)) b(d)")
+@query(f"WITH {EMB}, n AS (SELECT count(*) AS n FROM emb_f) SELECT frame, d::INTEGER AS step, ((frame - 1 + d + 2 * n) % n + 1)::BIGINT AS next FROM emb_f, n, (VALUES (-11), (-1), (0), (1), (10)) b(d)")
 def frame_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps from every frame of a movie, around its ends."""
+    packed = movies.embedding_movie(spark, sf_dir).packed
     steps = F.explode(F.array(*(F.lit(d) for d in (-11, -1, 0, 1, 10)))).alias("step")
-    return spark.range(1, 11).select(F.col("id").alias("frame"), steps).select("frame", "step", views.stepped(F.col("frame"), F.col("step"), 10).alias("next"))
+    return packed.select("frame", steps).select("frame", "step", views.stepped(F.col("frame"), F.col("step"), packed.count()).cast("long").alias("next"))

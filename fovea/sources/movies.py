@@ -117,6 +117,51 @@ def grid_footprints(spark: SparkSession) -> DataFrame:
     )
 
 
+def event_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's footprints, weighted by what the events sum to at each pixel and of unit norm; pixels without events are left out."""
+    sums = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 64).cast("int").alias("px")).agg(F.sum("value").alias("m"))
+    met = grid_footprints(spark).join(sums, "px")
+    norms = met.groupBy("cell").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
+    return met.join(norms, "cell").select("cell", "px", (F.col("m") / F.col("norm")).alias("w"))
+
+
+CELLS, BINS, CELL_SIDE, CELL_RADIUS, CELL_GAMMA = 4, 240, 24, 2.5, 0.85
+
+
+def event_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cell, frame, s): ``events`` of four groups of users in 240 bins of three hours; a spike is what a bin's sum has over the group's mean and 1.2 deviations."""
+    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
+    sums = read(spark, sf_dir, "events").groupBy((F.col("user_id") % CELLS + 1).cast("int").alias("cell"), (F.floor(hour / 3) + 1).alias("frame")).agg(F.sum("value").alias("v"))
+    every = spark.range(CELLS * BINS).select((F.floor(F.col("id") / BINS) + 1).cast("int").alias("cell"), (F.col("id") % BINS + 1).alias("frame"))
+    every = every.join(sums, ["cell", "frame"], "left").select("cell", "frame", F.coalesce("v", F.lit(0.0)).alias("v"))
+    stats = every.groupBy("cell").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
+    over = F.coalesce(F.try_divide(F.col("v") - F.col("m"), F.col("sd")), F.lit(0.0)) - 1.2
+    return every.join(stats, "cell").select("cell", "frame", F.greatest(F.lit(0.0), over).alias("s"))
+
+
+def vector_noise(spark: SparkSession, sf_dir: str, wanted: DataFrame, place: Column, row: Column) -> DataFrame:
+    """``wanted`` with z, about of unit deviation: component ``place`` of the vector whose id is ``row``, wrapped around by the number of vectors; zero without such a vector."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    keyed = wanted.withColumn("place", place.cast("int")).withColumn("vec_id", row % vectors.count())
+    value = F.coalesce(F.try_element_at("embedding", "place").cast("double") * 8, F.lit(0.0))
+    return keyed.join(vectors, "vec_id", "left").withColumn("z", value).drop("place", "vec_id", "embedding")
+
+
+def event_cells_movie(spark: SparkSession, sf_dir: str) -> Movie:
+    """Four spots of 24 x 24 pixels that decay after the spikes of ``events``, on a flat background with noise from ``embeddings``: three videos of 80 frames."""
+    from fovea.sources import synthetic
+
+    side, area = CELL_SIDE, CELL_SIDE * CELL_SIDE
+    spots = synthetic.footprints(spark, CELLS, side, side, CELL_RADIUS)
+    traces = synthetic.ar1_closed(event_spikes(spark, sf_dir), CELL_GAMMA, 60)
+    signal = spots.join(traces, "cell").groupBy("frame", "px").agg(F.sum(F.col("w") * F.col("c") * 60).alias("x"))
+    every = spark.range(BINS * area).select((F.floor(F.col("id") / area) + 1).alias("frame"), (F.col("id") % area).cast("int").alias("px"))
+    noisy = vector_noise(spark, sf_dir, every, F.col("px") % 64 + 1, F.col("frame") * 9 + F.floor(F.col("px") / 64))
+    value = F.coalesce("x", F.lit(0.0)) + 10 + F.col("z")
+    video = (F.floor((F.col("frame") - 1) / (BINS // 3)) + 1).cast("int")
+    return Movie(noisy.join(signal, ["frame", "px"], "left").select(video.alias("video_id"), "frame", "px", value.alias("value")), side, side)
+
+
 # Segments, videos, crops
 
 

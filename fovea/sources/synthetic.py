@@ -1,4 +1,4 @@
-"""Generated movies with known footprints and traces."""
+"""Parts of a movie with known cells: spots, and traces that decay after spikes."""
 
 from __future__ import annotations
 
@@ -6,16 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def uniform(*keys: Column | int) -> Column:
-    """A number in (0, 1) that depends on the keys alone, whatever the partitioning."""
-    h = F.xxhash64(*(k if isinstance(k, Column) else F.lit(k) for k in keys))
-    return (F.pmod(h, F.lit(1 << 40)) + 0.5) / float(1 << 40)
-
-
-def normal(*keys: Column | int) -> Column:
-    return F.sqrt(-2 * F.ln(uniform(*keys, 1))) * F.cos(2 * 3.141592653589793 * uniform(*keys, 2))
-
-
 def ar1(spikes: Column, gamma: float) -> Column:
     """The decaying sum c_t = gamma c_(t-1) + s_t of an array, as an array."""
     start = F.array().cast("array<double>")
@@ -29,12 +19,6 @@ def ar1_closed(spikes: DataFrame, gamma: float, reach: int) -> DataFrame:
     return spikes.select("cell", "frame").join(sums, ["cell", "frame"], "left").select("cell", "frame", F.coalesce("c", F.lit(0.0)).alias("c"))
 
 
-def spikes(spark: SparkSession, cells: int, frames: int, rate: float = 0.02, seed: int = 1) -> DataFrame:
-    """(cell, frame, s): now and then a spike between one and two."""
-    base = spark.range(cells * frames).select((F.floor(F.col("id") / frames) + 1).cast("int").alias("cell"), (F.col("id") % frames + 1).alias("frame"))
-    return base.withColumn("s", F.when(uniform(F.col("cell"), F.col("frame"), seed) < rate, 1 + uniform(F.col("cell"), F.col("frame"), seed + 1)).otherwise(0.0))
-
-
 def footprints(spark: SparkSession, cells: int, height: int, width: int, radius: float = 2.0) -> DataFrame:
     """Gaussian spots of unit norm on a square lattice: (cell, px, w)."""
     side = max(1, int(cells**0.5 + 0.999))
@@ -45,21 +29,3 @@ def footprints(spark: SparkSession, cells: int, height: int, width: int, radius:
     spots = base.select("cell", "px", F.exp(-dist / (2 * radius * radius)).alias("w")).where("w > 0.05")
     norms = spots.groupBy("cell").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return spots.join(norms, "cell").select("cell", "px", (F.col("w") / F.col("norm")).alias("w"))
-
-
-def movie(spark: SparkSession, spots: DataFrame, traces: DataFrame, frames: int, height: int, width: int, base: float = 10.0, noise: float = 1.0, seed: int = 9) -> DataFrame:
-    """(video_id, frame, px, value): spots times traces on a flat background with unit noise."""
-    signal = spots.join(traces, "cell").groupBy("frame", "px").agg(F.sum(F.col("w") * F.col("c")).alias("x"))
-    every = spark.range(frames * height * width).select((F.floor(F.col("id") / (height * width)) + 1).alias("frame"), (F.col("id") % (height * width)).cast("int").alias("px"))
-    value = F.coalesce("x", F.lit(0.0)) + base + noise * normal(F.col("frame"), F.col("px"), seed)
-    return every.join(signal, ["frame", "px"], "left").select(F.lit(1).alias("video_id"), "frame", "px", value.alias("value"))
-
-
-def walk_shifts(spark: SparkSession, frames: int, seed: int = 5) -> DataFrame:
-    """(frame, s1, s2): a random walk of steps -1, 0, 1 (its running sums are over one small table)."""
-    from pyspark.sql import Window
-
-    step = lambda k: F.floor(uniform(F.col("frame"), seed, k) * 3) - 1
-    base = spark.range(1, frames + 1).select(F.col("id").alias("frame"))
-    up = Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    return base.select("frame", F.sum(step(1)).over(up).cast("int").alias("s1"), F.sum(step(2)).over(up).cast("int").alias("s2"))

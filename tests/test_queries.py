@@ -7,7 +7,7 @@ from test_motion import plain_pyramid
 
 from fovea.operators import motion
 from fovea.plans import catalog
-from fovea.plans.analysis_queries import generated
+from fovea.plans.analysis_queries import noisy_traces
 from fovea.plans.model_queries import event_model, trace_inputs
 from fovea.sources import movies
 
@@ -44,11 +44,11 @@ def plain_pools(y, gamma, lam):
 
 
 def test_grid_of_parameters(spark):
-    """Each row of both sweeps from a plain loop over the generated traces."""
-    traces = {r["cell"]: r for r in generated(spark).collect()}
+    """Each row of both sweeps from a plain loop over the traces."""
+    traces = {r["cell"]: r for r in noisy_traces(spark, DATA).collect()}
     for name in ("lambda_sweep", "gamma_lambda_grid"):
         rows = rows_of(spark, name)
-        assert len(rows) == 3 * {"lambda_sweep": 21, "gamma_lambda_grid": 28}[name]
+        assert len(rows) == 4 * {"lambda_sweep": 21, "gamma_lambda_grid": 28}[name]
         for r in rows[::7]:
             y, c0, s0 = (np.array(traces[r["cell"]][k]) for k in ("y", "c", "s"))
             c, s = plain_pools(y.tolist(), r["gamma"], r["lambda"])
@@ -97,11 +97,6 @@ def test_regions_are_disjoint_connected_and_of_unit_norm(spark, name):
         assert name == "segment_unionfind" or len(w) >= 3
 
 
-def test_generated_movie(spark):
-    rows = rows_of(spark, "synth_movie")
-    assert len(rows) == 200 and all(9.5 < r["mean"] < 12 and 0.8 < r["deviation"] < 10 for r in rows)
-
-
 def plain_displacement(image, target):
     """Best circular shift by trying all; the greatest absolute sum, first in column-major order."""
     best = None
@@ -135,5 +130,5 @@ def test_pyramid_queries(spark, name, keys):
 
 
 def test_every_query_is_tested():
-    tested = {"hals_traces_oasis", "oasis_opt", "lambda_sweep", "gamma_lambda_grid", "segment_unionfind", "init_footprints", "register_pyramid", "register_video", "synth_movie"}
+    tested = {"hals_traces_oasis", "oasis_opt", "lambda_sweep", "gamma_lambda_grid", "segment_unionfind", "init_footprints", "register_pyramid", "register_video"}
     assert set(catalog.QUERIES) - set(catalog.ORACLES) == tested | {"pipeline_e2e"}  # the last one in test_session
