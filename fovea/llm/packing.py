@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -22,21 +24,38 @@ TASK_BYTES = 64 << 20
 SPECIAL = "<|endoftext|>"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 BATCH_BYTES = 1 << 20
-#: A blank beside other white space, and blanks that have none beside them.
-_MIXED, _BLANK = re.compile(r"\s | \s"), re.compile(r"(?<!\s) (?!\s)")
-_ASCII_MIXED = tuple(pair for c in " \t\n\r\v\f\x1c\x1d\x1e\x1f" for pair in (c + " ", " " + c))
+#: Blanks that have no other white space beside them, and how RE2 finds the others.
+_BLANK = re.compile(r"(?<!\s) (?!\s)")
+_SPACE = r"[\s\pZ\x0b\x1c-\x1f\x{85}]"
+_MIXED = f"{_SPACE} | {_SPACE}"
 #: Distinct words whose ids a worker keeps before it forgets those met in one batch only, and the longest one kept.
 MAX_KNOWN, MAX_KEPT = 300_000, 64
 #: Words that go to the library in one call.
 RUN = 100
+#: Signs that are a pre-token of their own behind letters.
+TAILS = ".,;:!?"
 
+
+def byte_letters() -> dict[int, str]:
+    """What a byte-level vocabulary writes for a byte that has no printable Latin-1 letter: the next free character from 256 on."""
+    kept = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in kept)}
+
+
+_LETTERS = byte_letters()
 _encoders: dict[str, Encoder] = {}
 
 
-def cut(text: str) -> list[str]:
-    """The text cut at blanks that have no other white space beside them (the blanks left out)."""
-    mixed = any(pair in text for pair in _ASCII_MIXED) if text.isascii() else _MIXED.search(text)
-    return _BLANK.split(text) if mixed else text.split(" ")
+def cut(texts: pa.Array) -> pa.ListArray:
+    """Texts cut at blanks that have no other white space beside them (the blanks left out)."""
+    mixed = pc.match_substring_regex(texts, _MIXED)
+    lists = pc.split_pattern(texts, " ")
+    if not pc.any(mixed).as_py():
+        return lists
+    apart = pa.array([_BLANK.split(t) for t in texts.filter(mixed).to_pylist()], lists.type)
+    place = mixed.to_numpy(zero_copy_only=False)
+    order = np.where(place, len(texts) + np.cumsum(place) - 1, np.arange(len(texts)))
+    return pa.concat_arrays([lists, apart]).take(pa.array(order))
 
 
 class Encoder:
@@ -47,7 +66,8 @@ class Encoder:
     pre-token by itself, so texts are cut at such blanks and the words of a
     batch that are not known yet are encoded together, each with its blank in
     front; their ids are told apart by the bytes that each id stands for. A
-    text that holds a special string goes to the library whole.
+    word of letters alone is one pre-token, so it goes to the library's model
+    as it is, and a sign behind it is another. A text that holds a special string goes to the library whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -59,7 +79,12 @@ class Encoder:
         self.width = np.zeros(library.get_vocab_size(), np.int64)
         for token, k in library.get_vocab().items():
             self.width[k] = len(token)  # one character a byte
+        self.tokenize = library.model.tokenize
         self.known: dict[str, bytes] = {}
+        # letters are one pre-token in every vocabulary of this kind; others take the longer way
+        self.tail = {c: np.array(self.ids(c), "<u4").tobytes() for c in TAILS}
+        probes = [w + c for w in ("the", "Naïveté", "übergroß", "中文") for c in ("", *TAILS)]
+        self.by_model = all(self.by_letters(w) == np.array(self.ids(f" {w}"), "<u4").tobytes() for w in probes)
         self.once: set[str] = set()  # known words that no later batch has used since they were learned or kept
 
     def ids(self, text: str) -> list[int]:
@@ -73,7 +98,26 @@ class Encoder:
             self.known.clear()
         self.once = set(self.known)
 
+    def by_letters(self, word: str) -> bytes | None:
+        """Ids of a word of letters, or of letters and one sign behind them; None for any other."""
+        if word.isalpha():
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            return array("I", [t.id for t in self.tokenize("Ġ" + letters)]).tobytes()
+        tail = self.tail.get(word[-1:])
+        if tail is None or not word[:-1].isalpha():
+            return None
+        return (self.known.get(word[:-1]) or self.by_letters(word[:-1])) + tail
+
     def learn(self, words: list[str]) -> None:
+        if self.by_model:
+            rest = []
+            for word in words:
+                ids = self.by_letters(word)
+                if ids is None:
+                    rest.append(word)
+                else:
+                    self.known[word] = ids
+            words = rest
         for k in range(0, len(words), RUN):
             run = words[k : k + RUN]
             ids = np.array(self.ids("".join(f" {w}" for w in run)), "<u4")
@@ -84,24 +128,40 @@ class Encoder:
                 self.known[word] = data[4 * start : 4 * end]
                 start = end
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [None if SPECIAL in t else cut(t) for t in texts]
-        used: set[str] = set()
-        for words in parts:
-            if words:
-                used.update(words[1:])
-        new = used.difference(self.known)
+    def __call__(self, texts: list[str], end: bytes = b"") -> list[np.ndarray]:
+        """The ids of each text, and ``end`` behind them."""
+        # large offsets: a batch may be one text of any length
+        whole = pa.array(texts, pa.large_string())
+        special = pc.match_substring(whole, SPECIAL).to_numpy(zero_copy_only=False)
+        lists = cut(pc.if_else(pa.array(special), "", whole))
+        flat = lists.flatten().dictionary_encode()
+        sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        index = flat.indices.to_numpy()
+        firsts = np.cumsum(sizes) - sizes
+        heads = [text if alone else word for text, alone, word in zip(texts, special.tolist(), flat.dictionary.take(pa.array(index[firsts])).to_pylist(), strict=True)]
+        behind = np.ones(len(index), bool)
+        behind[firsts] = False  # a text's first word has no blank in front
+        index = index[behind]
+        words, used_at = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), np.zeros(len(flat.dictionary), bool)
+        used_at[index] = True
+        used = [w for w, there in zip(words, used_at.tolist(), strict=True) if there]
+        new = [w for w in used if w not in self.known]
         self.once.difference_update(used)
         if len(self.known) + len(new) > MAX_KNOWN:
             self.forget(len(new))
-            new = used.difference(self.known)
-        self.learn(sorted(new))
-        find = self.known.__getitem__
-        firsts = iter(self.many([text if words is None else words[0] for text, words in zip(texts, parts, strict=True)]))
+            new = [w for w in used if w not in self.known]
+        self.learn(new)
+        each = [self.known[w] if there else b"" for w, there in zip(words, used_at.tolist(), strict=True)]
+        width = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        start = np.cumsum(width) - width
+        n = width[index]
+        place = np.repeat(start[index] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        ids = np.frombuffer(b"".join(each), "<u4")[place]
+        ends = np.cumsum(np.append(0, n))[np.cumsum(np.append(0, sizes - 1))]
         out = []
-        for words in parts:
-            first = np.array(next(firsts), "<u4")
-            out.append(np.frombuffer(b"".join([first.tobytes(), *map(find, words[1:])]), "<u4") if words else first)
+        for k, head in enumerate(self.many(heads)):
+            rest = ids[ends[k] : ends[k + 1]]
+            out.append(np.frombuffer(b"".join([array("I", head).tobytes(), rest.tobytes(), end]), "<u4"))
         for word in new:
             if len(word) > MAX_KEPT:
                 del self.known[word]
@@ -256,13 +316,13 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, vocabulary: str | None
         encode = encoder(path)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-        end = np.array([END_ID], "<u4")
+        end = np.array([END_ID], "<u4").tobytes()
 
         def rows() -> Iterator[tuple]:
             for batch in slices(batches, "text", BATCH_BYTES):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
-                    yield doc_id, np.append(ids, end)
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts, end), strict=True):
+                    yield doc_id, ids
 
         held, n = [], 0
         for piece in pack_rows(rows(), window, TaskContext.get().partitionId() << 32, max_open):
