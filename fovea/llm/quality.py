@@ -182,8 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveM
 
     The sample is the labelled ids of least hash, so it does not depend on the
     order of rows. Only their feature rows (no texts) come to the driver. An id
-    with several labels counts as good if half of them or more are; null
-    labels and labels without a document are left out. Other columns of either
+    with several labels counts as good if half of them or more are, of several
+    texts of an id that of least features counts once; null labels and labels without a document are left out. Other columns of either
     table, whatever their names, are ignored.
     """
     known, quality = F.col("doc_id"), F.col("quality")
@@ -195,14 +195,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveM
         .limit(sample)
     )
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text"))
-    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select("text", "y")
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select("text", "y", "labelled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
             x = [text_features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "y", "labelled"])
 
-    got = rows.mapInArrow(run, "x array<double>, y double").orderBy("y", "x").limit(2 * sample).toPandas()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    each = rows.mapInArrow(run, f"x array<double>, y double, labelled {kind}").groupBy("labelled").agg(F.min("x").alias("x"), F.first("y").alias("y"))
+    got = each.select("y", "x").orderBy("y", "x").toPandas()
     return AdditiveModel().fit(np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES)), got["y"].to_numpy(float))
 
 

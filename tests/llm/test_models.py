@@ -131,3 +131,12 @@ def test_language_edges(docs, spark):
     assert len(rows) == len(hard_rows()) and {r["lang_pred"] for r in rows} <= {"en", "und"}
     assert all((r["lang_pred"] == "und") == (r["doc_id"] in (1, 2, 3, 12)) for r in rows if r["doc_id"] is not None)
     assert language_id.label_documents(docs([]), model).count() == 0
+
+
+def test_documents_held_several_times_teach_once(spark, docs):
+    """The model of documents held once is that of the same held five times, also where the sample is cut."""
+    rows = [(k, f"word{k % 7} " * (k % 23 + 1) + "#" * (k % 5)) for k in range(300)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, quality int")
+    for sample in (100, 1000):
+        one, five = (quality.train(docs(r), labels, sample) for r in (rows, rows * 5))
+        assert one.base == five.base and all((a == b).all() for a, b in zip(one.tables + one.pair_tables, five.tables + five.pair_tables, strict=True))
