@@ -161,12 +161,15 @@ def trace_gram(traces: DataFrame, name: str = "c") -> DataFrame:
 RUN = 4096
 
 
-def pair_products(traces: DataFrame, pairs: DataFrame, name: str = "c") -> DataFrame:
-    """(i, j, g): sums of products of the traces of the given pairs only, run by run of frames."""
-    run_of = F.floor((F.col("frame") - 1) / RUN).alias("run")
-    packed = traces.groupBy("cell", run_of).agg(F.sort_array(F.collect_list(F.struct("frame", F.col(name).alias("c")))).alias("t"))
-    packed = packed.select("cell", "run", F.col("t.frame").alias("frames"), F.col("t.c").alias("c"))
-    left, right = (packed.select(F.col("cell").alias(k), "run", F.col("frames").alias(f"frames_{k}"), F.col("c").alias(f"c_{k}")) for k in ("i", "j"))
+def pair_products(traces: DataFrame, pairs: DataFrame, name: str = "c", others: DataFrame | None = None, other: str = "c") -> DataFrame:
+    """(i, j, g): sums of products of the traces of the given pairs only, run by run of frames; j's traces come from ``others`` if given."""
+
+    def packed(table: DataFrame, value: str, k: str) -> DataFrame:
+        run_of = F.floor((F.col("frame") - 1) / RUN).alias("run")
+        grouped = table.groupBy(F.col("cell").alias(k), run_of).agg(F.sort_array(F.collect_list(F.struct("frame", F.col(value).alias("c")))).alias("t"))
+        return grouped.select(k, "run", F.col("t.frame").alias(f"frames_{k}"), F.col("t.c").alias(f"c_{k}"))
+
+    left, right = packed(traces, name, "i"), packed(traces if others is None else others, name if others is None else other, "j")
     met = pairs.select("i", "j").distinct().join(left, "i").join(right, ["j", "run"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,12 +211,20 @@ def trace_correlation(traces: DataFrame, name: str = "c", pairs: DataFrame | Non
 
 
 def merge_loss(rows: DataFrame, footprints: DataFrame, traces: DataFrame) -> DataFrame:
-    """Change of the quadratic loss if trace j is replaced by trace i, for overlapping i and j, from Gram tables."""
-    ay = project_traces(rows, footprints).select("frame", F.col("cell").alias("j"), "r")
-    ayc = ay.join(traces.select("frame", F.col("cell").alias("i"), "c"), "frame").groupBy("i", "j").agg(F.sum(F.col("r") * F.col("c")).alias("p"))
-    aa, cc = footprint_gram(footprints), trace_gram(traces)
-    pairs = aa.where("i != j AND g != 0").select("i", "j")
+    """Change of the quadratic loss if trace j is replaced by trace i, for overlapping i and j, from Gram tables.
+
+    Products of traces are formed for cells that overlap, or that overlap one
+    and the same cell, and no others.
+    """
+    aa = saved(footprint_gram(footprints).where("g != 0"), "gram")
+    pairs = saved(aa.where("i != j").select("i", "j"), "overlaps")
+    near = pairs.select(F.col("i").alias("j"), F.col("j").alias("k"))
+    ay = project_traces(rows, footprints).select("frame", "cell", "r")
+    own_pairs = aa.where("i = j").select("i", "j")
+    ayc = saved(pair_products(traces, pairs.unionByName(own_pairs), "c", ay, "r").withColumnRenamed("g", "p"), "products")
     own = ayc.where("i = j").select("j", F.col("p").alias("pj"))
+    wanted = pairs.join(near, "j").select("i", F.col("k").alias("j")).unionByName(pairs).unionByName(own_pairs)
+    cc = saved(pair_products(traces, wanted), "trace-products")
     cross = (
         aa.where("i != j").select(F.col("i").alias("j"), F.col("j").alias("k"), "g")
         .join(pairs, "j")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fovea.functions import deconvolution
 from fovea.functions.columns import rounded
 from fovea.operators import folds, motion, segmentation, sweeps, views
-from fovea.plans.ctes import EMB, MODEL, TRACES
+from fovea.plans.ctes import EMB, MODEL, NOISY, TRACES, penalised, pools_sql
 from fovea.plans.model_queries import event_model, event_traces
 from fovea.plans.movie_queries import SEGMENTS, r
 from fovea.plans.registry import query
@@ -35,24 +35,8 @@ def deconvolved(traces: DataFrame, gamma: float, lam: float, rule: str = "undamp
     return traces.groupBy("cell").applyInPandas(run, "cell int, frame long, c double, s double")
 
 
-#: Deconvolution as a recursion over samples: each step joins the last two pools or opens one for the next sample.
 OASIS_SQL = f"""WITH RECURSIVE {TRACES}, y AS (SELECT cell, list(r ORDER BY frame) AS y FROM tr GROUP BY cell),
-x AS (SELECT cell, list_transform(y, lambda v, i: v - CASE WHEN i = len(y) THEN 2.0::DOUBLE ELSE 2.0::DOUBLE * (1 - 0.8::DOUBLE) END) AS x FROM y),
-o AS (
-  SELECT cell, 0 AS t, []::DOUBLE[] AS v, []::DOUBLE[] AS w, []::BIGINT[] AS n FROM x
-  UNION ALL
-  SELECT cell, CASE WHEN joins THEN t ELSE t + 1 END,
-    CASE WHEN joins THEN list_append(v[:len(v) - 2], (w[-2] * v[-2] + d * w[-1] * v[-1]) / (w[-2] + d * d * w[-1])) ELSE list_append(v, x[t + 1]) END,
-    CASE WHEN joins THEN list_append(w[:len(w) - 2], w[-2] + d * d + w[-1]) ELSE list_append(w, 1.0::DOUBLE) END,
-    CASE WHEN joins THEN list_append(n[:len(n) - 2], n[-2] + n[-1]) ELSE list_append(n, 1::BIGINT) END
-  FROM (SELECT o.*, x.x, len(v) > 1 AND v[-1] < 0.8::DOUBLE ** n[-2] * v[-2] AS joins, 0.8::DOUBLE ** n[-2] AS d FROM o JOIN x USING (cell))
-  WHERE joins OR t < len(x)
-), done AS (
-  SELECT o.* FROM o JOIN x USING (cell) WHERE t = len(x) AND NOT (len(v) > 1 AND v[-1] < 0.8::DOUBLE ** n[-2] * v[-2])
-), pools AS (SELECT cell, unnest(v) AS v, unnest(n) AS n, unnest(range(len(v))) AS k FROM done
-), placed AS (SELECT *, sum(n) OVER (PARTITION BY cell ORDER BY k) - n AS start FROM pools
-), fit AS (SELECT cell, start, (start + a + 1)::BIGINT AS frame, greatest(v, 0) * 0.8::DOUBLE ** a AS c FROM (SELECT *, unnest(range(n)) AS a FROM placed)
-), spikes AS (SELECT cell, frame, c, CASE WHEN frame = start + 1 AND start > 0 THEN c - 0.8::DOUBLE * lag(c) OVER (PARTITION BY cell ORDER BY frame) ELSE 0 END AS s FROM fit)"""
+{pools_sql("p", f"SELECT cell AS key, 0.8::DOUBLE AS gamma, {penalised('y', '0.8::DOUBLE', '2.0::DOUBLE')} AS x FROM y")}, spikes AS (SELECT key AS cell, frame, c, s FROM p_fit)"""
 
 
 @query(f"{OASIS_SQL} SELECT cell, frame, round(c, 6) + 0.0 AS c FROM spikes")
@@ -116,14 +100,29 @@ def sweep_grid(traces: DataFrame, gammas: list[float], lambdas: list[float]) ->
     return found.select("cell", "gamma", "lambda", *(r(n, 4) for n in ("sse", "error", "kurtosis", "negentropy", "corr_c", "corr_s")))
 
 
-@query()
+def grid_sql(gammas: list[float], lambdas: list[float]) -> str:
+    source = f"""SELECT {{'cell': cell, 'gamma': g, 'lambda': l}} AS key, g AS gamma, {penalised("y", "g", "l")} AS x
+FROM (SELECT cell, list(y ORDER BY frame) AS y FROM noisy GROUP BY cell), (SELECT unnest({gammas}::DOUBLE[]) AS g), (SELECT unnest({lambdas}::DOUBLE[]) AS l)"""
+    corr = "coalesce(CASE WHEN stddev_pop(c.{0}) > 1e-9 AND stddev_pop(t.{0}) > 1e-9 THEN corr(c.{0}, t.{0}) END, 0)"
+    return f"""WITH RECURSIVE {NOISY}, {pools_sql("p", source)}, c AS (SELECT key, key.cell AS cell, frame, c, s FROM p_fit),
+d AS (SELECT key, c.c - y AS d, c.c - y - avg(c.c - y) OVER (PARTITION BY key) AS z FROM c JOIN noisy USING (cell, frame)),
+m AS (SELECT key, sum(d * d) AS sse, avg(z ** 2) AS m2, avg(z ** 3) AS m3, avg(z ** 4) AS m4 FROM d GROUP BY key),
+t AS (SELECT key, sum((c.c - t.c) ** 2) AS error, {corr.format("c")} AS corr_c, {corr.format("s")} AS corr_s FROM c JOIN noisy t USING (cell, frame) GROUP BY key)
+SELECT key.cell AS cell, key.gamma AS gamma, key."lambda" AS "lambda", round(sse, 4) + 0.0 AS sse, round(error, 4) + 0.0 AS error, round(m4 / m2 ** 2, 4) + 0.0 AS kurtosis,
+  round(m3 ** 2 / m2 ** 3 / 12 + (m4 / m2 ** 2 - 3) ** 2 / 48, 4) + 0.0 AS negentropy, round(corr_c, 4) + 0.0 AS corr_c, round(corr_s, 4) + 0.0 AS corr_s FROM m JOIN t USING (key)"""
+
+
+LAMBDAS, GAMMA_GRID = [k / 4 for k in range(21)], ([0.8, 0.85, 0.9, 0.95], [k / 2 for k in range(7)])
+
+
+@query(grid_sql([0.9], LAMBDAS))
 def lambda_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep_grid(noisy_traces(spark, sf_dir), [0.9], [k / 4 for k in range(21)])
+    return sweep_grid(noisy_traces(spark, sf_dir), [0.9], LAMBDAS)
 
 
-@query()
+@query(grid_sql(*GAMMA_GRID))
 def gamma_lambda_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep_grid(noisy_traces(spark, sf_dir), [0.8, 0.85, 0.9, 0.95], [k / 2 for k in range(7)])
+    return sweep_grid(noisy_traces(spark, sf_dir), *GAMMA_GRID)
 
 
 @query(f"""WITH {TRACES}, y AS (SELECT cell, y, greatest(2, len(y) // 8) AS n FROM (SELECT cell, list(r ORDER BY frame) AS y FROM tr GROUP BY cell)),
@@ -174,7 +173,38 @@ def summary_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.negentropy_per_video(movies.embedding_movie(spark, sf_dir).rows)
 
 
-@query()
+def flood_sql(images: str, min_size: int, sens: float, min_n: int) -> str:
+    """Clusters of 8 x 8 images as a recursion over pixels, then over clusters: each one stands out of the pool of those below it, or joins the pool.
+
+    ``images``: (image, px, v). A pixel joins the largest cluster beside it,
+    the first in the order of neighbours, which takes in the small ones there.
+    The tail of chi-square is one less the series of its lower part.
+    """
+    near = """list_filter(list_transform(list_filter([p + 8, p - 8, p + 1, p - 1], lambda q: q BETWEEN 0 AND 63 AND abs(q % 8 - p % 8) <= 1), lambda q: lab[q + 1]), lambda l: l > 0)"""
+    tail = "1 - list_sum(list_transform(range(2000), lambda i: exp((n / 2.0 + i) * ln(x / 2) - x / 2 - lgamma(n / 2.0 + i + 1))))"
+    return f"""imgs AS MATERIALIZED ({images}), img AS MATERIALIZED (SELECT image, list(px::BIGINT ORDER BY v DESC, px) AS ord FROM imgs GROUP BY image), flood AS (
+  SELECT image, 0 AS step, list_transform(range(64), lambda i: 0) AS lab FROM img
+  UNION ALL
+  SELECT image, step + 1, list_transform(lab, lambda l, i: CASE WHEN i = p + 1 THEN coalesce(best, step + 1)
+    WHEN l > 0 AND l <> best AND list_contains(near, l) AND sizes[list_position(near, l)] < {min_size} THEN best ELSE l END)
+  FROM (SELECT *, near[list_position(sizes, list_max(sizes))] AS best FROM (SELECT *, list_transform(near, lambda k: len(list_filter(lab, lambda l: l = k))) AS sizes FROM (
+    SELECT *, {near} AS near FROM (SELECT flood.*, ord[step + 1] AS p FROM flood JOIN img USING (image) WHERE step < 64))))
+), labels AS (SELECT image, unnest(range(64))::INTEGER AS px, unnest(lab) AS label FROM flood WHERE step = 64
+), sized AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY image, label) >= {min_size} THEN label ELSE 0 END AS own FROM labels
+), groups AS MATERIALIZED (
+  SELECT image, own, sum(v) AS gs, sum(v * v) AS gss, count(*) AS n, row_number() OVER (PARTITION BY image ORDER BY avg(v * v), own) AS k FROM sized JOIN imgs USING (image, px) GROUP BY image, own
+), pool AS (
+  SELECT image, 0::BIGINT AS k, 0.0::DOUBLE AS s, 0.0::DOUBLE AS ss, 0::HUGEINT AS m, false AS keep FROM img
+  UNION ALL
+  SELECT image, k, CASE WHEN keep THEN s ELSE s + gs END, CASE WHEN keep THEN ss ELSE ss + gss END, CASE WHEN keep THEN m ELSE m + n END, keep
+  FROM (SELECT *, coalesce(m > {min_n} AND var > 0 AND x > 0 AND {tail} < exp(-{sens}::DOUBLE), false) AS keep FROM (SELECT *, (gss - 2 * mean * gs + n * mean * mean) / nullif(var, 0) AS x FROM (
+    SELECT g.*, s, ss, m, s / nullif(m, 0) AS mean, ss / nullif(m, 0) - (s / nullif(m, 0)) ** 2 AS var FROM pool JOIN groups g ON g.image = pool.image AND g.k = pool.k + 1)))
+), kept AS (SELECT image, own, row_number() OVER (PARTITION BY image ORDER BY k)::INTEGER AS cell FROM pool JOIN groups USING (image, k) WHERE keep
+), weights AS (SELECT image, cell, px, greatest(v, 0) AS w FROM sized JOIN kept USING (image, own) JOIN imgs USING (image, px))
+SELECT image, cell, px, round(w / sqrt(sum(w * w) OVER (PARTITION BY image, cell)), 6) + 0.0 AS w FROM weights WHERE w > 0"""
+
+
+@query(f"WITH RECURSIVE {EMB}, {flood_sql('SELECT video_id AS image, px, avg(value) AS v FROM emb GROUP BY ALL', 3, 2.0, 20)}")
 def segment_unionfind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of each video's image, with limits for small frames."""
     rows = movies.embedding_movie(spark, sf_dir).rows
@@ -182,7 +212,7 @@ def segment_unionfind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.unionfind(images, 8, 8, 3, 2.0, 20).select("image", "cell", "px", r("w"))
 
 
-@query()
+@query(f"SELECT cell, px, w FROM (WITH RECURSIVE {EMB}, {VIDEO_IMAGE}, {flood_sql('SELECT 1 AS image, px, v FROM summary', 3, 0.5, 10)})")
 def init_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.init_footprints(summary_image(spark, sf_dir), 8, 8, min_size=3, sens=0.5, min_n=10).select("cell", "px", r("w"))
 

@@ -76,3 +76,38 @@ CELL_MOVIE = f"""{SPIKES}, spots_w AS (
   FROM (SELECT f, p, (f * 9 + p // 64) % (SELECT count(*) FROM embeddings) AS vec_id FROM range(1, 241) a(f), range(576) b(p)) e
   LEFT JOIN embeddings USING (vec_id) LEFT JOIN signals ON signals.frame = e.f AND signals.px = e.p
 )"""
+
+
+def pools_sql(n: str, source: str) -> str:
+    """Deconvolution as a recursion over samples: each step joins the last two pools or opens one for the next sample.
+
+    ``source``: (key, gamma, x), the samples less the penalty as a list. Gives
+    ``{n}_fit`` (key, frame, c, s).
+    """
+    joins = "len(v) > 1 AND v[-1] < gamma ** n[-2] * v[-2]"
+    return f"""{n}_x AS MATERIALIZED ({source}), {n}_o AS (
+  SELECT key, 0 AS t, []::DOUBLE[] AS v, []::DOUBLE[] AS w, []::BIGINT[] AS n FROM {n}_x
+  UNION ALL
+  SELECT key, CASE WHEN joins THEN t ELSE t + 1 END,
+    CASE WHEN joins THEN list_append(v[:len(v) - 2], (w[-2] * v[-2] + d * w[-1] * v[-1]) / (w[-2] + d * d * w[-1])) ELSE list_append(v, x[t + 1]) END,
+    CASE WHEN joins THEN list_append(w[:len(w) - 2], w[-2] + d * d + w[-1]) ELSE list_append(w, 1.0::DOUBLE) END,
+    CASE WHEN joins THEN list_append(n[:len(n) - 2], n[-2] + n[-1]) ELSE list_append(n, 1::BIGINT) END
+  FROM (SELECT o.*, x.x, {joins} AS joins, gamma ** n[-2] AS d FROM {n}_o o JOIN {n}_x x USING (key)) WHERE joins OR t < len(x)
+), {n}_pools AS (
+  SELECT key, gamma, unnest(v) AS v, unnest(n) AS n, unnest(range(len(v))) AS k FROM {n}_o JOIN {n}_x USING (key) WHERE t = len(x) AND NOT ({joins})
+), {n}_placed AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY k) - n AS start FROM {n}_pools
+), {n}_c AS (SELECT key, gamma, start, (start + a + 1)::BIGINT AS frame, greatest(v, 0) * gamma ** a AS c FROM (SELECT *, unnest(range(n)) AS a FROM {n}_placed)
+), {n}_fit AS MATERIALIZED (SELECT key, frame, c, CASE WHEN frame = start + 1 AND start > 0 THEN c - gamma * lag(c) OVER (PARTITION BY key ORDER BY frame) ELSE 0 END AS s FROM {n}_c)"""
+
+
+def penalised(y: str, gamma: str, lam: str) -> str:
+    """The samples of list ``y`` less the penalty."""
+    return f"list_transform({y}, lambda v, i: v - CASE WHEN i = len({y}) THEN {lam} ELSE {lam} * (1 - {gamma}) END)"
+
+
+NOISY = f"""{SPIKES}, truth AS (
+  SELECT a.cell, a.frame, max(a.s) AS s, sum(b.s * 0.9::DOUBLE ** (a.frame - b.frame)) AS c FROM spikes a JOIN spikes b ON a.cell = b.cell AND b.frame <= a.frame GROUP BY ALL
+), noisy AS MATERIALIZED (
+  SELECT cell, frame, t.s, t.c, t.c + 0.3::DOUBLE * coalesce(8 * embedding[(frame - 1) % 64 + 1]::DOUBLE, 0) AS y
+  FROM (SELECT *, ((frame - 1) * 4 + cell) % (SELECT count(*) FROM embeddings) AS vec_id FROM truth) t LEFT JOIN embeddings USING (vec_id)
+)"""

@@ -11,7 +11,7 @@ from fovea.functions.columns import clamped, rounded, trace_negentropy as negent
 from fovea.functions.lineage import saved
 from fovea.operators import backgrounds, merging, products, sweeps, views
 from fovea.operators.backgrounds import PerVideo, RankOne, Static
-from fovea.plans.ctes import FEET, MODEL, TRACES
+from fovea.plans.ctes import FEET, MODEL, TRACES, penalised, pools_sql
 from fovea.plans.movie_queries import r
 from fovea.plans.registry import query
 from fovea.sources import movies
@@ -322,7 +322,21 @@ def hals_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweeps.unpacked(sweeps.trace_sweep(trace_inputs(m), m.footprints, frames_per_task=240)).select("frame", "cell", r("r"), r("c"))
 
 
-@query()
+def oasis_sweep_sql() -> str:
+    """The sweep written out cell by cell, each with its deconvolution: a cell reads the traces of the cells before it."""
+    steps = []
+    for j in CELLS:
+        less = "".join(f" - coalesce((SELECT g FROM aa WHERE i = {j} AND j = {k}), 0) * c{k}.c" for k in range(1, j))
+        joins = "".join(f" JOIN t{k}_fit c{k} ON c{k}.frame = x.frame" for k in range(1, j))
+        raw = f"SELECT list(r ORDER BY frame) AS y FROM (SELECT x.frame, x.x{less} AS r FROM xs x{joins} WHERE x.cell = {j})"
+        steps.append(pools_sql(f"t{j}", f"SELECT {j} AS key, 0.8::DOUBLE AS gamma, {penalised('y', '0.8::DOUBLE', '2.0::DOUBLE')} AS x FROM ({raw})"))
+    out = " UNION ALL ".join(f"SELECT frame, {j} AS cell, round(c, 6) + 0.0 AS c, round(s, 6) + 0.0 AS s FROM t{j}_fit" for j in CELLS)
+    return f"""WITH RECURSIVE {MODEL}, ab AS (SELECT video_id, cell, sum(w * b) AS ab FROM grid JOIN b0 USING (px) GROUP BY ALL),
+aa AS MATERIALIZED (SELECT a.cell AS i, b.cell AS j, sum(a.w * b.w) AS g FROM grid a JOIN grid b USING (px) GROUP BY ALL),
+xs AS MATERIALIZED (SELECT frame, cell, r - ab AS x FROM tr JOIN ab USING (video_id, cell)), {", ".join(steps)} {out}"""
+
+
+@query(oasis_sweep_sql())
 def hals_traces_oasis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sweep with a deconvolution of whole traces."""
     m = event_model(spark, sf_dir)
