@@ -19,10 +19,11 @@ def neighbours(px: int, height: int, width: int) -> Iterator[int]:
             yield px + a + b * height
 
 
-def falling(image: np.ndarray) -> list[int]:
-    """Pixels by falling value, ties by number; NaN left out."""
+def falling(image: np.ndarray, nan_first: bool = False) -> list[int]:
+    """Pixels by falling value, ties by number; NaN left out, or before all others."""
     order = np.argsort(-image, kind="stable")
-    return [int(p) for p in order if not np.isnan(image[p])]
+    known = [int(p) for p in order if not np.isnan(image[p])]
+    return np.flatnonzero(np.isnan(image)).tolist() + known if nan_first else known
 
 
 def unit(weights: dict[int, float]) -> dict[int, float]:
@@ -30,7 +31,7 @@ def unit(weights: dict[int, float]) -> dict[int, float]:
     return {p: w / norm for p, w in weights.items() if w > 0} if norm > 0 else {}
 
 
-def flood_labels(image: np.ndarray, height: int, width: int, min_size: int) -> np.ndarray:
+def flood_labels(image: np.ndarray, height: int, width: int, min_size: int, nan_first: bool = False) -> np.ndarray:
     """Clusters of a descending flood (0: none); a large neighbour absorbs small ones where they meet."""
     parent, size = [0], [0]
     label = np.zeros(len(image), int)
@@ -40,7 +41,7 @@ def flood_labels(image: np.ndarray, height: int, width: int, min_size: int) -> n
             parent[k] = k = parent[parent[k]]
         return k
 
-    for p in falling(image):
+    for p in falling(image, nan_first):
         near = [root(label[q]) for q in neighbours(p, height, width) if label[q]]
         if not near:
             parent.append(len(parent))
@@ -89,10 +90,14 @@ def log_chi2_tail(x: float, n: float) -> float:
     return front + math.log(h)
 
 
-def unionfind_regions(image: np.ndarray, height: int, width: int, min_size: int = 20, sens: float = 50.0, min_n: int = 1000) -> list[dict[int, float]]:
-    """Footprints of the clusters that stand out of the pooled noise of those below them."""
-    label = flood_labels(image, height, width, min_size)
-    at = np.flatnonzero(~np.isnan(image))
+def unionfind_regions(image: np.ndarray, height: int, width: int, min_size: int = 20, sens: float = 50.0, min_n: int = 1000, nan_first: bool = False) -> list[dict[int, float]]:
+    """Footprints of the clusters that stand out of the pooled noise of those below them.
+
+    With ``nan_first`` pixels without a value begin clusters of their own, which
+    come last and never stand out.
+    """
+    label = flood_labels(image, height, width, min_size, nan_first)
+    at = np.arange(len(image)) if nan_first else np.flatnonzero(~np.isnan(image))
     at = at[np.argsort(label[at], kind="stable")]
     names, first, sizes = np.unique(label[at], return_index=True, return_counts=True)
     energy = np.add.reduceat(image[at] ** 2, first) / sizes if len(at) else np.zeros(0)
@@ -101,7 +106,7 @@ def unionfind_regions(image: np.ndarray, height: int, width: int, min_size: int
     for k in np.lexsort((names, energy)):
         own = at[first[k] : first[k] + sizes[k]]
         v = image[own]
-        if n > min_n:
+        if n > min_n and not np.isnan(v).any():
             mean = s / n
             var = ss / n - mean * mean
             if var > 0 and log_chi2_tail(float(((v - mean) ** 2).sum() / var), len(v)) < -sens:

@@ -29,8 +29,8 @@ def segment(images: DataFrame, height: int, width: int, find: Finder) -> DataFra
     return images.groupBy("image").applyInPandas(run, "image int, cell int, px int, w double")
 
 
-def unionfind(images: DataFrame, height: int, width: int, min_size: int = 20, sens: float = 50.0, min_n: int = 1000) -> DataFrame:
-    return segment(images, height, width, lambda i, h, w: regions.unionfind_regions(i, h, w, min_size, sens, min_n))
+def unionfind(images: DataFrame, height: int, width: int, min_size: int = 20, sens: float = 50.0, min_n: int = 1000, nan_first: bool = False) -> DataFrame:
+    return segment(images, height, width, lambda i, h, w: regions.unionfind_regions(i, h, w, min_size, sens, min_n, nan_first))
 
 
 def peaks(images: DataFrame, height: int, width: int, threshold: float) -> DataFrame:

@@ -102,7 +102,14 @@ def less_others(rows: DataFrame, others: DataFrame | None, finish: Callable, sch
     return dealt.mapInPandas(run, schema)
 
 
-def wavefront(packed: DataFrame, aa: DataFrame, deconvolve: Deconvolve) -> DataFrame:
+def apart(frames: np.ndarray, r: np.ndarray, gamma: float, lam: float, starts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(c, s) of a trace deconvolved part by part; parts begin at the given frames."""
+    cuts = np.searchsorted(frames, sorted(starts))
+    parts = [deconvolution.oasis(p, gamma, lam) for p in np.split(r, cuts) if len(p)]
+    return np.concatenate([c for c, _ in parts]), np.concatenate([s for _, s in parts])
+
+
+def wavefront(packed: DataFrame, aa: DataFrame, deconvolve: Deconvolve, starts: list[int] | None = None) -> DataFrame:
     """Whole traces (cell, frames, x, c, gamma, lambda) updated level by level."""
     links = aa.where("i < j AND g != 0").select("i", "j")
     levels = Levels(packed.select("cell"), links, TRACE_ROWS)
@@ -112,6 +119,8 @@ def wavefront(packed: DataFrame, aa: DataFrame, deconvolve: Deconvolve) -> DataF
 
     def updated(cell, frames, r, gamma, lam) -> pd.DataFrame:
         c, s, gamma, lam = deconvolve(r, gamma, lam)
+        if starts is not None:
+            c, s = apart(frames, r, gamma, lam, starts)
         return pd.DataFrame({"cell": [cell], "frames": [frames], "r": [r], "c": [c], "s": [s], "gamma": [gamma], "lambda": [lam]})
 
     start = packed.select("cell", "frames", F.zip_with("x", "c", lambda x, c: x + c).alias("r"), "gamma", "lambda")
@@ -155,14 +164,16 @@ def clamp_by_frames(packed: DataFrame, aa: DataFrame) -> DataFrame:
     return packed.join(near, "cell").groupBy("part").applyInPandas(run, TRACE_ROWS)
 
 
-def trace_sweep(values: DataFrame, footprints: DataFrame, deconvolve: Deconvolve = zero_clamp, cells: DataFrame | None = None, frames_per_task: int | None = 256) -> DataFrame:
+def trace_sweep(values: DataFrame, footprints: DataFrame, deconvolve: Deconvolve = zero_clamp, cells: DataFrame | None = None, frames_per_task: int | None = 256, starts: list[int] | None = None) -> DataFrame:
     """One pass over the cells.
 
     ``values``: (frame, cell, x, c), the projections less the background's part
     and the traces so far. ``cells``: (cell, gamma, lambda), default 0.8 and
     50. A clamp works frame by frame, so it is cut into runs of
     ``frames_per_task`` (fewer where there are many cells); a deconvolution
-    needs whole traces and goes by levels.
+    needs whole traces and goes by levels. With ``starts``, the first frames of
+    videos (one number a video), no pool of a deconvolution crosses from one to
+    the next; its parameters still are those of the whole trace.
 
     Returns packed rows: cell, frames, r, c, s, gamma, lambda; see ``unpacked``.
     """
@@ -180,7 +191,7 @@ def trace_sweep(values: DataFrame, footprints: DataFrame, deconvolve: Deconvolve
         packed = packed.withColumns({"gamma": F.lit(0.8), "lambda": F.lit(50.0)})
     else:
         packed = packed.join(cells.select("cell", "gamma", "lambda"), "cell")
-    return clamp_by_frames(packed, aa) if by_frames else wavefront(saved(packed, "packed-values"), aa, deconvolve)
+    return clamp_by_frames(packed, aa) if by_frames else wavefront(saved(packed, "packed-values"), aa, deconvolve, starts)
 
 
 def unpacked(packed: DataFrame) -> DataFrame:

@@ -34,6 +34,12 @@ def src_single_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return movies.single_key(rows.select(F.concat(F.lit("recording_"), F.size("embedding").cast("string")).alias("key")))
 
 
+@query(f"""WITH {EMB}, n AS (SELECT video_id, count(*) AS frames FROM emb_f GROUP BY ALL)
+SELECT video_id, frames, 8 AS height, 8 AS width, ceil(frames / ceil(frames / {SEGMENTS}.0))::INTEGER AS segments, ceil(frames / {SEGMENTS}.0)::BIGINT AS longest FROM n""")
+def segment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return movies.segment_summary(movies.embedding_movie(spark, sf_dir), SEGMENTS)
+
+
 @query(f"""WITH {LI}, o AS (SELECT video_id, n, coalesce(sum(n) OVER (ORDER BY video_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM li_n)
 SELECT video_id, frame, px, value FROM li JOIN o USING (video_id)
 WHERE video_id = 3 AND (frame - o - 1) // ceil(n / 5.0)::BIGINT = 1""")

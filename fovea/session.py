@@ -64,6 +64,14 @@ class Session:
         self.image = saved(folds.negentropy_per_video(self.rows), "image")
         return self
 
+    def init_from_negentropy(self, tol: float = 0.5) -> Session:
+        """Footprints downhill from the peaks of the whole movie's negentropy image, instead of ``init_footprints``."""
+        self.image = saved(folds.negentropy(self.rows), "image")
+        found = segmentation.peaks_tolerance(self.image.withColumn("image", F.lit(1)), self.movie.height, self.movie.width, tol)
+        self.footprints = saved(found.drop("image"), "footprints")
+        self.zero_traces()
+        return self
+
     def init_footprints(self, **limits: float) -> Session:
         self.footprints = saved(segmentation.init_footprints(self.image, self.movie.height, self.movie.width, **limits), "footprints")
         self.zero_traces()
@@ -86,7 +94,9 @@ class Session:
             return self.traces
         return self.rows.sparkSession.createDataFrame([], "video_id int, frame long, cell int, r double, c double, s double")
 
-    def update_traces(self, deconvolve: Callable = sweeps.oasis_fitted) -> Session:
+    def update_traces(self, deconvolve: Callable = sweeps.oasis_fitted, by_video: bool = False) -> Session:
+        """New traces of all cells; with ``by_video`` no pool crosses from one video to the next."""
+        starts = [r["f"] for r in self.frames.groupBy("video_id").agg(F.min("frame").alias("f")).collect()] if by_video else None
         old = self._traces()
         values = project_traces(self.rows, self.footprints).select("frame", "cell", F.col("r").alias("x"))
         taken = [x for b in self.backgrounds if (x := b.trace_correction(self.footprints, self.frames)) is not None]
@@ -96,7 +106,7 @@ class Session:
             values = values.select("frame", "cell", (F.col("x") - F.coalesce(f"x{k}", F.lit(0.0))).alias("x"))
         values = values.join(old.select("frame", "cell", "c"), ["frame", "cell"], "left").select("frame", "cell", "x", F.coalesce("c", F.lit(0.0)).alias("c"))
         whole = deconvolve is not sweeps.zero_clamp
-        packed = saved(sweeps.trace_sweep(values, self.footprints, deconvolve, self.cells), "packed-traces")
+        packed = saved(sweeps.trace_sweep(values, self.footprints, deconvolve, self.cells, starts=starts), "packed-traces")
         if whole:
             self.cells = saved(packed.select("cell", "gamma", "lambda").join(self.cells.select("cell", "color"), "cell"), "cells")
         self.traces = saved(sweeps.unpacked(packed).join(self.frames, "frame").select("video_id", "frame", "cell", "r", "c", "s"), "traces")

@@ -165,6 +165,13 @@ def event_cells_movie(spark: SparkSession, sf_dir: str) -> Movie:
 # Segments, videos, crops
 
 
+def segment_summary(movie: Movie, segments: int) -> DataFrame:
+    """(video_id, frames, height, width, segments, longest): what a movie cut into segments amounts to, a row a video."""
+    lengths = video_lengths(movie).select("video_id", F.col("n").alias("frames"))
+    longest = F.ceil(F.col("frames") / segments).cast("long")
+    return lengths.select("video_id", "frames", F.lit(movie.height).alias("height"), F.lit(movie.width).alias("width"), F.ceil(F.col("frames") / longest).cast("int").alias("segments"), longest.alias("longest"))
+
+
 def segment_length(frames: int, segments: int) -> int:
     return -(-frames // segments)
 

@@ -124,3 +124,17 @@ def test_unionfind_is_the_plain_pass(spark, seed):
     assert len(want) > 0 and len(got) == len(want)
     for k, cell in enumerate(want, 1):
         assert got[k].keys() == cell.keys() and all(got[k][p] == pytest.approx(v, abs=1e-9) for p, v in cell.items())
+
+
+def test_pixels_without_a_value_first():
+    """They make clusters that grow over their neighbours, and these are never cells; left out, they don't."""
+    rng = np.random.default_rng(4)
+    h = w = 15
+    image = rng.normal(size=h * w)
+    image += 6 * np.exp(-((np.arange(h * w) % h - 4) ** 2 + (np.arange(h * w) // h - 4) ** 2) / 6)
+    image[[9 + 9 * h, 10 + 9 * h]] = np.nan
+    label = regions.flood_labels(image, h, w, 3, nan_first=True)
+    assert label[9 + 9 * h] == label[10 + 9 * h] > 0
+    cells = regions.unionfind_regions(image, h, w, 3, 3.0, 30, nan_first=True)
+    assert cells and all(not np.isnan(image[p]) and label[p] != label[9 + 9 * h] for c in cells for p in c)
+    assert (regions.flood_labels(image, h, w, 3)[[9 + 9 * h, 10 + 9 * h]] == 0).all()

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fovea.functions import deconvolution
 from fovea.operators import components, products, sweeps
 
 
@@ -124,3 +125,23 @@ def test_products_of_pairs(spark, monkeypatch):
     every = {(r["i"], r["j"]): r["g"] for r in products.trace_gram(traces).collect()}
     got = {(r["i"], r["j"]): r["g"] for r in products.pair_products(traces, pairs).collect()}
     assert set(got) == {(1, 2), (2, 5), (3, 4)} and all(g == pytest.approx(every[k], abs=1e-12) for k, g in got.items())
+
+
+def test_pools_stay_within_videos(spark):
+    """With the videos' first frames each part is deconvolved by itself; without, pools may cross."""
+    rng = np.random.default_rng(8)
+    y = np.concatenate([np.abs(rng.normal(size=6)) + 5, rng.normal(size=5) - 4, np.abs(rng.normal(size=7)) + 3])
+    feet = spark.createDataFrame([(1, 0, 1.0)], "cell int, px int, w double")
+    values = spark.createDataFrame([(k + 1, 1, float(v), 0.0) for k, v in enumerate(y)], "frame long, cell int, x double, c double")
+    cells = spark.createDataFrame([(1, 0.9, 0.5)], "cell int, gamma double, `lambda` double")
+
+    def run(starts):
+        rows = sweeps.unpacked(sweeps.trace_sweep(values, feet, sweeps.oasis_fixed, cells, None, starts)).orderBy("frame").collect()
+        return np.array([r["c"] for r in rows]), np.array([r["s"] for r in rows])
+
+    whole = deconvolution.oasis(y, 0.9, 0.5)
+    parts = [deconvolution.oasis(p, 0.9, 0.5) for p in (y[:6], y[6:11], y[11:])]
+    assert run(None)[0] == pytest.approx(whole[0])
+    c, s = run([7, 1, 12])
+    assert c == pytest.approx(np.concatenate([p[0] for p in parts])) and s == pytest.approx(np.concatenate([p[1] for p in parts]))
+    assert not np.allclose(c, whole[0])
