@@ -129,17 +129,22 @@ def matrices_of(batch: pa.RecordBatch, strip: MaskStrip) -> tuple[np.ndarray, np
     n = batch.num_rows
     px, value, cell, c = (batch.column(k) for k in range(4))
     sizes = pc.list_value_length(value).to_numpy(zero_copy_only=False).astype(np.int64)
-    frame, flat = np.repeat(np.arange(n), sizes), pc.fill_null(value.flatten(), 0.0).to_numpy(zero_copy_only=False)
-    if px.null_count == n:  # whole frames
-        numbers = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    flat = value.flatten()
+    flat = (pc.fill_null(flat, 0.0) if flat.null_count else flat).to_numpy(zero_copy_only=False)
+    if px.null_count == n and len(set(sizes.tolist())) == 1 and sizes[0] > strip.pixels[-1]:  # whole frames of one size
+        y = flat.reshape(n, -1)[:, strip.pixels]
     else:
-        numbers = px.flatten().to_numpy(zero_copy_only=False)
+        if px.null_count == n:
+            numbers = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        else:
+            numbers = px.flatten().to_numpy(zero_copy_only=False)
+        y = strip.frames(np.repeat(np.arange(n), sizes), numbers, flat, n)
     who, size = cell.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(cell).to_numpy(zero_copy_only=False)
     at = np.minimum(np.searchsorted(strip.cells, who), len(strip.cells) - 1)
     own = strip.cells[at] == who
     traces = np.zeros((n, len(strip.cells)))
     traces[np.repeat(np.arange(n), size)[own], at[own]] = c.flatten().to_numpy(zero_copy_only=False)[own]
-    return strip.frames(frame, numbers, flat, n), traces
+    return y, traces
 
 
 def gram(table: DataFrame, key: str, value: str, *also: str) -> DataFrame:
