@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .simhash import majority_bits
-from .tables import saved, slices
+from .tables import keeps_names, saved, slices
 from .words import batch_words, mixed, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -275,6 +275,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, si
     return out
 
 
+@keeps_names
 def without_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The document rows in which no benchmark item is found, all columns kept.
 

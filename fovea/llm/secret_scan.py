@@ -20,7 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import saved
+from .tables import keeps_names, saved
 
 #: A name of something secret and an assignment.
 NAMED = (
@@ -275,6 +275,7 @@ def scan_secrets(docs: DataFrame, model: SecretModel | None = None, threshold: f
     )
 
 
+@keeps_names
 def redacted(docs: DataFrame, model: SecretModel | None = None, threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
     """The documents with every found secret replaced by ``mask`` (n_chars follows); others are unchanged, all columns kept."""
     found = with_findings(docs, model)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -22,6 +23,26 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def keeps_names(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For a function from documents to documents with the same columns, which names its own columns ``__…``: columns of the user that begin so have other names while it runs."""
+
+    @wraps(work)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = docs.columns
+        if not any(n.startswith("__") for n in names):
+            return work(docs, *args, **kwargs)
+        taken, other = {n.lower() for n in names}, []
+        for k, name in enumerate(names):
+            new = name
+            while new.startswith("__") or (new != name and new.lower() in taken):
+                new = f"own_{k}_{new.lstrip('_')}"
+            taken.add(new.lower())
+            other.append(new)
+        return work(docs.toDF(*other), *args, **kwargs).toDF(*names)
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:

@@ -1,5 +1,11 @@
+import glob
+import os
+import re
+
 import pytest
 
+import fovea.llm
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use for their own columns.
 CLASHES = (
@@ -8,6 +14,10 @@ CLASHES = (
 )
 
 
+#: Every name with two underscores in front that the sources use, whether for a column or not.
+OWN = sorted({n for path in glob.glob(os.path.join(os.path.dirname(fovea.llm.__file__), "*.py")) for n in re.findall(r"__[a-z_]*[a-z]", open(path).read())})
+
+
 @pytest.fixture
 def docs(spark):
     """Builds a documents table from (doc_id, text) pairs."""
