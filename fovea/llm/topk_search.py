@@ -14,29 +14,82 @@ from .tables import saved
 K, SCALE, QUERY_STEP = 10, 1024, 100
 #: Rows of a block of candidates and of a block of queries; bytes of queries that are sent to the tasks at a time.
 BLOCK, QUERY_BLOCK, BATCH_BYTES = 4096, 1024, 16 << 20
-#: Rounds of reading: share of a query's lists, the heaviest first, that are read to the end, and share of the others' entries.
-ROUNDS = ((1 / 4, 1 / 8), (3 / 8, 1 / 8), (1 / 2, 1 / 4), (5 / 8, 1 / 4), (3 / 4, 1 / 2), (7 / 8, 1 / 2), (1, 1))
+#: Shares of all entries of a block after which queries look at their bounds; queries that read the lists together.
+SHARES, TOGETHER = (1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1), 32
 
 
 class SortedLists:
-    """One list per dimension over a block of candidates, read from either end, and their squared norms.
+    """One list per dimension over a block of candidates, sorted once by falling distance of the component from the dimension's centre.
 
-    A query weight above zero reads its dimension from the greatest component
-    down, one below zero from the least up.
+    So one list serves weights of either sign, and its front bounds what is
+    unread from above and from below. In a turn each list is read on as far as
+    its distances are as great as those read in the others (``depths``), until
+    a share of all entries is read.
     """
 
     def __init__(self, x: np.ndarray):
         self.x, (self.n, self.d) = x, x.shape
-        self.values = x.astype(float)
-        self.squares = self.values**2
-        self.norms = self.squares.sum(axis=1)
-        self.sorted = np.sort(self.values, axis=0)
-        self.low, self.high = self.sorted[0], self.sorted[-1]
-        self.reach = np.maximum(np.abs(self.low), np.abs(self.high))
-
-    def fronts(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """The entries reached after ``depth`` entries, from the greatest down and from the least up."""
-        return self.sorted[self.n - depth], self.sorted[depth - 1]
+        self.centre = np.round(x.mean(axis=0))  # whole, so that distances are too
+        away = (x - self.centre).T
+        self.order = np.argsort(-np.abs(away), axis=1, kind="stable")
+        self.away = np.take_along_axis(away, self.order, axis=1)
+        self.reach = np.abs(self.away[:, 0]) + np.abs(self.centre)
+        far = np.abs(self.away)
+        levels = np.quantile(far, [1 - s for s in SHARES], method="lower")
+        levels[-1] = 0
+        self.depths = np.stack([np.zeros(self.d, int), *((far >= v).sum(axis=1) for v in levels)])
+        # after each turn: greatest distance that is left in a list, and squared norm of what is left of a candidate
+        self.fronts = np.where(self.depths < self.n, np.take_along_axis(far, np.minimum(self.depths.T, self.n - 1), axis=1).T, 0.0)
+        left = (away**2).sum(axis=0)
+        self.loose = 1e-15 * self.d * left
+        self.left = [left]
+        for turn in range(len(SHARES)):
+            left = left.copy()
+            for j, at, part in self.entries(turn):
+                left[at] -= part**2
+            self.left.append(left)
+
+    def entries(self, turn: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(dimension, candidates, distances) that are read in a turn."""
+        for j, (a, z) in enumerate(zip(self.depths[turn].tolist(), self.depths[turn + 1].tolist(), strict=True)):
+            if a < z:
+                yield j, self.order[j, a:z], self.away[j, a:z]
+
+
+class Reading:
+    """Some queries that read the lists of a block together, and by candidate and query the sums over the entries reached."""
+
+    def __init__(self, queries: np.ndarray, lists: SortedLists):
+        self.lists, self.turn = lists, 0
+        self.weights = queries.astype(float).T
+        self.squares = self.weights**2
+        self.known = np.tile(lists.centre @ self.weights, (lists.n, 1))
+        self.left = np.tile(self.squares.sum(axis=0), (lists.n, 1))
+        self.slack = 1e-9 * (lists.reach @ np.abs(self.weights)) + 1e-6  # more than rounding can amount to
+        self.loose = 1e-15 * lists.d * self.squares.sum(axis=0)
+
+    def advance(self) -> None:
+        for j, at, away in self.lists.entries(self.turn):
+            self.known[at] += away[:, None] * self.weights[j]
+            self.left[at] -= self.squares[j]
+        self.turn += 1
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """(lower, upper) bounds of the scores, candidates by queries.
+
+        What is unread weighs no more, either way, than all fronts together,
+        and no more than the product of the norms of what is unread of the
+        query and of the candidate.
+        """
+        fronts = self.lists.fronts[self.turn] @ np.abs(self.weights)
+        own = np.sqrt(np.maximum(self.lists.left[self.turn], 0) + self.lists.loose)
+        rest = np.minimum(np.sqrt(np.maximum(self.left, 0) + self.loose) * own[:, None], fronts) + self.slack
+        return self.known - rest, self.known + rest
+
+    def keep(self, those: np.ndarray) -> None:
+        """Go on with some of the queries only."""
+        for name in ("weights", "squares", "known", "left", "slack", "loose"):
+            setattr(self, name, np.ascontiguousarray(getattr(self, name)[..., those]))
 
 
 class Best:
@@ -55,53 +108,34 @@ class Best:
             self.least[query] = scores[top[-1]]
 
 
-def bounds(queries: np.ndarray, heavy: np.ndarray, lists: SortedLists, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lower, upper) bounds of all scores after the ``heavy`` lists of each query were read to the end, the others to ``depth``.
-
-    What is unread of a candidate lies between the far ends of its lists and
-    their fronts; and it is no more, either way, than the product of the norms
-    of what is unread of the query and of the candidate.
-    """
-    known = np.where(heavy, queries, 0) @ lists.values.T
-    light = np.where(heavy, 0, queries)
-    rest = np.sqrt((light**2).sum(axis=1))[:, None] * np.sqrt(np.maximum(lists.norms - heavy.astype(float) @ lists.squares.T, 0))
-    plus, minus = np.maximum(light, 0), np.minimum(light, 0)
-    down, up = lists.fronts(depth)
-    fronts = plus @ np.maximum(lists.values, down).T + minus @ np.minimum(lists.values, up).T
-    ends = plus @ lists.low + minus @ lists.high
-    slack = 1e-9 * (np.abs(queries) @ lists.reach) + 1e-6  # more than rounding can amount to
-    return known + np.maximum(-rest, ends[:, None]) - slack[:, None], known + np.minimum(rest, fronts) + slack[:, None]
-
-
 def search_block(queries: np.ndarray, query_ids: np.ndarray, lists: SortedLists, ids: np.ndarray, best: Best) -> np.ndarray:
-    """Add the best of a block to ``best``; returns (query, round of its stop, candidates left) by query.
+    """Add the best of a block to ``best``; returns (entries read, candidates left) by query.
 
-    A query reads its heaviest lists first (weight times spread). A candidate
-    stays while its upper bound reaches the k-th best lower bound of the block
-    or the k-th best score of the blocks before; a query stops when few stay,
-    and the scores of those are resolved in integers. In the last round all
-    is read, so the k best and their ties are left.
+    A candidate stays while its upper bound reaches the k-th best lower bound
+    of the block and the k-th best score of the blocks before. A query stops
+    when few stay, and the scores of those are resolved in integers. Where all
+    is read, the k best and their ties are left.
     """
-    k, n = best.k, lists.n
-    weights = np.abs(queries) * (lists.high - lists.low)
-    place = np.argsort(np.argsort(-weights, axis=1, kind="stable"), axis=1)
-    own = query_ids[:, None] == ids[None, :]
-    active, floats, stops = np.arange(len(queries)), queries.astype(float), []
-    for turn, (share, part) in enumerate(ROUNDS):
-        lower, upper = bounds(floats[active], place[active] < np.ceil(share * lists.d), lists, max(1, int(n * part)))
-        lower[own[active]] = upper[own[active]] = -np.inf
-        reach = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(active), -np.inf)
-        stay = upper >= np.maximum(np.maximum(reach, best.least[active]), np.finfo(float).min)[:, None]
-        left = stay.sum(axis=1)
-        done = (left <= max(4 * k, n // 16)) | (turn == len(ROUNDS) - 1)
-        for r in np.flatnonzero(done).tolist():
-            at = np.flatnonzero(stay[r])
-            best.add(int(active[r]), lists.x[at] @ queries[active[r]], ids[at])
-            stops.append((int(active[r]), turn, len(at)))
-        active = active[~done]
-        if not len(active):
-            break
-    return np.array(stops, np.int64).reshape(-1, 3)
+    k, n, out = best.k, lists.n, np.zeros((len(queries), 2), np.int64)
+    for first in range(0, len(queries), TOGETHER):
+        active = np.arange(first, min(first + TOGETHER, len(queries)))
+        reading = Reading(queries[active], lists)
+        while len(active):
+            reading.advance()
+            lower, upper = (np.ascontiguousarray(side.T) for side in reading.bounds())
+            own = query_ids[active][:, None] == ids
+            lower[own] = upper[own] = -np.inf
+            reach = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(active), -np.inf)
+            stay = (upper >= np.maximum(reach, best.least[active])[:, None]) & ~own
+            done = (stay.sum(axis=1) <= max(4 * k, n // 16)) | (reading.turn == len(SHARES))
+            for r in np.flatnonzero(done).tolist():
+                at = np.flatnonzero(stay[r])
+                best.add(int(active[r]), lists.x[at] @ queries[active[r]], ids[at])
+                out[active[r]] = lists.depths[reading.turn].sum(), len(at)
+            if done.any():
+                active = active[~done]
+                reading.keep(~done)
+    return out
 
 
 def blocks(batches: Iterator[pa.RecordBatch], size: int, dtype: type) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

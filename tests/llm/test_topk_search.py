@@ -57,26 +57,43 @@ def test_empty(spark):
     assert topk_search.top_k(none, some).count() == 0
 
 
-def test_bounds_hold():
+def test_bounds_hold_while_lists_are_read():
+    """Lists are read from their fronts on, each entry once; at each depth bounds hold, and sums are those of the entries reached."""
     rng = np.random.default_rng(5)
-    x, q = rng.integers(-50, 50, (300, 6)), rng.integers(-50, 50, (4, 6))
-    lists = topk_search.SortedLists(x)
-    true = q @ x.T
-    for depth in (1, 10, 150, 300):
-        for heavy in (0, 1, 3, 6):
-            mask = np.argsort(np.argsort(-np.abs(q), axis=1), axis=1) < heavy
-            lower, upper = topk_search.bounds(q.astype(float), mask, lists, depth)
-            assert (lower <= true).all() and (true <= upper).all()
-            assert heavy < 6 or (upper - lower).max() < 0.01
+    x, q = rng.integers(-50, 50, (301, 6)) + np.array([0, 40, 0, -90, 0, 0]), rng.integers(-50, 50, (4, 6))
+    q[3, 2] = 0
+    lists, true = topk_search.SortedLists(x), x @ q.T
+    known, unread, width = np.tile(q @ lists.centre, (301, 1)), np.ones((301, 6), bool), np.inf
+    reading = topk_search.Reading(q, lists)
+    for turn, share in enumerate(topk_search.SHARES):
+        reading.advance()
+        for j, at, away in lists.entries(turn):
+            assert unread[at, j].all() and (away == x[at, j] - lists.centre[j]).all()
+            unread[at, j] = False
+            known[at] += away[:, None] * q[:, j]
+        far = np.abs(x - lists.centre)
+        assert all(far[unread[:, j], j].max(initial=0) == lists.fronts[turn + 1, j] <= far[~unread[:, j], j].min(initial=999) for j in range(6))
+        assert (~unread).mean() >= share - 0.01
+        assert known == pytest.approx(reading.known) and (unread @ (q**2).T) == pytest.approx(reading.left)
+        assert (unread * far**2).sum(axis=1) == pytest.approx(lists.left[turn + 1])
+        lower, upper = reading.bounds()
+        assert (lower <= true).all() and (true <= upper).all()
+        assert (upper - lower).max() <= width + 0.01
+        width = (upper - lower).max()
+    assert not unread.any() and width < 0.01
+
+
+def scaled(x):
+    return np.floor(1024 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
 
 
 def stops(x, q, k=10, block=4096):
-    """(round, candidates left, candidates) of each query and block."""
+    """(entries read, candidates left, entries, candidates) of each query and block; what is found is right."""
     best, out = topk_search.Best(len(q), k), []
     for a in range(0, len(x), block):
         part = x[a : a + block]
         at = topk_search.search_block(q, np.full(len(q), -1), topk_search.SortedLists(part), np.arange(a, a + len(part)), best)
-        out += [(turn, left, len(part)) for _, turn, left in at.tolist()]
+        out += [(read, left, part.size, len(part)) for read, left in at.tolist()]
     true = q @ x.T
     for r, (scores, ids) in enumerate(best.found):
         want = np.lexsort((np.arange(len(x)), -true[r]))[:k]
@@ -84,25 +101,19 @@ def stops(x, q, k=10, block=4096):
     return np.array(out)
 
 
-def scaled(x):
-    return np.floor(1024 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
-
-
 def test_bounds_exclude_clustered_candidates():
-    """On clustered vectors over nine in ten are excluded by bounds with half of the lists read or less."""
+    """On clustered vectors over nine in ten are excluded by bounds with under half of the entries read."""
     rng = np.random.default_rng(6)
     x = scaled(rng.normal(size=(20, 64))[rng.integers(0, 20, 12_000)] + 0.15 * rng.normal(size=(12_000, 64)))
-    got = stops(x, x[::200])
-    assert got[:, 1].sum() <= 0.1 * got[:, 2].sum()
-    assert (got[:, 0] <= 2).mean() > 0.9  # the round in which half of the lists are read
+    read, left, entries, candidates = stops(x, x[::200]).sum(axis=0)
+    assert left <= 0.1 * candidates and read < 0.5 * entries
 
 
 def test_bounds_exclude_random_candidates():
-    """On vectors without any structure bounds exclude as many, but only with more of the lists read."""
+    """On vectors without any structure bounds exclude as many, with more of the entries read."""
     x = scaled(np.random.default_rng(7).normal(size=(20_000, 64)))
-    got = stops(x, x[::400])
-    assert got[:, 1].sum() <= 0.1 * got[:, 2].sum()
-    assert (got[:, 0] < len(topk_search.ROUNDS) - 1).mean() > 0.9
+    read, left, entries, candidates = stops(x, x[::400]).sum(axis=0)
+    assert left <= 0.1 * candidates and read < 0.8 * entries
 
 
 def test_huge_components(spark):
