@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -14,6 +15,10 @@ from .tables import slices
 BATCH_BYTES = 4 << 20
 #: Cells before the last column are wrapped at blanks beyond this width, so that columns stay aligned (a longer word is left whole).
 WRAP = 120
+#: Lines are indented by this much at most; blanks that align cells, a character of the page at most (a table beyond that has its cells two blanks apart).
+MAX_INDENT, PADDING = 40, 16
+#: Tables deeper in the cells of others show cell under cell; columns from here on are not kept free by cells over several rows.
+MAX_NESTED, MAX_COLUMNS = 8, 1000
 #: Greatest spans of the HTML standard.
 MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 
@@ -257,10 +262,11 @@ class TreeBuilder:
 class Page:
     """Lines of text with margins, indents and list marks."""
 
-    def __init__(self) -> None:
+    def __init__(self, padding: list[int], depth: int = 0) -> None:
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.indent, self.mark, self.margin = "", "", 0
+        self.padding, self.depth = padding, depth  # blanks left for all tables of the page; cells around this text
         self.gap = False  # a collapsed blank waits for text
 
     def text(self, data: str, kept: bool) -> None:
@@ -348,7 +354,7 @@ def show(node: Node, page: Page, kept: bool = False, shown: bool = True) -> Iter
                 mark = f"{number}. " if tag == "ol" else "- "
                 number += 1
                 page.block(0)
-                page.mark, page.indent = mark, outer + " " * len(mark)
+                page.mark, page.indent = mark, (outer + " " * len(mark))[:MAX_INDENT]
                 yield show(child, page, kept, shown)
                 page.line()
                 page.mark, page.indent = "", outer
@@ -359,7 +365,7 @@ def show(node: Node, page: Page, kept: bool = False, shown: bool = True) -> Iter
     else:
         outer = page.indent
         if tag in ("dd", "blockquote"):
-            page.indent = outer + "  "
+            page.indent = (outer + "  ")[:MAX_INDENT]
         closed = tag == "details" and "open" not in node.attrs
         for k, child in enumerate(node.children):
             if isinstance(child, Node):
@@ -398,7 +404,8 @@ def show_table(table: Node, page: Page, shown: bool) -> Iterator:
     """Rows with their cells in aligned columns, two blanks apart; a cell that is not shown keeps its place."""
     page.block(1)
     rows: list[list[tuple[int, int, list[str]]]] = []
-    reaching: list[list[int]] = []  # cells over several rows: first column, column behind the last, rows still to come
+    busy = [0] * MAX_COLUMNS  # up to which row a column is taken by cells from above
+    flat = page.depth >= MAX_NESTED
 
     def gather(node: Node, shown: bool) -> Iterator:
         for child in node.children:
@@ -410,34 +417,38 @@ def show_table(table: Node, page: Page, shown: bool) -> Iterator:
             if not laid:
                 continue
             if child.tag == "tr":
-                row, column, below = [], 0, []
-                above = sorted(reaching)
+                row, column = [], 0
                 for cell in child.children:
                     if isinstance(cell, Node) and cell.tag in ("td", "th"):
-                        while above and above[0][0] <= column:
-                            column = max(column, above.pop(0)[1])
-                        inner = Page()
+                        while column < MAX_COLUMNS and busy[column] > len(rows):
+                            column += 1
+                        if flat:
+                            page.block(0)
+                        inner = page if flat else Page(page.padding, page.depth + 1)
                         laid, text_shown = cell.look(seen)
                         for part in cell.children if laid else ():
                             if isinstance(part, Node):
                                 yield show(part, inner, False, text_shown)
                             elif text_shown:
                                 inner.text(part, False)
+                        if flat:
+                            page.block(0)
+                            continue
                         over, down = max(1, span(cell, "colspan", MAX_COLSPAN)), span(cell, "rowspan", MAX_ROWSPAN)
                         row.append((column, over, inner.finished()))
                         if down != 1:  # 0: to the end of the group of rows
-                            below.append([column, column + over, (down or MAX_ROWSPAN) - 1])
+                            to = min(column + over, MAX_COLUMNS)
+                            busy[column:to] = [max(t, len(rows) + (down or MAX_ROWSPAN)) for t in busy[column:to]]
                         column += over
                     elif isinstance(cell, Node):
                         yield show(cell, page, False, seen)
                     elif seen:
                         page.text(cell, False)
                 rows.append(row)
-                reaching[:] = [[a, b, left - 1] for a, b, left in reaching if left > 1] + below
             elif child.tag in ("thead", "tbody", "tfoot"):
-                reaching.clear()  # a cell does not reach into another group of rows
+                busy[:] = [0] * MAX_COLUMNS  # a cell does not reach into another group of rows
                 yield gather(child, seen)
-                reaching.clear()
+                busy[:] = [0] * MAX_COLUMNS
             else:
                 yield show(child, page, False, shown)
                 page.line()
@@ -450,11 +461,18 @@ def show_table(table: Node, page: Page, shown: bool) -> Iterator:
         for column, over, lines in row:
             if over == 1:  # cells over several columns set no width
                 widths[column] = max(widths.get(column, 0), max(map(len, lines), default=0))
-    starts, at = {}, 0
-    for column in range(max(widths, default=-1) + 1):
-        starts[column] = at
-        wide = widths.get(column, 0)
-        at += wide + 2 if wide else 0
+    columns, ends = sorted(widths), [0]
+    for column in columns:
+        ends.append(ends[-1] + (widths[column] + 2 if widths[column] else 0))
+    starts = {column: ends[bisect_left(columns, column)] if columns and column <= columns[-1] else 0 for row in rows for column, _, _ in row}
+    furthest = 0
+    for row in rows:
+        filled = [(len(lines), starts[column]) for column, _, lines in row if lines and starts[column]]
+        furthest += sum(lines * start for lines, start in filled)
+    if furthest > page.padding[0]:
+        starts = {}
+    else:
+        page.padding[0] -= furthest
     for row in rows:
         for k in range(max((len(lines) for _, _, lines in row), default=0)):
             text = ""
@@ -470,7 +488,7 @@ def show_table(table: Node, page: Page, shown: bool) -> Iterator:
 
 def page_text(html: str) -> str:
     """The visible text of one page."""
-    page = Page()
+    page = Page([PADDING * len(html)])
     for child in TreeBuilder().feed(html.replace("\0", "")).children:
         if isinstance(child, Node):
             finish(show(child, page))
@@ -489,7 +507,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
     templates, comments, elements with ``hidden`` or with a style of
     ``display: none``, text under ``visibility: hidden`` (not that which is
     made visible again), and closed details. Cells over several rows or columns
-    keep their columns, and so does one that is not shown.
+    keep their columns, and so does one that is not shown. No page explodes:
+    indents end at ``MAX_INDENT``, a table that would take more blanks than
+    ``PADDING`` allows has its cells two blanks apart, one over ``MAX_NESTED``
+    deep in cells of others shows its cells under each other, and columns from
+    ``MAX_COLUMNS`` on are not kept free under cells over several rows. Text is
+    never left out for it.
 
     Null pages give null, empty ones the empty text; broken markup is read as
     far as it goes, to any depth; null ids and repeated rows are kept. Other

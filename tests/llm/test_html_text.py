@@ -62,6 +62,38 @@ def test_broken_pages_end(html):
     assert time.time() - began < 20
 
 
+HOSTILE = ["<ul><li>{}", "<ol><li>{}", "<blockquote>{}", "<dl><dd>{}", "<table><tr><td>{}", "<table><tr><td>{}<td>{}", "<div><table><tbody><tr><th>{}</th><td>", "<tr><td rowspan=0>{}", "<tr><td rowspan=60000>{}", "<td colspan=1000>{}<td>{}", "<br>{}"]
+
+
+@pytest.mark.parametrize("unit", HOSTILE)
+def test_pages_with_text_at_every_level_stay_small(unit):
+    """Output within a fixed multiple of the page, all words in it, in time that grows with the page."""
+    html = ("<table><tr><td>" + "w" * 500 + "<td>" if unit[1] == "b" and unit[2] == "r" else "<table>" if unit[1:3] in ("tr", "td") else "") + unit.replace("{}", "word ") * 10_000
+    began = time.time()
+    text = page_text(html)
+    assert time.time() - began < 20
+    assert text.count("word") == html.count("word")
+    assert len(text) <= 25 * len(html)
+
+
+def test_indents_end_but_marks_stay():
+    lines = page_text("<ul><li>x" * 30).split("\n")
+    assert lines[:2] == ["- x", "  - x"] and lines[-1] == " " * 38 + "- x" and {line.strip() for line in lines} == {"- x"}
+
+
+def test_a_table_that_pads_too_much_is_not_aligned():
+    """Cells that reach down push each row further to the right; text stays in order."""
+    few, many = ("<table>" + "<tr><td rowspan=0>x" * n + "</table>" for n in (4, 2000))
+    assert page_text(few) == "x\n   x\n      x\n         x"
+    assert page_text(many) == "\n".join(["x"] * 2000)
+
+
+def test_tables_deep_in_others_show_cell_under_cell():
+    html = "<table><tr><td>a<td>"
+    assert page_text(html * 2 + "b") == "a  a  b"
+    assert page_text(html * 12 + "b").split() == ["a"] * 12 + ["b"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "</table>", "<b>", "</b>", "<pre>", "</pre>", "<br>", "<h1>", "</h1>", "word", " ", "<div hidden>", "</div>"]), max_size=40))
 def test_nothing_crashes_and_words_keep_their_number(parts):
