@@ -18,6 +18,8 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Buckets with more fingerprints are dealt out by further blocks.
 HOT = 2048
 BATCH_BYTES = 4 << 20
+#: Parts that the rows of one fingerprint or group are dealt to in joins.
+SALTS = 4
 
 #: Spreads the bits of a byte over the bytes of a word.
 SPREAD = np.array([sum((b >> k & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -222,12 +224,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     component_id (least doc_id of the group, itself included). Equal
     fingerprints are one node, so exact copies of any number cost one. Null and
     empty texts have the fingerprint zero and are grouped like any other; a
-    null doc_id never names a group. Repeated rows are kept.
+    null doc_id never names a group. Repeated rows are kept. The joins that name
+    the groups are salted, as one fingerprint or group may hold much of the
+    rows.
     """
     prints = saved(fingerprints(docs, shingle), "fingerprints")
     firsts = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = connected_components(near_links(firsts.select("fp"), radius))
-    linked = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = linked.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+    def salt(key: str) -> F.Column:
+        return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt")
+
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    linked = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"), salt("fp"))
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id")).select("root", "component_id", salts)
+    classes = linked.join(least, ["root", "salt"]).select("fp", "component_id", salts)
+    named = prints.select("doc_id", "fp", salt("doc_id")).join(classes, ["fp", "salt"])
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -64,6 +64,14 @@ def test_empty(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("salts", [1, 5])
+def test_a_fingerprint_that_holds_most_rows(docs, monkeypatch, salts):
+    """Empty texts and copies of one text in many rows, null and repeated ids among them, whatever the number of parts."""
+    monkeypatch.setattr(simhash, "SALTS", salts)
+    rows = [(k, None if k % 3 else " ") for k in range(40)] + [(k, "one text of six words here") for k in range(40, 90)] + [(None, ""), (7, ""), (7, ""), (95, "another text altogether")]
+    check(simhash.near_duplicates(docs(rows)), rows)
+
+
 @pytest.mark.parametrize("hot", [2, 2048])
 def test_links_are_whole(spark, hot):
     """Chains of near prints, with and without dealing out the hot buckets."""
