@@ -60,6 +60,56 @@ def flood_labels(image: np.ndarray, height: int, width: int, min_size: int, nan_
     return np.where(np.array(size)[final] >= min_size, final, 0)
 
 
+def flood_tile(
+    pixels: dict[int, float], known: dict[int, tuple[int, int]], size: dict[int, int], ring: dict[int, float], height: int, width: int, min_size: int
+) -> tuple[dict[int, int], dict[int, int], list[int], dict[int, int], dict[int, int]]:
+    """The flood of ``flood_labels`` on a tile, as far as it does not depend on pixels beyond.
+
+    A pixel is settled if what is connected to it through earlier pixels lies
+    within the tile; ``ring`` holds the pixels around the tile. ``known``
+    (cluster, connected part) are pixels settled before that lie beside pixels
+    that are not, ``size`` has the sizes of their clusters. A cluster is named
+    by its first pixel. Returns the clusters and parts of settled pixels (known
+    ones among them), the pixels left, the sizes of clusters, and the clusters
+    that those of ``size`` are now.
+    """
+    parent, joined = dict.fromkeys(size), {}
+    label, part, sizes = {p: k for p, (k, _) in known.items()}, {p: c for p, (_, c) in known.items()}, dict(size)
+    beyond, outside, left = set(), set(), []
+
+    def root(tree: dict, k: int) -> int:
+        while tree.get(k) is not None:
+            if tree.get(tree[k]) is not None:
+                tree[k] = tree[tree[k]]
+            k = tree[k]
+        return k
+
+    for _, p in sorted((-v, p) for table in (pixels, ring) for p, v in table.items()):
+        beside = list(neighbours(p, height, width))
+        near = [q for q in beside if q in part]
+        if p in ring:
+            outside.add(p)
+            beyond.update(root(joined, part[q]) for q in near)
+            continue
+        parts = {root(joined, part[q]) for q in near}
+        reaches = not beyond.isdisjoint(parts) or not outside.isdisjoint(beside)
+        part[p] = p
+        if reaches:  # its parts are joined when it is settled
+            beyond.update(parts, (p,))
+            left.append(p)
+            continue
+        joined.update(dict.fromkeys(parts, p))
+        clusters = [root(parent, label[q]) for q in near]
+        best = max(clusters, key=lambda k: sizes[k]) if clusters else p
+        label[p] = best
+        sizes[best] = sizes.get(best, 0) + 1
+        for k in dict.fromkeys(clusters):
+            if k != best and sizes[k] < min_size:
+                parent[k] = best
+                sizes[best] += sizes[k]
+    return {p: root(parent, k) for p, k in label.items()}, {p: root(joined, part[p]) for p in label}, left, sizes, {k: root(parent, k) for k in size}
+
+
 def log_chi2_tail(x: float, n: float) -> float:
     """log P(chi-square with n degrees of freedom > x)."""
     a, z = n / 2, x / 2
@@ -116,6 +166,21 @@ def unionfind_regions(image: np.ndarray, height: int, width: int, min_size: int
     return out
 
 
+def standing_out(groups: list[tuple[float, float, float]], sens: float, min_n: int) -> list[int]:
+    """Of groups (pixels, sum, sum of squares) by rising energy, those that stand out of the pool of the others below them."""
+    s = ss = n = 0.0
+    out = []
+    for k, (size, total, squares) in enumerate(groups):
+        if n > min_n:
+            mean = s / n
+            var = ss / n - mean * mean
+            if var > 0 and log_chi2_tail((squares - 2 * mean * total + size * mean * mean) / var, size) < -sens:
+                out.append(k)
+                continue
+        s, ss, n = s + total, ss + squares, n + size
+    return out
+
+
 def peak_regions(image: np.ndarray, height: int, width: int, threshold: float) -> list[dict[int, float]]:
     """From each free pixel over the threshold, in falling order, downhill over free positive pixels."""
     taken, out = np.zeros(len(image), bool), []

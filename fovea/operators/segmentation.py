@@ -29,8 +29,95 @@ def segment(images: DataFrame, height: int, width: int, find: Finder) -> DataFra
     return images.groupBy("image").applyInPandas(run, "image int, cell int, px int, w double")
 
 
-def unionfind(images: DataFrame, height: int, width: int, min_size: int = 20, sens: float = 50.0, min_n: int = 1000, nan_first: bool = False) -> DataFrame:
-    return segment(images, height, width, lambda i, h, w: regions.unionfind_regions(i, h, w, min_size, sens, min_n, nan_first))
+#: Side of the tiles that a larger image is cut into.
+TILE = 1024
+
+
+def unionfind(images: DataFrame, height: int, width: int, min_size: int = 20, sens: float = 50.0, min_n: int = 1000, nan_first: bool = False, tile: int = TILE) -> DataFrame:
+    """Regions by a descending flood; frames larger than a tile are flooded by tiles (``nan_first`` takes a whole image a task)."""
+    if nan_first or max(height, width) <= tile:
+        return segment(images, height, width, lambda i, h, w: regions.unionfind_regions(i, h, w, min_size, sens, min_n, nan_first))
+    return regions_of_clusters(flood_by_tiles(images, height, width, min_size, tile), sens, min_n)
+
+
+#: Rows of a flood by tiles: pixels to come, settled pixels beside them, their clusters (px and label its name, n its size), pixels around a tile, settled pixels, clusters (label) that are another now (part).
+OPEN, BESIDE, CLUSTER, RING, SETTLED, ABSORBED = range(6)
+FLOOD = "image int, kind int, px int, v double, label int, part int, n int"
+
+
+def around_tiles(images: DataFrame, height: int, width: int, side: int) -> DataFrame:
+    """(image, px, v, a, b): the pixels beside tile (a, b), which are of other tiles."""
+    x, y = F.col("px") % height, F.expr(f"px div {height}")
+    tile = lambda x, y: F.struct(F.floor(x / side).cast("int").alias("a"), F.floor(y / side).cast("int").alias("b"))
+    beside = [F.when((x + i).between(0, height - 1) & (y + j).between(0, width - 1), tile(x + i, y + j)) for j, i in regions.STEPS]
+    others = F.filter(F.array_distinct(F.array(*beside)), lambda t: t.isNotNull() & (t != tile(x, y)))
+    return images.select("image", "px", "v", F.explode(others).alias("t")).select("image", "px", "v", "t.a", "t.b")
+
+
+def flood_by_tiles(images: DataFrame, height: int, width: int, min_size: int, tile: int) -> DataFrame:
+    """(image, px, v, label): clusters of the descending flood, named by their first pixel (-1: smaller than ``min_size``).
+
+    The flood of a pixel depends on what is connected to it through pixels
+    before it alone. Tiles settle all pixels for which that lies inside; what
+    is left, with the settled pixels beside it, goes to tiles of twice the
+    side, up to the whole image. So bright parts are flooded tile by tile, and
+    the last task holds the pixels under the level at which parts meet across
+    the image. The result is that of one pass.
+    """
+    images = saved(images.where("v IS NOT NULL AND NOT isnan(v)").select(F.col("image").cast("int").alias("image"), F.col("px").cast("int").alias("px"), F.col("v").cast("double").alias("v")), "tile-images")
+    none = F.lit(None).cast("int")
+    state = images.select("image", F.lit(OPEN).alias("kind"), "px", "v", none.alias("label"), none.alias("part"), none.alias("n"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        of = dict(iter(rows.groupby("kind")))
+        columns = lambda kind, *names: zip(*(of[kind][c].tolist() for c in names), strict=True) if kind in of else ()
+        pixels, ring, size = dict(columns(OPEN, "px", "v")), dict(columns(RING, "px", "v")), {int(k): int(n) for k, n in columns(CLUSTER, "label", "n")}
+        known = {p: (int(k), int(c)) for p, k, c in columns(BESIDE, "px", "label", "part")}
+        label, part, left, sizes, now = regions.flood_tile(pixels, known, size, ring, height, width, min_size)
+        waiting = ring.keys() | set(left)
+        beside = [p for p in label if not waiting.isdisjoint(regions.neighbours(p, height, width))]
+        out = [(OPEN, p, pixels[p], None, None, None) for p in left]
+        out += [(BESIDE, p, None, label[p], part[p], None) for p in beside]
+        out += [(CLUSTER, k, None, k, None, sizes[k]) for k in {label[p] for p in beside}]
+        out += [(SETTLED, p, pixels[p], label[p], None, None) for p in label if p in pixels]
+        out += [(ABSORBED, k, None, k, r, None) for k, r in now.items() if k != r]
+        found = pd.DataFrame(out, columns=["kind", "px", "v", "label", "part", "n"]).astype({c: "Int32" for c in ("kind", "px", "label", "part", "n")})
+        found.insert(0, "image", rows["image"].iloc[0])
+        return found
+
+    side, settled = tile, None
+    while True:
+        tiled = state.withColumn("a", F.expr(f"CAST((px % {height}) div {side} AS INT)")).withColumn("b", F.expr(f"CAST((px div {height}) div {side} AS INT)"))
+        ring = around_tiles(images, height, width, side).withColumn("kind", F.lit(RING))
+        found = saved(tiled.unionByName(ring, allowMissingColumns=True).groupBy("image", "a", "b").applyInPandas(run, FLOOD), "tiles")
+        if settled is not None:
+            absorbed = found.where(F.col("kind") == ABSORBED).select("image", "label", F.col("part").alias("now"))
+            settled = settled.join(absorbed, ["image", "label"], "left").select("image", "px", "v", F.coalesce("now", "label").alias("label"))
+        here = found.where(F.col("kind") == SETTLED).select("image", "px", "v", "label")
+        settled = here if settled is None else settled.unionByName(here)
+        if side >= max(height, width):
+            break
+        state, side = found.where(F.col("kind") <= CLUSTER), 2 * side
+    large = settled.groupBy("image", "label").count().where(F.col("count") >= min_size).select("image", "label", F.lit(True).alias("large"))
+    labels = settled.join(large, ["image", "label"], "left").select("image", "px", "v", F.when(F.col("large"), F.col("label")).otherwise(-1).alias("label"))
+    return saved(labels, "flood")
+
+
+def regions_of_clusters(labels: DataFrame, sens: float, min_n: int) -> DataFrame:
+    """(image, cell, px, w): the clusters that stand out of the pooled noise of those below them; a task ranks the clusters of an image by their sums."""
+    first = F.max(F.when(F.col("px") == F.col("label"), F.col("v"))).alias("first")
+    sums = labels.groupBy("image", "label").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") ** 2).alias("ss"), first)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        # ties of energy: the pixels of no cluster, then clusters as they began
+        rows = rows.assign(energy=rows["ss"] / rows["n"], order=np.where(rows["label"] < 0, -np.inf, -rows["first"])).sort_values(["energy", "order", "label"])
+        kept = rows.iloc[regions.standing_out(list(zip(rows["n"], rows["s"], rows["ss"], strict=True)), sens, min_n)]
+        return pd.DataFrame({"image": kept["image"], "label": kept["label"], "cell": range(1, len(kept) + 1)})
+
+    cells = sums.groupBy("image").applyInPandas(run, "image int, label int, cell int")
+    weights = labels.where("v > 0").join(cells, ["image", "label"])
+    norm = weights.groupBy("image", "cell").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("norm"))
+    return weights.join(norm, ["image", "cell"]).select("image", "cell", "px", (F.col("v") / F.col("norm")).alias("w"))
 
 
 def peaks(images: DataFrame, height: int, width: int, threshold: float) -> DataFrame:

@@ -204,12 +204,24 @@ def flood_sql(images: str, min_size: int, sens: float, min_n: int) -> str:
 SELECT image, cell, px, round(w / sqrt(sum(w * w) OVER (PARTITION BY image, cell)), 6) + 0.0 AS w FROM weights WHERE w > 0"""
 
 
-@query(f"WITH RECURSIVE {EMB}, {flood_sql('SELECT video_id AS image, px, avg(value) AS v FROM emb GROUP BY ALL', 3, 2.0, 20)}")
+UNIONFIND = f"WITH RECURSIVE {EMB}, {flood_sql('SELECT video_id AS image, px, avg(value) AS v FROM emb GROUP BY ALL', 3, 2.0, 20)}"
+
+
+def mean_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = movies.embedding_movie(spark, sf_dir).rows
+    return rows.groupBy(F.col("video_id").alias("image"), "px").agg(F.avg("value").alias("v"))
+
+
+@query(UNIONFIND)
 def segment_unionfind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of each video's image, with limits for small frames."""
-    rows = movies.embedding_movie(spark, sf_dir).rows
-    images = rows.groupBy(F.col("video_id").alias("image"), "px").agg(F.avg("value").alias("v"))
-    return segmentation.unionfind(images, 8, 8, 3, 2.0, 20).select("image", "cell", "px", r("w"))
+    return segmentation.unionfind(mean_images(spark, sf_dir), 8, 8, 3, 2.0, 20).select("image", "cell", "px", r("w"))
+
+
+@query(UNIONFIND)
+def segment_unionfind_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same regions from a flood by tiles, which go from four pixels to the whole image."""
+    return segmentation.unionfind(mean_images(spark, sf_dir), 8, 8, 3, 2.0, 20, tile=2).select("image", "cell", "px", r("w"))
 
 
 @query(f"SELECT cell, px, w FROM (WITH RECURSIVE {EMB}, {VIDEO_IMAGE}, {flood_sql('SELECT 1 AS image, px, v FROM summary', 3, 0.5, 10)})")

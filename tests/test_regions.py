@@ -106,8 +106,9 @@ def plain_unionfind(image, h, w, min_size, sens, min_n):
     return out
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_unionfind_is_the_plain_pass(spark, seed):
+@pytest.mark.parametrize(("seed", "tile"), [*((k, segmentation.TILE) for k in range(6)), (0, 4), (1, 3), (2, 9), (3, 1)])
+def test_unionfind_is_the_plain_pass(spark, seed, tile):
+    """With ties and missing pixels, as a whole and by tiles."""
     rng = np.random.default_rng(seed)
     h, w = 17, 13
     image = np.round(rng.normal(size=h * w), 1 + seed % 2)  # with ties
@@ -119,13 +120,43 @@ def test_unionfind_is_the_plain_pass(spark, seed):
     want = plain_unionfind(image, h, w, 4, 3.0, 30)
     frame = spark.createDataFrame([(7, p, float(v)) for p, v in enumerate(image) if not np.isnan(v)], "image int, px int, v double")
     got = {}
-    for r in segmentation.unionfind(frame, h, w, 4, 3.0, 30).collect():
+    for r in segmentation.unionfind(frame, h, w, 4, 3.0, 30, tile=tile).collect():
         got.setdefault(r["cell"], {})[r["px"]] = r["w"]
     assert len(want) > 0 and len(got) == len(want)
     for k, cell in enumerate(want, 1):
         assert got[k].keys() == cell.keys() and all(got[k][p] == pytest.approx(v, abs=1e-9) for p, v in cell.items())
 
 
+@pytest.mark.parametrize("case", range(8))
+def test_tiles_settle_what_one_pass_does(case):
+    """A flood cut into two rounds of tiles: clusters, sizes and parts go on from the first to the second."""
+    rng = np.random.default_rng(case)
+    h, w, least = 12, 10, 1 + case % 4
+    image = np.round(rng.normal(size=h * w), 1)
+    values = dict(enumerate(image.tolist()))
+    half = lambda p: p // h < w // 2
+    known, size, pixels, first, now = {}, {}, {}, {}, {}
+    for side in (True, False):
+        own = {p: v for p, v in values.items() if half(p) == side}
+        ring = {p: v for p, v in values.items() if half(p) != side and any(half(q) == side for q in regions.neighbours(p, h, w))}
+        label, part, left, sizes, _ = regions.flood_tile(own, {}, {}, ring, h, w, least)
+        assert len(label) + len(left) == len(own) and label and left
+        first |= label
+        known |= {p: (label[p], part[p]) for p in label}
+        size |= {k: sizes[k] for k in set(label.values())}
+        pixels |= {p: values[p] for p in left}
+    label, _, left, _, now = regions.flood_tile(pixels, known, size, {}, h, w, least)
+    assert not left and all(label[p] == now[k] for p, k in first.items())
+    want = regions.flood_labels(image, h, w, least)
+    pairs = {(a, b) for a, b in zip(want.tolist(), (label[p] for p in range(h * w)), strict=True) if a}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) > 1
+
+
+def test_tiles_of_nothing(spark):
+    none = spark.createDataFrame([], "image int, px int, v double")
+    assert segmentation.unionfind(none, 9, 9, 2, 1.0, 5, tile=4).collect() == []
+
+
 def test_pixels_without_a_value_first():
     """They make clusters that grow over their neighbours, and these are never cells; left out, they don't."""
     rng = np.random.default_rng(4)
