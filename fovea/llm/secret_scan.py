@@ -254,7 +254,10 @@ def with_findings(docs: DataFrame, model: SecretModel | None = None, text_col: s
 def scan_secrets(docs: DataFrame, model: SecretModel | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Findings of whole texts: doc_id, start (characters, from 0), chars, candidate, score, is_secret.
 
-    One row per candidate, false positives included (is_secret false). Null and
+    One row per candidate, false positives included (is_secret false). A
+    candidate is eight characters or more behind the name of something secret
+    and an assignment, a signed token, or a run of sixteen key characters or
+    more; anything else is not looked at. Null and
     empty texts have none; repeated rows have theirs each; null ids are kept;
     other columns are ignored; an empty table gives no rows. Starts are running
     sums over runs of ``BLOCK`` candidates and over the runs, so a text of very

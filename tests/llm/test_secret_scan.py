@@ -1,9 +1,12 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from helpers import DATA
 from llm.conftest import hard_rows
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from fovea.llm import secret_scan
@@ -136,3 +139,18 @@ def test_no_python_in_the_plan(docs, model):
     for df in (secret_scan.scan_secrets(docs([(1, "x")]), model), secret_scan.redacted(docs([(1, "x")]), model)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_trees_in_sql_vote_as_the_forest(spark):
+    """The expression made of a tree's printed form gives, row by row, the vote of the tree."""
+    rng, names = np.random.default_rng(3), list(secret_scan.FEATURES)
+    x = np.where(rng.random((600, len(names))) < 0.3, 0.0, rng.normal(size=(600, len(names))) * 10.0 ** rng.integers(-6, 7, len(names)))
+    y = (x[:, 0] / np.abs(x[:, 0]).max() + x[:, 5] / np.abs(x[:, 5]).max() + 0.1 * rng.normal(size=600) > 0).astype(float)
+    rows = spark.createDataFrame([(float(y[k]), tuple(map(float, x[k]))) for k in range(600)], f"label double, f struct<{', '.join(n + ': double' for n in names)}>")
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(rows.select("label", "f", "f.*"))
+    trees = RandomForestClassifier(numTrees=5, maxDepth=5, seed=1).fit(data).trees
+    votes = [F.expr(secret_scan.tree_sql(t.toDebugString.strip().split("\n")[1:])).alias(f"v{k}") for k, t in enumerate(trees)]
+    got = data.select("features", *votes).collect()
+    assert all({r[f"v{k}"] for r in got} == {0.0, 1.0} for k in range(len(trees)))
+    for r in got[::6]:
+        assert [r[f"v{k}"] for k in range(len(trees))] == [t.predict(r["features"]) for t in trees]
