@@ -267,7 +267,9 @@ def held_out(doc_id: F.Column) -> F.Column:
 def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Fit on spans of at most ``sample`` documents with a language that are not held out.
 
-    Only text and language are used, and only the spans come to the driver.
+    Only text and language are used, and only the spans come to the driver. Of
+    several rows of an id the least of their spans counts at each place, so
+    repeated rows change nothing.
     """
     chosen = (
         docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & ~held_out(docs["doc_id"]))
@@ -286,7 +288,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string())), strict=True)], ["order", "nth", "lang", "words"])
 
-    spans = rows.mapInArrow(run, "order long, nth int, lang string, words array<string>").orderBy("nth", "order", "lang", "words").limit(2 * SPANS * sample).toPandas()
+    each = rows.mapInArrow(run, "order long, nth int, lang string, words array<string>").groupBy("order", "nth").agg(F.min(F.struct("lang", "words")).alias("span"))
+    spans = each.select("nth", "order", "span.*").orderBy("nth", "order").toPandas()
     return fit([(lang, list(words)) for lang, words in zip(spans["lang"], spans["words"], strict=True)])
 
 

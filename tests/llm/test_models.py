@@ -140,3 +140,13 @@ def test_documents_held_several_times_teach_once(spark, docs):
     for sample in (100, 1000):
         one, five = (quality.train(docs(r), labels, sample) for r in (rows, rows * 5))
         assert one.base == five.base and all((a == b).all() for a, b in zip(one.tables + one.pair_tables, five.tables + five.pair_tables, strict=True))
+
+
+def test_documents_held_several_times_teach_languages_once(spark):
+    """So do spans, where the sample is cut and where an id has several texts."""
+    rows = [(k, ("le chat dort " if k % 2 else "the cat sleeps ") * (k % 60 + 1) + f"x{k % 9}", "fr" if k % 2 else "en") for k in range(200)]
+    other = [(4, "a text of its own", "en"), (None, "sans nom", "fr"), (None, "no name", "en")]
+    schema = "doc_id long, text string, lang string"
+    for sample in (40, 1000):
+        one, five = (language_id.train(spark.createDataFrame(r, schema), sample) for r in (rows + other, (rows + other) * 5))
+        assert one.labels == five.labels and all(np.array_equal(a, b) for a, b in ((one.table, five.table), (one.weights, five.weights), (one.trans, five.trans)))
