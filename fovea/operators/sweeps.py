@@ -4,7 +4,10 @@ A cell reads the new values of the cells before it that it overlaps, and the
 old values of those after it. So the cells are dealt to levels: a cell's level
 is one more than the greatest of the cells before it that it overlaps. Cells of
 a level do not read each other and are updated together, in as many tasks as
-there are; the result is that of one pass over all cells in order.
+there are; the result is that of one pass over all cells in order. Cells that
+do not overlap at all do not wait for each other either: a connected part of
+few values (``TOGETHER``) is updated in order in one task, and only larger
+parts go by levels, each a job.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from fovea.functions import deconvolution
 from fovea.functions.lineage import own_folder, saved
-from fovea.operators.components import dependency_levels
+from fovea.operators.components import dependency_levels, with_component
 from fovea.operators.folds import shifted
 from fovea.operators.products import footprint_gram, pair_products
 
@@ -27,6 +30,8 @@ TRACE_ROWS = "cell int, frames array<long>, r array<double>, c array<double>, s
 Deconvolve = Callable[[np.ndarray, float, float], tuple[np.ndarray, np.ndarray, float, float]]
 #: Values (cells times frames) of one task of a clamp, at most.
 CLAMP_VALUES = 1 << 22
+#: Values (cells times frames, or cells times pixels) of a connected part that one task updates, at most.
+TOGETHER = 1 << 22
 
 
 def zero_clamp(r: np.ndarray, gamma: float, lam: float) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -138,9 +143,8 @@ def wavefront(packed: DataFrame, aa: DataFrame, deconvolve: Deconvolve, starts:
     return levels.all()
 
 
-def clamp_by_frames(packed: DataFrame, aa: DataFrame) -> DataFrame:
-    """The same pass for a clamp, which works frame by frame: a run of frames of all cells is one task."""
-    near = aa.groupBy(F.col("i").alias("cell")).agg(F.collect_list(F.struct("j", "g")).alias("near"))
+def in_order(deconvolve: Deconvolve, starts: list[int] | None = None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The pass over the cells of one group of rows (cell, frames, x, c, near, gamma, lambda)."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("cell", ignore_index=True)
@@ -156,12 +160,36 @@ def clamp_by_frames(packed: DataFrame, aa: DataFrame) -> DataFrame:
             for n in row["near"]:
                 if n["j"] in at:
                     r = r - n["g"] * c[at[n["j"]], where[k]]
-            new, s, gamma, lam = zero_clamp(r, row["gamma"], row["lambda"])
+            new, s, gamma, lam = deconvolve(r, row["gamma"], row["lambda"])
+            if starts is not None:
+                new, s = apart(row["frames"], r, gamma, lam, starts)
             c[k, where[k]] = new
             out.append((row["cell"], row["frames"], r, new, s, gamma, lam))
         return pd.DataFrame(out, columns=["cell", "frames", "r", "c", "s", "gamma", "lambda"])
 
-    return packed.join(near, "cell").groupBy("part").applyInPandas(run, TRACE_ROWS)
+    return run
+
+
+def neighbours(aa: DataFrame) -> DataFrame:
+    return aa.groupBy(F.col("i").alias("cell")).agg(F.collect_list(F.struct("j", "g")).alias("near"))
+
+
+def clamp_by_frames(packed: DataFrame, aa: DataFrame) -> DataFrame:
+    """The same pass for a clamp, which works frame by frame: a run of frames of all cells is one task."""
+    return packed.join(neighbours(aa), "cell").groupBy("part").applyInPandas(in_order(zero_clamp), TRACE_ROWS)
+
+
+def by_parts(packed: DataFrame, aa: DataFrame, deconvolve: Deconvolve, starts: list[int] | None = None) -> DataFrame:
+    """Whole traces updated by connected parts: those of few values in a task each, the others by levels."""
+    packed = saved(with_component(packed, aa.where("i < j AND g != 0").select("i", "j")), "packed-values")
+    sizes = packed.groupBy("component").agg(F.sum(F.size("frames")).alias("values"))
+    small = saved(sizes.where(F.col("values") <= TOGETHER).select("component"), "small-parts")
+    out = packed.join(small, "component", "left_semi").join(neighbours(aa), "cell").groupBy("component").applyInPandas(in_order(deconvolve, starts), TRACE_ROWS)
+    large = packed.join(small, "component", "left_anti").drop("component")
+    if large.isEmpty():
+        return out
+    found = wavefront(saved(large, "packed-values"), aa, deconvolve, starts)
+    return found if small.isEmpty() else out.unionByName(found)
 
 
 def trace_sweep(values: DataFrame, footprints: DataFrame, deconvolve: Deconvolve = zero_clamp, cells: DataFrame | None = None, frames_per_task: int | None = 256, starts: list[int] | None = None) -> DataFrame:
@@ -171,7 +199,7 @@ def trace_sweep(values: DataFrame, footprints: DataFrame, deconvolve: Deconvolve
     and the traces so far. ``cells``: (cell, gamma, lambda), default 0.8 and
     50. A clamp works frame by frame, so it is cut into runs of
     ``frames_per_task`` (fewer where there are many cells); a deconvolution
-    needs whole traces and goes by levels. With ``starts``, the first frames of
+    needs whole traces and goes by connected parts and levels. With ``starts``, the first frames of
     videos (one number a video), no pool of a deconvolution crosses from one to
     the next; its parameters still are those of the whole trace.
 
@@ -191,7 +219,7 @@ def trace_sweep(values: DataFrame, footprints: DataFrame, deconvolve: Deconvolve
         packed = packed.withColumns({"gamma": F.lit(0.8), "lambda": F.lit(50.0)})
     else:
         packed = packed.join(cells.select("cell", "gamma", "lambda"), "cell")
-    return clamp_by_frames(packed, aa) if by_frames else wavefront(saved(packed, "packed-values"), aa, deconvolve, starts)
+    return clamp_by_frames(packed, aa) if by_frames else by_parts(packed, aa, deconvolve, starts)
 
 
 def unpacked(packed: DataFrame) -> DataFrame:
@@ -218,17 +246,58 @@ def footprint_sweep(sums: DataFrame, footprints: DataFrame, traces: DataFrame, h
     """One pass over the cells: new footprints (cell, px, w), positive and of unit norm; empty cells have no rows.
 
     ``sums``: (px, cell, v), the pixel sums with the traces less the
-    background's part. Masks come from the footprints before the pass. A level
-    is a join on pixels and a sum by pixel and cell; no cell or component is
-    held as an array.
+    background's part. Masks come from the footprints before the pass. Parts of
+    few values are a task each, the others go by levels.
     """
     mask = saved(dilated(footprints, height, width, reach), "mask")
     meet = mask.select("px", F.col("cell").alias("i")).join(mask.select("px", F.col("cell").alias("j")), "px").where("i < j")
     links = saved(meet.select("i", "j").distinct(), "mask-links")
-    levels = Levels(mask.select("cell").distinct(), links, "cell int, px int, w double")
     cc = pair_products(traces, links)
     cc = saved(cc.select(F.col("i").alias("cell"), F.col("j").alias("other"), "g").unionByName(cc.select(F.col("j").alias("cell"), F.col("i").alias("other"), "g")), "pair-gram")
     base = mask.join(sums, ["cell", "px"], "left").select("cell", "px", F.coalesce("v", F.lit(0.0)).alias("v"))
+    parts = with_component(mask.select("cell").distinct(), links)
+    base = saved(base.join(parts, "cell"), "sweep-sums")
+    sizes = base.groupBy("component").agg((F.count_distinct("cell") * F.count_distinct("px")).alias("values"))
+    small = saved(sizes.where(F.col("values") <= TOGETHER).select("component"), "small-parts")
+    out = small_footprints(base.join(small, "component", "left_semi"), footprints, cc)
+    large = base.join(small, "component", "left_anti").drop("component")
+    if large.isEmpty():
+        return out
+    found = footprint_levels(saved(large, "sweep-sums"), footprints, links, cc)
+    return found if small.isEmpty() else out.unionByName(found)
+
+
+def small_footprints(base: DataFrame, footprints: DataFrame, cc: DataFrame) -> DataFrame:
+    """The pass over connected parts, a task each: ``base`` (component, cell, px, v)."""
+    near = cc.groupBy("cell").agg(F.collect_list(F.struct("other", "g")).alias("near"))
+    cells = base.join(footprints.select("cell", "px", "w"), ["cell", "px"], "left")
+    cells = cells.groupBy("component", "cell").agg(F.sort_array(F.collect_list(F.struct("px", "v", F.coalesce("w", F.lit(0.0)).alias("w")))).alias("p"))
+    cells = cells.select("component", "cell", F.col("p.px").alias("px"), F.col("p.v").alias("v"), F.col("p.w").alias("w")).join(near, "cell", "left")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("cell", ignore_index=True)
+        at, pixels = {cell: k for k, cell in enumerate(rows["cell"])}, np.unique(np.concatenate(rows["px"].to_list()))
+        where = [np.searchsorted(pixels, p) for p in rows["px"]]
+        a = np.zeros((len(rows), len(pixels)))
+        for k, w in enumerate(rows["w"]):
+            a[k, where[k]] = w
+        out = []
+        for k, row in rows.iterrows():
+            new = np.array(row["v"], float)
+            for n in row["near"] if row["near"] is not None else ():
+                new -= n["g"] * a[at[n["other"]], where[k]]
+            new = np.maximum(new, 0.0)
+            new /= np.sqrt((new * new).sum()) + 1e-10
+            a[k, where[k]] = new
+            out.append(pd.DataFrame({"cell": row["cell"], "px": row["px"], "w": new}))
+        return pd.concat(out).query("w > 0")
+
+    return cells.groupBy("component").applyInPandas(run, "cell int, px int, w double")
+
+
+def footprint_levels(base: DataFrame, footprints: DataFrame, links: DataFrame, cc: DataFrame) -> DataFrame:
+    """The pass by levels: ``base`` (cell, px, v). A level is a join on pixels and a sum by pixel and cell; no cell or part is held as an array."""
+    levels = Levels(base.select("cell").distinct(), links, "cell int, px int, w double")
     base = less_overlap(base, footprints, cc.where("other > cell"))
     base = saved(base.join(levels.table, "cell"), "sweep-base", "level")
     whole = Window.partitionBy("cell")

@@ -41,8 +41,9 @@ def plain_traces(a, y, c, deconvolve):
     return r, c
 
 
-@pytest.mark.parametrize("deconvolve", [stand_in(), sweeps.zero_clamp])
-def test_traces_of_one_component(spark, deconvolve):
+@pytest.mark.parametrize(("deconvolve", "together"), [(stand_in(), 0), (stand_in(), 1 << 22), (sweeps.zero_clamp, 0)])
+def test_traces_of_one_component(spark, monkeypatch, deconvolve, together):
+    monkeypatch.setattr(sweeps, "TOGETHER", together)
     rng = np.random.default_rng(1)
     a, frames = field(rng, 14, 6), 9
     y, old = rng.normal(size=(36, frames)), rng.random((14, frames))
@@ -57,8 +58,9 @@ def test_traces_of_one_component(spark, deconvolve):
         assert row["c"] == pytest.approx(c[row["cell"] - 1, row["frame"] - 1], abs=1e-9) and row["r"] == pytest.approx(r[row["cell"] - 1, row["frame"] - 1], abs=1e-9)
 
 
-def test_a_level_is_many_tasks(spark):
+def test_a_level_is_many_tasks(spark, monkeypatch):
     """A comb: one long cell overlaps all teeth, so there is one component; the teeth are updated side by side."""
+    monkeypatch.setattr(sweeps, "TOGETHER", 0)
     a = np.zeros((9, 16))
     a[0, :] = 0.25
     for k in range(8):
@@ -79,9 +81,12 @@ def test_frames_that_others_lack_count_as_zero(spark):
     assert got[1] == pytest.approx([0.5, -3.0, -11.0]) and got[2] == [3.0]
 
 
-def test_footprints_of_one_component(spark):
+@pytest.mark.parametrize(("together", "side"), [(0, 7), (1 << 22, 7), (150, 16)])
+def test_footprints_in_order(spark, monkeypatch, together, side):
+    """One component by levels and in a task; several, of which the smaller ones are a task each and the others go by levels."""
+    monkeypatch.setattr(sweeps, "TOGETHER", together)
     rng = np.random.default_rng(2)
-    n, side, frames = 10, 7, 12
+    n, frames = 10, 12
     a, y, c = field(rng, n, side), rng.normal(size=(side * side, frames)) + 1, rng.random((n, frames))
     mask = np.zeros_like(a, bool)
     for k, p in np.argwhere(a > 0):
