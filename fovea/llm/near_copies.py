@@ -1,9 +1,10 @@
-"""One document of each group of near copies: shards by shared minima, wide SimHash prints, exact sets.
+"""One document of each group of near copies: wide SimHash prints, BK-trees of shards by shared minima, exact sets.
 
 At a similarity of 0.8 two 64-bit fingerprints differ in ten bits on average,
 out of reach of exact blocks. Here a fingerprint has 256 bits and the shards
-are made by minima of shingle hashes instead of blocks. Prints only pass over
-what cannot be similar; a link is made by the shingle sets themselves.
+are made by minima of shingle hashes instead of blocks. Each shard is searched
+by a BK-tree, that of operator 8. Prints only pass over what cannot be similar;
+a link is made by the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fovea.operators.components import connected_components
 
-from .simhash import majority_bits
+from .simhash import BKTree, majority_bits
 from .tables import keeps_names, saved, slices
 from .words import MIX, batch_words, mixed, shingle_hashes, word_hash
 
@@ -114,6 +115,30 @@ def maybe_near(wide: np.ndarray, sizes: np.ndarray) -> Callable[[int, np.ndarray
     return near
 
 
+def tree_groups(wide: list[bytes], sizes: list[int]) -> list[list[int]]:
+    """Groups of a shard by its BK-tree: members that chain by prints within the radius, of sets whose sizes allow the similarity.
+
+    Members of equal prints are one node, known by the least and the greatest
+    size of their sets; groups of one member are left out.
+    """
+    members: dict[int, list[int]] = {}
+    for k, own in enumerate(wide):
+        members.setdefault(int.from_bytes(own, "little"), []).append(k)
+    spans = {value: (min(sizes[k] for k in at), max(sizes[k] for k in at)) for value, at in members.items()}
+
+    def fits(a: int, b: int) -> bool:
+        (least, most), (low, high) = spans[a], spans[b]
+        return PART * max(least, low) <= WHOLE * min(most, high)
+
+    tree = BKTree(RADIUS, fits)
+    for value in members:
+        tree.add(value)
+    out: dict[int, list[int]] = {}
+    for value, at in members.items():
+        out.setdefault(tree.find(value), []).extend(at)
+    return [group for group in out.values() if len(group) > 1]
+
+
 def exact_groups(wide: np.ndarray, sets: list[np.ndarray]) -> list[np.ndarray]:
     """The members whose shingle sets chain at the similarity or more: common over all shingles, in integers."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -157,11 +182,12 @@ def lanes(wide: list[bytes]) -> np.ndarray:
 def form_links(distinct: DataFrame, found: DataFrame) -> DataFrame:
     """Links (a, b) that join all forms which share a shard and have the similarity or more.
 
-    Shards are counted with map-side sums and lone members fall out. A first
-    pass over the prints finds the groups of a shard that may be similar; a
-    group found in several bands is kept once. Only the members of groups
-    fetch their shingle sets, by which the second pass makes the links, fewer
-    than members per group. A shard of any size is searched whole.
+    Shards are counted with map-side sums and lone members fall out. Each shard
+    is a BK-tree, built and searched in the task that holds it, which finds the
+    groups that may be similar; a group found in several bands is kept once.
+    Only the members of groups fetch their shingle sets, by which the second
+    pass makes the links, fewer than members per group. A shard of any size is
+    searched whole.
     """
     banded = distinct.select("form", "print", "size", F.posexplode("bands").alias("band", "key"))
     counts = banded.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
@@ -171,8 +197,8 @@ def form_links(distinct: DataFrame, found: DataFrame) -> DataFrame:
         import xxhash
 
         for forms, wide, sizes in runs(batches, 2):
-            for group in groups(len(forms), maybe_near(lanes(wide), np.array(sizes, np.int64))):
-                members = sorted(forms[k] for k in group.tolist())
+            for group in tree_groups(wide, sizes):
+                members = sorted(forms[k] for k in group)
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(b"".join(members))], pa.binary()), pa.array([members], pa.list_(pa.binary()))], ["group", "forms"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

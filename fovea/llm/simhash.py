@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -77,10 +77,11 @@ class BKTree:
     It also holds the groups of its values (union-find). A subtree whose values
     are all in the group of the value under search cannot add a link and is
     left out, so a large group of near copies costs few visits a value.
+    ``linked`` is a further test that two values within the radius must pass.
     """
 
-    def __init__(self, radius: int):
-        self.radius, self.root = radius, None
+    def __init__(self, radius: int, linked: Callable[[int, int], bool] | None = None):
+        self.radius, self.linked, self.root = radius, linked, None
         self.children: dict[int, dict[int, int]] = {}
         self.parent: dict[int, int] = {}
         self.mixed: set[int] = set()
@@ -118,8 +119,9 @@ class BKTree:
             self.root = value
             return
         for near in self.within(value):
-            a, b = self.find(near), self.find(value)
-            self.parent[max(a, b)] = min(a, b)
+            if self.linked is None or self.linked(near, value):
+                a, b = self.find(near), self.find(value)
+                self.parent[max(a, b)] = min(a, b)
         at = self.root
         while True:
             if self.find(at) != self.find(value):

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import pyarrow as pa
 import pytest
@@ -134,3 +135,42 @@ def test_recall_by_similarity(docs):
         root[b] = a
     want = sorted((str(i), str(t)) for k, (i, t) in enumerate(rows) if find(k) == k)
     assert len(pairs) > 10 and kept(near_copies.one_of_each(docs(rows))) == want
+
+
+def test_shards_are_searched_by_trees(monkeypatch):
+    """The groups of a shard are those of all pairs, each member is looked up in the BK-tree."""
+    rng, prints, sizes = random.Random(6), [], []
+    for g in range(12):
+        base = rng.getrandbits(256)
+        for _ in range(25):
+            near = base
+            for bit in rng.sample(range(256), rng.choice([0, 5, 30, 60, 90])):
+                near ^= 1 << bit
+            prints.append(near)
+            sizes.append(rng.randrange(90, 140) if g % 2 else 100)
+    kinds = sorted(set(prints))
+    own = {p: [n for q, n in zip(prints, sizes, strict=True) if q == p] for p in kinds}
+    root = {p: p for p in kinds}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(kinds, 2):
+        fits = 4 * max(min(own[a]), min(own[b])) <= 5 * min(max(own[a]), max(own[b]))
+        if (a ^ b).bit_count() <= near_copies.RADIUS and fits:
+            root[find(a)] = find(b)
+    want = {}
+    for k, p in enumerate(prints):
+        want.setdefault(find(p), []).append(k)
+    searched, within = [], near_copies.BKTree.within
+
+    def counted(tree, value):
+        searched.append(value)
+        return within(tree, value)
+
+    monkeypatch.setattr(near_copies.BKTree, "within", counted)
+    got = near_copies.tree_groups([p.to_bytes(32, "little") for p in prints], sizes)
+    assert sorted(sorted(g) for g in got) == sorted(g for g in want.values() if len(g) > 1)
+    assert len(searched) == len(kinds) - 1  # all but the root
